@@ -8,14 +8,14 @@ target is the smaller of its cap and level x weight.
 Selection. Whole epochs come first: a source whose target is e times its size and a rest takes every document
 e times. The rest is filled in order of exponential keys -ln(u) / quality, u from a digest of the
 document's id, so reruns agree and better documents come earlier; a document is taken while at least half
-of it fits below the rest.
+of it fits below the rest. Equal rows are taken or left together.
 
 A source's keys are put in order by two levels: sums over ranges of the key's uniform, added up per
 source, then a sort inside each range. No task sorts a whole source.
 
 Cases. A null text has size 0 and takes 0. A null source is a source of its own. A source of size 0 has
-target 0. Repeated rows are documents of their own with equal keys, told apart by a digest of the text, and
-where that is equal too they are taken or left in any order, which no result shows. A null doc_id has the
+target 0. Rows with equal doc_id have equal keys and follow in order of a digest of the text; rows equal in both
+are taken or left together. A null doc_id has the
 key of the empty id. An empty table gives no rows. Other columns are ignored or, in mix_documents, kept.
 """
 
@@ -63,21 +63,19 @@ def plan_mix(documents: DataFrame, quality: DataFrame, weights: Sequence[float]
     ``quality`` has doc_id (unique) and weight (above 0); documents without a row weigh 1. Per source one
     row of sums comes to the driver, where weights are assigned; the number of sources bounds it.
     """
-    docs = documents.withColumn("size", n_words(F.col("text")))
+    docs = documents.withColumn("size", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("text")).drop("text")
     sums = docs.groupBy("source").agg(F.sum("size").alias("size")).collect()
     targets = documents.sparkSession.createDataFrame(source_targets([(r["source"], r["size"]) for r in sums], weights, total_share, cap), "source string, source_size long, target double")
     keyed = docs.join(quality.select(F.col("doc_id").alias("_q_id"), F.col("weight").alias("_weight")), F.col("doc_id") == F.col("_q_id"), "left").drop("_q_id")
     keyed = keyed.withColumn("_u", unit_uniform(F.col("doc_id"))).withColumn("_key", -F.log("_u") / F.coalesce("_weight", F.lit(1.0)))
     # 1 - exp(-key) is close to uniform for weights near 1, so ranges of it hold like shares of a source.
-    keyed = keyed.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int")).withColumn("_tie", F.xxhash64("text"))
-    return keyed, targets
+    return keyed.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int")), targets
 
 
 def mix(documents: DataFrame, quality: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    keyed, targets = plan_mix(documents, quality, **how)
-    keyed = materialise(keyed.select("doc_id", "source", "size", "_key", "_range", "_tie"), "keyed")
-    return _take(keyed, targets).select("doc_id", "size", "source_size", "target", "taken")
+    keyed, targets = plan_mix(documents.select("doc_id", "source", "text"), quality, **how)
+    return _take(materialise(keyed, "keyed"), targets).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _take(keyed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -90,8 +88,10 @@ def _take(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     before = before.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     before = before.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     joined = keyed.join(before, ["_source", "_range"])
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    # Equal rows are peers: the sum before them leaves them all out.
+    order = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_tie")
+    peers = Window.partitionBy("_source", "_range", "_key", "doc_id", "_tie")
+    start = F.col("_before") + F.sum("size").over(order) - F.sum("size").over(peers)
     extra = F.when(start + F.col("size") / 2 <= F.col("_rest"), 1).otherwise(0)
     return joined.withColumn("taken", ((F.col("_epochs") + extra) * F.col("size")).cast("long"))
 
@@ -99,9 +99,12 @@ def _take(keyed: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_documents(documents: DataFrame, quality: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``documents``.
 
-    A document without words is never part of a mix.
+    A document without words is never part of a mix. Texts stay out of the sampling; they meet its
+    result by a digest of their row.
     """
-    keyed, targets = plan_mix(documents, quality, **how)
-    taken = _take(keyed, targets).where("taken > 0")
-    copies = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
-    return taken.withColumn("_copy", copies).select(*documents.columns)
+    row = F.struct("doc_id", "source", "text").alias("_r")
+    docs = documents.select(F.struct(*documents.columns).alias("_row"), row).withColumn("_id", F.xxhash64("_r"))
+    keyed, targets = plan_mix(docs.select("_r.*", "_id"), quality, **how)
+    taken = _take(materialise(keyed, "keyed"), targets).where("taken > 0")
+    copies = taken.select("_id", (F.col("taken") / F.col("size")).cast("int").alias("_n")).groupBy("_id").agg(F.max("_n").alias("_n"))
+    return docs.drop("_r").join(materialise(copies, "copies"), "_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

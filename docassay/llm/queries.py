@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.llm import chat, mixing, urls, warc
+import public_tokenizers
+
+from docassay.llm import chat, fingerprints, mixing, quality, records, toxicity, urls, warc
 from docassay.llm.common import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -41,7 +43,32 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")), weights=(5.0, 2.0, 1.0), total_share=1.5, cap=2.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op5_host_reputation, op7_source_mix)}
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared_dir(spark)
+    records.write_records(table(spark, sf_dir, "documents"), f"{base}/records", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return records.write_index(spark, f"{base}/records", f"{base}/index").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def learnable_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(~toxicity.held_out(F.col("doc_id")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, learnable_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op5_host_reputation, op6_token_records, op7_source_mix, op9_quality_cascade, op10_toxicity)}
 
 ORACLES = {
     "op1_warc_reassembly": """
