@@ -49,7 +49,7 @@ def rules(limits: Limits) -> dict[str, Column]:
     return {
         "symbols": F.col("n_symbols") > limits.max_symbols_per_char * chars,
         "word_length": (chars < limits.min_mean_word * words) | (chars > limits.max_mean_word * words),
-        "dup_lines": F.col("n_dup_lines") > limits.max_dup_line_share * F.regexp_count(text, F.lit(r"(?m)^[^\n]*[^\x20\x09-\x0D][^\n]*$")),
+        "dup_lines": F.col("n_dup_lines") > limits.max_dup_line_share * F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")),
         "shouts": F.regexp_count(text, F.lit("!")) > limits.max_shouts_per_word * words,
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) > limits.max_capitals_per_char * chars,
     }
@@ -65,12 +65,12 @@ def base_counts(documents: DataFrame) -> DataFrame:
     df = df.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"), F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines")).drop("_words")
     window = F.transform(F.slice("_hashes", 1, F.greatest(F.size("_hashes") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)))
     df = df.withColumn("_windows", window).drop("_hashes")
-    bits = F.ceil(F.log2(F.size("_windows") + 1.0)).cast("int")
-    keyed = F.sort_array(F.transform("_windows", lambda h, i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", h, bits), bits).bitwiseOR(i.cast("long"))))
-    df = df.withColumn("_keyed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), keyed).otherwise(F.array().cast("array<bigint>")))
-    above = lambda x: F.call_function("shiftrightunsigned", x, F.col("_bits"))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    df = df.withColumn("_bits", bits).drop("_windows")
+    df = df.withColumn("_bits", F.ceil(F.log2(F.size("_windows") + 1.0)).cast("int"))
+    shift = lambda way, x: F.call_function(way, x, F.col("_bits"))
+    keyed = F.sort_array(F.transform("_windows", lambda h, i: shift("shiftleft", shift("shiftrightunsigned", h)).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("_keyed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), keyed).otherwise(F.array().cast("array<bigint>"))).drop("_windows")
+    above = lambda x: shift("shiftrightunsigned", x)
+    low = shift("shiftleft", F.lit(1).cast("long")) - 1
     next_same = lambda x, i: F.coalesce(above(x) == above(F.get("_keyed", i + 1)), F.lit(False))
     last_same = lambda x, i: (i > 0) & (above(x) == above(F.get("_keyed", F.greatest(i - 1, F.lit(0)))))
     twice = F.filter("_keyed", lambda x, i: next_same(x, i) | last_same(x, i))
@@ -90,7 +90,7 @@ def measure(documents: DataFrame, limits: Limits) -> list[tuple[str, float, floa
         return [(name, 1.0, 0.0) for name in rules(limits)]
     share = min(1.0, limits.sample_docs / n)
     picked = documents.select("text").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    sample = materialise(base_counts(picked).where(~_base_failed(limits)).repartition(4), "sample")
+    sample = materialise(base_counts(picked).repartition(4), "sample").where(~_base_failed(limits))
     out = []
     for name, rejects in rules(limits).items():
         began = time.perf_counter()
@@ -113,4 +113,6 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def keep_good(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass base and cascade, with their own columns."""
     bare = documents.select(F.struct(*documents.columns).alias("_row"), F.col("text").alias("text"))
-    return judge(bare, limits).where("kept").select("_row.*")
+    # The row number keeps the filter above the counts; pushed below them it would take each count again.
+    judged = judge(bare, limits).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")

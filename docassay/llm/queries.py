@@ -71,6 +71,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op5_host_reputation, op6_token_records, op7_source_mix, op9_quality_cascade, op10_toxicity)}
 
 ORACLES = {
+    "op9_quality_cascade": r"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+        w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+        g as (select r, unnest(range(1, len(ws) - 1)) as i, ws from w),
+        k as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as n from g),
+        p as (select r, count(distinct j) as n_repeat from (select r, unnest([i, i + 1, i + 2]) as j from k where n > 1) group by r),
+        b as (
+            select doc_id, text, len(ws) as n_words, coalesce(length(array_to_string(ws, '')), 0) as word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+                   len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines, coalesce(n_repeat, 0) as n_repeat_words
+            from w left join p using (r)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+        select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+               cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+               not base_failed and n_symbols <= 0.1 * word_chars and word_chars between 2.0 * n_words and 20.0 * n_words
+                   and n_dup_lines <= 0.5 * n_lines
+                   and length(text) - length(replace(text, '!', '')) <= 0.3 * n_words
+                   and length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) <= 0.5 * word_chars as kept
+        from f""",
     "op1_warc_reassembly": """
         with p as (select page_id, coalesce(html, '') as payload from pages),
         d as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from p),
