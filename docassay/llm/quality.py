@@ -34,7 +34,7 @@ class Limits:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_symbols_per_char: float = 0.1
+    max_symbols_per_char: float = 0.06
     max_capitals_per_char: float = 0.5
     max_shouts_per_word: float = 0.3
     min_mean_word: float = 2.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docassay.llm import chat, fingerprints, mixing, quality, records, toxicity, urls, warc
+from docassay.llm import bpe, chat, dedup, fingerprints, mixing, quality, records, toxicity, urls, warc
 from docassay.llm.common import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -28,6 +28,10 @@ def op2_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(spark.read.schema(chat.PART_SCHEMA).parquet(path))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -53,6 +57,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_index(spark, f"{base}/records", f"{base}/index").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept")
 
@@ -68,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op5_host_reputation, op6_token_records, op7_source_mix, op9_quality_cascade, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op4_byte_bpe, op5_host_reputation, op6_token_records, op7_source_mix, op8_dart_minhash, op9_quality_cascade, op10_toxicity)}
 
 ORACLES = {
     "op9_quality_cascade": r"""
@@ -85,7 +93,7 @@ ORACLES = {
         f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
         select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
                cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-               not base_failed and n_symbols <= 0.1 * word_chars and word_chars between 2.0 * n_words and 20.0 * n_words
+               not base_failed and n_symbols <= 0.06 * word_chars and word_chars between 2.0 * n_words and 20.0 * n_words
                    and n_dup_lines <= 0.5 * n_lines
                    and length(text) - length(replace(text, '!', '')) <= 0.3 * n_words
                    and length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) <= 0.5 * word_chars as kept

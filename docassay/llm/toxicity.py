@@ -3,9 +3,11 @@
 A word is the bag of its character n-grams (with marks at its ends), hashed into BUCKETS vectors; the mean of
 the vectors goes into a softmax over clean and toxic. Vectors and softmax are trained together in numpy on
 the words of a bounded sample of labelled documents: a word counts as toxic as often as it stands in toxic
-texts and as clean as often as in clean ones. A document's evidence is the logit of its most toxic word,
-turned into a score by a logistic curve fitted on a part of the sample that the vectors never saw. A
-misspelling that no training text holds still shares most of its n-grams with the word it stands for.
+texts and as clean as often as in clean ones. A document's evidence is the logits of its TOP most toxic words
+and the logarithm of its number of words, since a long text meets odd words by chance. A logistic curve over
+them, fitted on a part of the sample that the vectors never saw and weighted to the labels' own shares,
+gives the score. A misspelling or an ending that no training text holds still shares most of its n-grams
+with the word it stands for.
 
 Since the softmax is linear, a trained model is one number per bucket and a bias: the mean of the numbers of
 a word's n-grams is its logit. That array of fixed size is what executors get.
@@ -21,6 +23,7 @@ replaces a column score; other columns are kept.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,47 +39,64 @@ from docassay.llm.common import materialise, words
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-#: Stands for a text without any word.
-NOTHING = -1e4
-
-
-def ngrams(word: str) -> list[int]:
-    """Buckets of a word's n-grams; none for a word without letters or digits."""
-    bare = _EDGE.sub("", word.lower())
-    if not bare:
-        return []
-    marked = f"<{bare}>"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in SIZES for i in range(max(1, len(marked) - n + 1))]
+#: Words of a document that speak for it.
+TOP = 3
+#: Logits are held within plus and minus this; it also stands for a word that a text doesn't have.
+FLOOR = 12.0
+
+
+def ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams and the word of each, in order of words; none for a word without letters or digits."""
+    bare = [_EDGE.sub("", w.lower()) for w in vocabulary]
+    marked = [f"<{w}>" if w else "" for w in bare]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), [len(w) for w in marked])
+    buckets, owners = [], []
+    for n in SIZES:
+        if len(codes) < n:
+            continue
+        inside = owner[: len(owner) - n + 1] == owner[n - 1 :]
+        h = np.full(len(codes) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[: len(owner) - n + 1][inside])
+    if not buckets:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    flat, own = np.concatenate(buckets), np.concatenate(owners)
+    order = np.argsort(own, kind="stable")
+    return flat[order], own[order]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Collapsed vectors: a logit share per bucket, the bias, and slope and offset of the score curve."""
+    """Collapsed vectors: a logit share per bucket and the bias; curve: weights of the evidence and an offset."""
 
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, ...] = ()
 
-    def word_logit(self, word: str) -> float:
-        found = ngrams(word)
-        return float(self.weights[found].mean()) + self.bias if found else NOTHING
+    def word_logits(self, vocabulary: list[str]) -> np.ndarray:
+        flat, own = ngrams(vocabulary)
+        n = np.bincount(own, minlength=len(vocabulary))
+        mean = np.bincount(own, self.weights[flat], len(vocabulary)) / np.maximum(n, 1)
+        return np.where(n > 0, np.clip(mean + self.bias, -FLOOR, FLOOR), -FLOOR)
 
-    def probability(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.offset, -60, 60)))
 
-
-def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *, dims: int = 8, epochs: int = 12, batch: int = 4096, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
+def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *, dims: int = 6, epochs: int = 6, min_steps: int = 40, batch: int = 4096, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
     """Vectors and softmax by Adam on word counts; the classes weigh the same in sum."""
-    bags = [ngrams(w) for w in vocabulary]
-    some = np.array([bool(b) for b in bags])
-    bags = [np.array(b, np.int64) for b in bags if b]
+    every, own = ngrams(vocabulary)
+    sizes = np.bincount(own, minlength=len(vocabulary))
+    some = sizes > 0
+    sizes = sizes[some]
+    firsts = np.cumsum(sizes) - sizes
     n = (toxic + clean)[some]
     share = toxic[some] / n
     weight = np.log1p(n)
     pos, neg = weight * share, weight * (1 - share)
     pos, neg = pos / max(pos.sum(), 1e-9), neg / max(neg.sum(), 1e-9)
-    scale = len(bags) / 2
+    scale = len(sizes) / 2
     pos, neg = pos * scale, neg * scale
     rng = np.random.default_rng(seed)
     vectors = (rng.random((BUCKETS, dims), np.float32) - 0.5) / dims
@@ -84,14 +104,14 @@ def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *,
     m1, m2 = np.zeros_like(vectors), np.zeros_like(vectors)
     s1, s2, b1, b2 = np.zeros_like(soft), np.zeros_like(soft), np.zeros_like(bias), np.zeros_like(bias)
     step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(bags))
+    for _ in range(max(epochs, -(-min_steps * batch // max(1, len(sizes))))):
+        order = rng.permutation(len(sizes))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            lengths = np.array([len(bags[i]) for i in pick])
-            flat = np.concatenate([bags[i] for i in pick])
+            lengths = sizes[pick]
             owner = np.repeat(np.arange(len(pick)), lengths)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            starts = np.cumsum(lengths) - lengths
+            flat = every[np.arange(lengths.sum()) - np.repeat(starts, lengths) + np.repeat(firsts[pick], lengths)]
             mean = np.add.reduceat(vectors[flat], starts, axis=0) / lengths[:, None]
             logits = mean @ soft + bias
             p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
@@ -116,38 +136,49 @@ def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *,
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit_curve(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset: 0.5 lies at the cut with fewest errors, the slope follows the spread around it."""
-    order = np.argsort(logits)
-    x, y = logits[order], labels[order].astype(int)
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    best = np.flatnonzero(errors == errors.min())
-    edge = lambda i: (x[max(i - 1, 0)] + x[min(i, len(x) - 1)]) / 2
-    cut = float(np.mean([edge(best[0]), edge(best[-1])]))
-    slope = 4 / max(float(np.std(x[x > NOTHING])) if (x > NOTHING).any() else 1.0, 1e-6)
-    return slope, -slope * cut
+def fit_curve(evidence: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton's method; the last number is the offset."""
+    x = np.hstack([evidence, np.ones((len(evidence), 1))])
+    weight = weight / weight.mean()
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.diag([1.0] * evidence.shape[1] + [1e-3])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - labels)) + penalty @ w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
+        move = np.linalg.solve(bend, slope)
+        w -= np.clip(move, -2, 2)
+        if np.abs(move).max() < 1e-8:
+            break
+    return tuple(float(v) for v in w)
 
 
 def evidence(text: Column, model: Model) -> Column:
-    """The logit of the most toxic word of each text."""
-    @F.pandas_udf("double")
+    """The logits of the TOP most toxic words of each text, highest first, and the log of its distinct words; null without words."""
+
+    @F.pandas_udf("array<double>")
     def most(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for texts in batches:
             out = []
-            for t in texts:
-                found = set(t.split()) if t else set()
-                for w in found.difference(known):
-                    known[w] = model.word_logit(w)
-                out.append(max(map(known.__getitem__, found), default=NOTHING))
-                if len(known) > 400_000:
-                    known.clear()
-            yield pd.Series(out, dtype="float64")
+            split = [set(t.split()) if t else set() for t in texts]
+            if len(known) > 700_000:
+                known.clear()
+            new = list(set().union(*split).difference(known))
+            known.update(zip(new, model.word_logits(new).tolist()))
+            for found in split:
+                if not found:
+                    out.append(None)
+                    continue
+                logits = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
+                top = np.sort(np.partition(logits, -TOP)[-TOP:] if len(logits) > TOP else logits)[::-1].tolist()
+                out.append([*top, *[-FLOOR] * (TOP - len(top)), math.log1p(len(found))])
+            yield pd.Series(out, dtype="object")
 
     return most(text)
 
 
-def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_words: int = 2000) -> Model | None:
     """A model from labelled documents, or None where labels of one kind are missing.
 
     ``labels`` has doc_id and toxic and holds only rows that may be learnt from.
@@ -162,21 +193,27 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000) -> M
     if not counts["toxic"].sum() or not counts["clean"].sum():
         return None
     counts = counts.sort_values("word")
+    often = counts["toxic"] + counts["clean"] >= 2  # words of one text say little, but in a small sample they are most
+    counts = counts[often] if often.sum() >= min_words else counts
     model = train_words(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float))
-    held = texts.where("fold = 0").select("toxic", evidence(F.col("text"), model).alias("logit")).toPandas()
-    if held["toxic"].nunique() < 2:
-        held = texts.select("toxic", evidence(F.col("text"), model).alias("logit")).toPandas()
-    slope, offset = fit_curve(held["logit"].to_numpy(), held["toxic"].to_numpy())
-    return Model(model.weights, model.bias, slope, offset)
+    held = texts.select("toxic", "fold", evidence(F.col("text"), model).alias("evidence")).where("evidence is not null").toPandas()
+    held = held[held["fold"] == 0] if held[held["fold"] == 0]["toxic"].nunique() > 1 else held
+    labels_ = held["toxic"].to_numpy(float)
+    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weight = np.where(labels_ == 1, shares[1] / max(1.0, labels_.sum()), shares[0] / max(1.0, (1 - labels_).sum()))
+    return Model(model.weights, model.bias, fit_curve(np.array(held["evidence"].tolist()), labels_, weight))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """The documents with score, the probability of toxic."""
     if model is None:
         return documents.withColumn("score", F.lit(0.0))
-    x = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(model.slope) * F.col("_logit") + F.lit(model.offset)))
-    value = F.when(F.col("_logit") <= NOTHING, 0.0).otherwise(1 / (1 + F.exp(-x)))
-    return documents.withColumn("_logit", evidence(F.col("text"), model)).withColumn("score", value).drop("_logit")
+    *weights, offset = model.curve
+    x = F.lit(offset)
+    for i, w in enumerate(weights):
+        x = x + F.get("_evidence", F.lit(i)) * w
+    value = F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))), F.lit(0.0))
+    return documents.withColumn("_evidence", evidence(F.col("text"), model)).withColumn("score", value).drop("_evidence")
 
 
 def held_out(doc_id: Column) -> Column:
