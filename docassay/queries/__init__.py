@@ -1,4 +1,6 @@
 """Named queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docassay.queries import text, validation
+
+QUERIES = {f.__name__: f for f in (*validation.FUNCTIONS, *text.FUNCTIONS)}
+ORACLES = validation.SQL | text.SQL

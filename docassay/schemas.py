@@ -1,0 +1,8 @@
+"""Schemas of the tables that move between operators."""
+
+from __future__ import annotations
+
+CHECK = "struct<rule:string,status:string,severity:string,message:string,field:string,ocr_value:string,reference_value:string>"
+MISMATCH = "struct<field:string,type:string,severity:string,message:string,ocr_value:string,reference_value:string>"
+SCAN = "request_id string, document_type string, document_country string, ocr_confidence double, fields map<string,string>, metadata map<string,string>"
+TOKEN = "doc_id long, ord int, text string, confidence double, bbox array<array<double>>, cx double, cy double"
