@@ -6,8 +6,8 @@ that change. The rank map is two literal arrays: a pair (a, b) stands at ``offse
 its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another).
 
 The words of the corpus are counted; the frequent ones, at most ``frequent_limit``, are folded once and
-their ids handed to every task. A text's other words are folded where they stand, each once per text.
-So nothing that grows with the corpus is broadcast, no text is shuffled and no word goes without its fold.
+their ids handed to every task. The other words are folded where they stand, each once per task as far as the
+task's memory of words reaches, else once per text. So nothing that grows with the corpus is broadcast, no text is shuffled and no word goes without its fold.
 Only words that are tokens themselves skip it, as they do in the library whose results these are.
 
 Decoding concatenates the byte pieces of the ids.
@@ -85,7 +85,7 @@ def overlay(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _literal(values: np.ndarray) -> Column:
     """A constant array: one string that the optimizer splits and casts once."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
 
 
 def _let(value: Column, body) -> Column:
@@ -96,13 +96,13 @@ def _let(value: Column, body) -> Column:
 def fold_words(ranks: dict[bytes, int]):
     """A function from a string column to the array of its ids."""
     offset, entries = overlay(merge_pairs(ranks))
-    offsets, table = _literal(offset), _literal(entries)
+    offsets, owners, merges = _literal(offset), _literal(np.where(entries < 0, -1, entries // NONE)), _literal(np.where(entries < 0, NONE, entries % NONE))
     byte_ids = _literal(np.array([ranks[bytes([b])] for b in range(256)]))
     end = len(offset)  # the sentinel's id: no row, no column
 
     def rank(a: Column, b: Column) -> Column:
-        found = lambda entry: F.when(F.shiftright(entry, 20) == a, entry.bitwiseAND(NONE - 1)).otherwise(F.lit(NONE).cast("long"))
-        return _let(F.get(table, F.get(offsets, a) + b), found)
+        at = F.get(offsets, a) + b
+        return F.when(F.get(owners, at) == a, F.get(merges, at)).otherwise(NONE)
 
     def merge(state: Column, least: Column) -> Column:
         ids, marks = state["ids"], state["ranks"]
@@ -122,11 +122,11 @@ def fold_words(ranks: dict[bytes, int]):
         return _let(F.array_min(state["ranks"]), lambda least: F.when(least < NONE, merge(state, least)).otherwise(state))
 
     def fold(word: Column) -> Column:
-        sentinel = F.array(F.lit(end).cast("long"))
+        sentinel = F.array(F.lit(end))
         each = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
         start = _let(F.concat(sentinel, each, sentinel), lambda ids: F.struct(ids.alias("ids"), F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
         done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step)
-        return _let(done["ids"], lambda ids: F.slice(ids, 2, F.size(ids) - 2).cast("array<int>"))
+        return _let(done["ids"], lambda ids: F.slice(ids, 2, F.size(ids) - 2))
 
     return fold
 
@@ -221,7 +221,7 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     return out
 
 
-def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000) -> DataFrame:
+def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 500_000, recent_limit: int = 500_000) -> DataFrame:
     """A row per document, SCHEMA."""
     sc = documents.sparkSession.sparkContext
     ranks = read_ranks(rank_path)
@@ -230,14 +230,20 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
     frequent = sc.broadcast(frequent_words(docs, ranks, pattern, frequent_limit, fold))
     tokens = sc.broadcast({i: token for token, i in ranks.items()})
 
+    # The two functions below stand in one task, one behind the other, and see the same words in the same order: what
+    # the first has sent before, the second has kept. Each keeps the first ``recent_limit`` of a task.
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(pattern, frequent.value)
+        words, sent = _Words(pattern, frequent.value), set()
         for batch in batches:
-            rare = [list({w: 0 for run in words.runs(t) if run.__class__ is tuple for w in run if w not in words.frequent}) if t else [] for t in batch.column(1).to_pylist()]
+            rare = []
+            for t in batch.column(1).to_pylist():
+                new = list({w: 0 for run in words.runs(t) if run.__class__ is tuple for w in run if w not in words.frequent and w not in sent}) if t else []
+                sent.update(new[: recent_limit - len(sent)])
+                rare.append(new)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, token_bytes = _Words(pattern, frequent.value), tokens.value.__getitem__
+        words, token_bytes, kept = _Words(pattern, frequent.value), tokens.value.__getitem__, {}
         for batch in batches:
             rare, ids = batch.column(2), batch.column(3)
             names, flat = rare.flatten().to_pylist(), ids.flatten()
@@ -246,8 +252,10 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
             of = (rare.offsets.to_numpy() - rare.offsets[0].as_py()).tolist() if len(rare) else [0]
             rows = []
             for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                own = {names[i]: raw[ends[i] : ends[i + 1]] for i in range(of[k], of[k + 1])}
-                look = lambda w: words.frequent.get(w) or own[w]  # noqa: B023, E731
+                own = [(names[i], raw[ends[i] : ends[i + 1]]) for i in range(of[k], of[k + 1])]
+                kept.update(own[: recent_limit - len(kept)])
+                late = dict(own)
+                look = lambda w: words.frequent.get(w) or kept.get(w) or late[w]  # noqa: B023, E731
                 data = b"".join([r if r.__class__ is bytes else b"".join(map(look, r)) for r in (words.runs(text) if text else [])])
                 decoded = b"".join(map(token_bytes, np.frombuffer(data, "<u4").tolist()))
                 rows.append((doc_id, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
