@@ -45,74 +45,94 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+#: A term, alone where its weight is 1.
+Pair = str | tuple[str, int]
+
+
 class Sampler:
-    """Values and sample codes of (term, weight) pairs, cached in two arrays of ``limit`` rows."""
+    """Values of (term, weight) pairs, cached in an array of ``limit`` rows; samples of texts."""
 
-    def __init__(self, samples: int = SAMPLES, limit: int = 60_000):
+    def __init__(self, samples: int = SAMPLES, limit: int = 120_000):
         self.samples, self.limit, self.rows = samples, limit, {}
         self.values = np.empty((limit, samples), np.float32)
-        self.codes = np.empty((limit, samples), np.uint16)
-        self.salts = _mix(np.arange(1, 5 * samples + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).reshape(5, samples)
-
-    def _compute(self, pairs: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.array([xxhash.xxh3_64_intdigest(term) for term, _ in pairs], np.uint64)
-        log_s = np.log(np.array([n for _, n in pairs], np.float64))[:, None].astype(np.float32)
-        bits = _mix(h[None, :, None] ^ self.salts[:, None, :])
-        u = ((bits >> _U(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        r = -np.log(u[0] * u[1])
-        t = np.floor(log_s / r + u[4])
-        value = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + 1)
-        code = _mix(h[:, None] ^ (t.astype(np.int64).astype(np.uint64) * _U(0x9E3779B97F4A7C15))) % _U(0xFFFF)
-        return value, code.astype(np.uint16)
-
-    def learn(self, wanted: set[tuple[str, int]]) -> bool:
-        """Make room for the pairs and compute the new ones; False if they don't fit at once."""
-        new = [p for p in wanted if p not in self.rows]
+        self.hashes, self.logs = np.empty(limit, np.uint64), np.empty(limit, np.float32)
+        self.salts = _mix(np.arange(1, 2 * samples + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).reshape(2, samples)
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+
+    def _shape(self, h: np.ndarray, log_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, b and t where h and the samples' salts meet (broadcast)."""
+        bits = _mix(h ^ self.salts[0])
+        r = -np.log(self._unit(bits >> _U(32)) * self._unit(bits & _U(0xFFFFFFFF)) + np.float32(1e-30))
+        b = self._unit((bits * _U(0x9E3779B97F4A7C15)) >> _U(32))
+        return r, b, np.floor(log_s / r + b)
+
+    def _values(self, h: np.ndarray, log_s: np.ndarray) -> np.ndarray:
+        r, b, t = self._shape(h[:, None], log_s[:, None])
+        bits = _mix(h[:, None] ^ self.salts[1])
+        c = -np.log(self._unit(bits >> _U(32)) * self._unit(bits & _U(0xFFFFFFFF)) + np.float32(1e-30))
+        return np.log(c) - r * (t - b + 1)
+
+    @staticmethod
+    def _terms(pairs: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
+        full = [p if p.__class__ is tuple else (p, 1) for p in pairs]
+        return np.array([xxhash.xxh3_64_intdigest(term) for term, _ in full], np.uint64), np.log(np.array([n for _, n in full], np.float64)).astype(np.float32)
+
+    def learn(self, wanted: set[Pair]) -> None:
+        """Compute the new pairs; if they don't fit beside the old, the old ones go."""
+        new = wanted.difference(self.rows)
         if len(self.rows) + len(new) > self.limit:
-            if len(wanted) > self.limit:
-                return False
             self.rows.clear()
-            new = list(wanted)
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
-            at = len(self.rows)
-            self.values[at : at + len(part)], self.codes[at : at + len(part)] = self._compute(part)
-            self.rows.update(zip(part, range(at, at + len(part))))
-        return True
-
-    def sign(self, counts: Counter) -> np.ndarray:
-        """The samples of a text; its pairs must have been learnt, else they are computed in blocks."""
-        if not counts:
+            new = wanted
+        new = list(new)[: self.limit]
+        for i in range(0, len(new), 256):  # blocks that stay in the processor's cache
+            part = new[i : i + 256]
+            at = slice(len(self.rows), len(self.rows) + len(part))
+            self.hashes[at], self.logs[at] = self._terms(part)
+            self.values[at] = self._values(self.hashes[at], self.logs[at])
+            self.rows.update(zip(part, range(at.start, at.stop)))
+
+    def sign(self, pairs: list[Pair]) -> np.ndarray:
+        """The samples of a text; pairs that weren't learnt are computed on the way."""
+        if not pairs:
             return np.full(self.samples, 0xFFFF, np.uint16)
-        every = np.arange(self.samples)
-        best = codes = None
-        pairs = list(counts.items())
-        for i in range(0, len(pairs), 4096):
-            part = pairs[i : i + 4096]
-            rows = [self.rows.get(p) for p in part]
-            if None in rows:
-                value, code = self._compute(part)
-                least = value.argmin(0)
-                low, new = value[least, every], code[least, every]
-            else:
-                at = np.array(rows)
-                value = self.values[at]
-                least = value.argmin(0)
-                low, new = value[least, every], self.codes[at[least], every]
-            if best is None:
-                best, codes = low, new
-            else:
-                lower = low < best
-                best, codes = np.where(lower, low, best), np.where(lower, new, codes)
-        return codes
+        low = np.full(self.samples, np.inf, np.float32)
+        h, log_s = np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.float32)
+        for i in range(0, len(pairs), 1024):
+            part = pairs[i : i + 1024]
+            try:
+                at = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+                value, hashes, logs = self.values[at], self.hashes[at], self.logs[at]
+            except KeyError:
+                hashes, logs = self._terms(part)
+                value = self._values(hashes, logs)
+            least = value.argmin(0)
+            found = value[least, np.arange(self.samples)]
+            lower = found < low
+            low, h, log_s = np.where(lower, found, low), np.where(lower, hashes[least], h), np.where(lower, logs[least], log_s)
+        _, _, t = self._shape(h, log_s)
+        return (_mix(h ^ (t.astype(np.int64).astype(np.uint64) * _U(0x9E3779B97F4A7C15))) % _U(0xFFFF)).astype(np.uint16)
+
+
+_sampler: list[Sampler] = []
+
+
+def _worker_sampler() -> Sampler:
+    """One sampler for all the tasks of a Python worker."""
+    if not _sampler:
+        _sampler.append(Sampler())
+    return _sampler[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def _words(text: str) -> Counter:
-    return Counter(text.split())
+def weighted_words(text: str) -> list[Pair]:
+    """A word that occurs once as itself, others with their counts: plain strings are quick to look up."""
+    return [w if n == 1 else (w, n) for w, n in Counter(text.split()).items()]
 
 
 def edit(text: str, following: str) -> str:
@@ -128,14 +148,13 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 
 def fingerprint_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by range and rank; a row with ``tail`` only follows the last of its range."""
-    sampler, block, block_chars = Sampler(), [], 0
+    sampler, block, block_chars = _worker_sampler(), [], 0
 
     def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        counts = [_words(r["text"]) for r in rows]
+        counts = [weighted_words(r["text"]) for r in rows]
         edited = [edit(a["text"], b["text"]) if not a["tail"] and a["bucket"] == b["bucket"] else None for a, b in zip(rows, rows[1:])]
-        edited_counts = [None if e is None else _words(e) for e in edited]
-        wanted = {p for c in [*counts, *edited_counts] if c for p in c.items()}
-        sampler.learn(wanted)
+        edited_counts = [None if e is None else weighted_words(e) for e in edited]
+        sampler.learn(set().union(*counts, *[c for c in edited_counts if c]))
         signs = [sampler.sign(c) for c in counts]
         out = []
         for i, e in enumerate(edited):
