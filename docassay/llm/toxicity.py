@@ -39,6 +39,8 @@ from docassay.llm.common import materialise, words
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Words whose n-grams are made at once.
+BLOCK = 8192
 #: Words of a document that speak for it.
 TOP = 3
 #: Logits are held within plus and minus this; it also stands for a word that a text doesn't have.
@@ -47,10 +49,17 @@ FLOOR = 12.0
 
 def ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' n-grams and the word of each, in order of words; none for a word without letters or digits."""
+    parts = [_ngrams(vocabulary[i : i + BLOCK]) for i in range(0, len(vocabulary), BLOCK)]
+    flat = np.concatenate([f for f, _ in parts]) if parts else np.empty(0, np.int32)
+    own = np.concatenate([o + np.int32(i * BLOCK) for i, (_, o) in enumerate(parts)]) if parts else np.empty(0, np.int32)
+    return flat, own
+
+
+def _ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bare = [_EDGE.sub("", w.lower()) for w in vocabulary]
     marked = [f"<{w}>" if w else "" for w in bare]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(marked)), [len(w) for w in marked])
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(w) for w in marked])
     buckets, owners = [], []
     for n in SIZES:
         if len(codes) < n:
@@ -60,10 +69,10 @@ def ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for i in range(n):
             h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(owner[: len(owner) - n + 1][inside])
     if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     flat, own = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return flat[order], own[order]
@@ -78,10 +87,14 @@ class Model:
     curve: tuple[float, ...] = ()
 
     def word_logits(self, vocabulary: list[str]) -> np.ndarray:
-        flat, own = ngrams(vocabulary)
-        n = np.bincount(own, minlength=len(vocabulary))
-        mean = np.bincount(own, self.weights[flat], len(vocabulary)) / np.maximum(n, 1)
-        return np.where(n > 0, np.clip(mean + self.bias, -FLOOR, FLOOR), -FLOOR)
+        out = np.empty(len(vocabulary))
+        for i in range(0, len(vocabulary), BLOCK):  # blocks bound the memory of a batch full of new words
+            part = vocabulary[i : i + BLOCK]
+            flat, own = _ngrams(part)
+            n = np.bincount(own, minlength=len(part))
+            mean = np.bincount(own, self.weights[flat], len(part)) / np.maximum(n, 1)
+            out[i : i + BLOCK] = np.where(n > 0, np.clip(mean + self.bias, -FLOOR, FLOOR), -FLOOR)
+        return out
 
 
 def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *, dims: int = 6, epochs: int = 6, min_steps: int = 40, batch: int = 4096, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
@@ -162,7 +175,7 @@ def evidence(text: Column, model: Model) -> Column:
         for texts in batches:
             out = []
             split = [set(t.split()) if t else set() for t in texts]
-            if len(known) > 700_000:
+            if len(known) > 500_000:
                 known.clear()
             new = list(set().union(*split).difference(known))
             known.update(zip(new, model.word_logits(new).tolist()))
