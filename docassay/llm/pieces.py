@@ -19,7 +19,7 @@ class Chunks(dict):
     be cut off by itself.
     """
 
-    def __init__(self, pattern, encode: Encode, limit: int = 500_000):
+    def __init__(self, pattern, encode: Encode, limit: int = 800_000):
         super().__init__()
         self.find, self.encode, self.limit, self.pieces = pattern.findall, encode, limit, {}
 
@@ -39,21 +39,23 @@ class Chunks(dict):
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [t.split(" ") for t in texts]
-        new = [c for c in {c for s in split for c in s[1:]} if c not in self]
+        every = set().union(*split)
+        new = every.difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list({c for s in split for c in s[1:]})
-        if new:
-            self._learn(new)
+            new = every
+        self._learn(list(new))
         out, odd = [], []
         get = self.__getitem__
         for i, s in enumerate(split):
+            chunks = iter(s)
+            first = next(chunks)
             try:
-                tail = b"".join(map(get, s[1:]))
-                whole = len(s) > 1 and (not s[0] or s[0][-1].isspace())
+                tail = b"".join(map(get, chunks))
+                whole = len(s) > 1 and (not first or first[-1].isspace())
             except TypeError:  # a None among them
                 tail, whole = b"", True
-            head = texts[i] if whole else s[0]
+            head = texts[i] if whole else first
             odd.append((i, self.find(head) if head else []))
             out.append(b"" if whole else tail)
         self._pieces({p for _, found in odd for p in found})

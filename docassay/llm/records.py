@@ -21,7 +21,9 @@ records and no rows. Other columns are ignored.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -84,7 +86,9 @@ def text_encoder(path: str, pattern: str) -> Chunks:
         tokenizer.encode_special_tokens = True  # a text can't forge a special token
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            if sys.byteorder == "big" or array("I").itemsize != 4:
+                return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
         _encoders[path] = Chunks(regex.compile(pattern), encode)
     return _encoders[path]
