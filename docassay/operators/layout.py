@@ -1,11 +1,12 @@
 """Labels and values by place on the page, and order-dependent work per document.
 
 Candidate relations are joins within a document on a grid of rows, so a document's tokens meet only those of
-nearby heights. The greedy operators work through one document at a time in grouped pandas.
+nearby heights. The greedy operators work through one document at a time as they stream by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,6 +14,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_document(tokens: DataFrame, work, schema: str) -> DataFrame:
+    """``work(doc_id, rows)`` for each document, rows in order of ord; it yields tuples of ``schema``.
+
+    Documents are dealt out by id and streamed, so a task holds one document at a time and pages of a few tokens
+    don't pay for a group of their own.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if rows and row.doc_id != key:
+                    out.extend(work(key, rows))
+                    rows = []
+                key = row.doc_id
+                rows.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if rows:
+            yield pd.DataFrame(list(work(key, rows)), columns=columns)
+
+    return tokens.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInPandas(stream, schema)
+
+
 def right_of(tokens: DataFrame, labels: DataFrame, height: float = 45.0) -> DataFrame:
     """The nearest token to the right of each label within ``height``: doc_id, label_ord, value_ord, distance."""
     return _nearest(tokens, labels, height, lambda dx, dy: (dx > 0) & (F.abs(dy) < height), lambda dx, dy: dx + 2 * F.abs(dy))
@@ -81,9 +108,9 @@ def value_after_label(tokens: DataFrame, labels: tuple[str, ...], headers: tuple
 def fuzzy_dedup(tokens: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Greedy: each token joins the first kept one it resembles, and takes its place if read more surely."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
+    def keep(doc_id: int, rows: list) -> Iterator[tuple]:
         kept: list[list] = []
-        for row in group.sort_values("ord").itertuples(index=False):
+        for row in rows:
             plain = "".join(ch for ch in row.text.upper() if ch.isalnum())
             for k in kept:
                 a, b = len(plain), len(k[2])
@@ -93,9 +120,9 @@ def fuzzy_dedup(tokens: DataFrame, threshold: float = 0.90) -> DataFrame:
                     break
             else:
                 kept.append([row.text, row.confidence, plain, row.ord])
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * len(kept), "ord": [k[3] for k in kept], "text": [k[0] for k in kept], "confidence": [k[1] for k in kept]})
+        return ((doc_id, k[3], k[0], k[1]) for k in kept)
 
-    return tokens.select("doc_id", "ord", "text", "confidence").groupBy("doc_id").applyInPandas(keep, "doc_id long, ord int, text string, confidence double")
+    return by_document(tokens.select("doc_id", "ord", "text", "confidence"), keep, "doc_id long, ord int, text string, confidence double")
 
 
 def dynamic_fields(tokens: DataFrame) -> DataFrame:
@@ -112,8 +139,8 @@ def dynamic_fields(tokens: DataFrame) -> DataFrame:
         t = text.strip()
         return bool(t) and len(t) <= 80 and (":" in t or "：" in t or len(t.split()) <= 7 and not re.search(r"\d{4}", t))
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(group.itertuples(index=False), key=lambda r: (r.cy, r.cx, r.ord))
+    def pair(doc_id: int, tokens_: list) -> Iterator[tuple]:
+        rows = sorted(tokens_, key=lambda r: (r.cy, r.cx, r.ord))
         out, used = [], set()
         for i, r in enumerate(rows):
             if (m := inline.match(r.text)) and not re.fullmatch(r"[\d/.\- ]+", r.text):
@@ -129,6 +156,6 @@ def dynamic_fields(tokens: DataFrame) -> DataFrame:
                 if not label_like(rows[j].text):
                     out.append((r.text.strip().rstrip(":："), rows[j].text, round(min(r.confidence, rows[j].confidence), 3), source))
                     used |= {i, j}
-        return pd.DataFrame([(group["doc_id"].iloc[0], *o) for o in out], columns=["doc_id", "label", "value", "confidence", "source"])
+        return ((doc_id, *o) for o in out)
 
-    return tokens.select("doc_id", "ord", "text", "confidence", "cx", "cy").groupBy("doc_id").applyInPandas(pair, "doc_id long, label string, value string, confidence double, source string")
+    return by_document(tokens.select("doc_id", "ord", "text", "confidence", "cx", "cy"), pair, "doc_id long, label string, value string, confidence double, source string")

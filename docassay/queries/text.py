@@ -159,7 +159,7 @@ def unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combine_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 4, "0").alias("text"), F.lit(0.5).alias("confidence"))
+    tokens = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 4, "0").alias("text"), F.lit(0.5).alias("confidence"))
     return layout.combine_digits(tokens).select("doc_id", "ord", "number", "confidence")
 
 
@@ -196,7 +196,8 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dynamic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.dynamic_fields(_tokens(spark, sf_dir).withColumn("ord", F.col("ord").cast("int")))
+    tokens = _tokens(spark, sf_dir).withColumn("ord", F.col("ord").cast("int"))
+    return layout.dynamic_fields(tokens.withColumn("text", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("No 20"), F.lpad((F.col("cx") % 97).cast("int").cast("string"), 4, "0"))).otherwise(F.col("text"))))
 
 
 def field_compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ SQL = {
         b as (select doc_id, label_ord, arg_min(value_ord, (dy, value_ord)) as value_ord, min(dy) as distance from p where dy > 0 and dy < 80 group by all)
         select * from r union all select * from b where not exists (select 1 from r where r.doc_id = b.doc_id and r.label_ord = b.label_ord)""",
     "unpaired": f"with {_TOKENS} select doc_id, ord, text from t where not exists (select 1 from t u where u.doc_id = t.doc_id and u.ord = 1 and u.text = t.text)",
-    "combine_tokens": """with t as (select l_orderkey as doc_id, l_linenumber as ord, lpad((l_partkey % 1000)::varchar, 4, '0') as text from lineitem)
+    "combine_tokens": """with t as (select l_orderkey as doc_id, l_linenumber as ord, lpad((min(l_partkey) % 1000)::varchar, 4, '0') as text from lineitem group by 1, 2)
         select doc_id, ord, number, 0.5::double as confidence from (select doc_id, ord, text || lead(text) over w || lead(text, 2) over w as number from t window w as (partition by doc_id order by ord)) where number is not null""",
     "candidate_vote": """with v as (select l_orderkey as doc_id, (l_partkey % 3)::varchar as number, max((l_partkey % 8) / 8.0) + 0.05 * least(count(*), 5) as final, min(l_linenumber) as first from lineitem group by 1, 2)
         select doc_id, arg_min(number, (-final, first, number)) as number, round(max(final)::double, 6) as final from v group by 1""",
