@@ -33,9 +33,11 @@ from docassay.llm.common import materialise, record_batch
 
 #: Ranks are below; it marks a pair that doesn't merge.
 NONE = 1 << 20
+#: Numbers from here on stand for words whose ids are still to come.
+RARE = 1 << 31
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-MARKED_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("rare", pa.list_(pa.string()))])
+MARKED_ARROW = pa.schema([("doc_id", pa.int64()), ("marked", pa.binary()), ("rare", pa.list_(pa.string()))])
 COUNT_ARROW = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
@@ -134,7 +136,7 @@ def fold_words(ranks: dict[bytes, int]):
 class _Words:
     """The words of texts, by chunk of text between single spaces; frequent words have their ids at hand."""
 
-    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 300_000):
+    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 200_000):
         import regex
 
         self.find, self.frequent, self.limit, self.chunks = regex.compile(pattern).findall, frequent, limit, {}
@@ -221,7 +223,7 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     return out
 
 
-def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 500_000, recent_limit: int = 500_000) -> DataFrame:
+def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 300_000) -> DataFrame:
     """A row per document, SCHEMA."""
     sc = documents.sparkSession.sparkContext
     ranks = read_ranks(rank_path)
@@ -230,36 +232,58 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
     frequent = sc.broadcast(frequent_words(docs, ranks, pattern, frequent_limit, fold))
     tokens = sc.broadcast({i: token for token, i in ranks.items()})
 
-    # The two functions below stand in one task, one behind the other, and see the same words in the same order: what
-    # the first has sent before, the second has kept. Each keeps the first ``recent_limit`` of a task.
+    # The two functions below stand in one task, one behind the other, and see the same words in the same order. The
+    # first numbers the task's rarer words as it meets them and writes numbers for ids; the second keeps their ids by
+    # number. Words beyond the first ``recent_limit`` are numbered anew in each text.
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sent = _Words(pattern, frequent.value), set()
+        words, sent = _Words(pattern, frequent.value), {}
         for batch in batches:
-            rare = []
-            for t in batch.column(1).to_pylist():
-                new = list({w: 0 for run in words.runs(t) if run.__class__ is tuple for w in run if w not in words.frequent and w not in sent}) if t else []
-                sent.update(new[: recent_limit - len(sent)])
-                rare.append(new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
+            for at in range(0, batch.num_rows, 500):
+                part, rare, ids = batch.slice(at, 500), [], []
+                for t in part.column(1).to_pylist():
+                    new, late, out = [], {}, []
+                    for run in words.runs(t) if t else ():
+                        if run.__class__ is bytes:
+                            out.append(run)
+                            continue
+                        for w in run:
+                            known = words.frequent.get(w) or sent.get(w) or late.get(w)
+                            if known is None:
+                                new.append(w)
+                                if len(sent) < recent_limit:
+                                    known = sent[w] = (RARE + len(sent)).to_bytes(4, "little")
+                                else:
+                                    known = late[w] = (RARE + recent_limit + len(late)).to_bytes(4, "little")
+                            out.append(known)
+                    rare.append(new)
+                    ids.append(b"".join(out))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, token_bytes, kept = _Words(pattern, frequent.value), tokens.value.__getitem__, {}
+        token_bytes, kept = tokens.value.__getitem__, []
         for batch in batches:
-            rare, ids = batch.column(2), batch.column(3)
-            names, flat = rare.flatten().to_pylist(), ids.flatten()
+            folded = batch.column(2)
+            flat = folded.flatten()
             raw = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             ends = (4 * (flat.offsets.to_numpy() - flat.offsets[0].as_py())).tolist() if len(flat) else [0]
-            of = (rare.offsets.to_numpy() - rare.offsets[0].as_py()).tolist() if len(rare) else [0]
+            of = (folded.offsets.to_numpy() - folded.offsets[0].as_py()).tolist() if len(folded) else [0]
             rows = []
-            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                own = [(names[i], raw[ends[i] : ends[i + 1]]) for i in range(of[k], of[k + 1])]
-                kept.update(own[: recent_limit - len(kept)])
-                late = dict(own)
-                look = lambda w: words.frequent.get(w) or kept.get(w) or late[w]  # noqa: B023, E731
-                data = b"".join([r if r.__class__ is bytes else b"".join(map(look, r)) for r in (words.runs(text) if text else [])])
+            for k, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own = [raw[ends[i] : ends[i + 1]] for i in range(of[k], of[k + 1])]
+                room = recent_limit - len(kept)
+                kept += own[:room]
+                late = own[room:]
+                marks = np.frombuffer(data, "<u4")
+                places = np.flatnonzero(marks >= RARE)
+                if len(places):
+                    out, last = [], 0
+                    for p, number in zip((4 * places).tolist(), (marks[places] - RARE).tolist()):
+                        out += (data[last:p], kept[number] if number < recent_limit else late[number - recent_limit])
+                        last = p + 4
+                    data = b"".join([*out, data[last:]])
                 decoded = b"".join(map(token_bytes, np.frombuffer(data, "<u4").tolist()))
                 rows.append((doc_id, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield record_batch(rows, ARROW)
 
-    marked = docs.mapInArrow(mark, "doc_id long, text string, rare array<string>")
-    return marked.select("doc_id", "text", "rare", F.transform("rare", fold).alias("ids")).mapInArrow(finish, SCHEMA)
+    marked = docs.mapInArrow(mark, "doc_id long, marked binary, rare array<string>")
+    return marked.select("doc_id", "marked", F.transform("rare", fold).alias("ids")).mapInArrow(finish, SCHEMA)
