@@ -174,18 +174,19 @@ def evidence(text: Column, model: Model) -> Column:
         known: dict[str, float] = {}
         for texts in batches:
             out = []
-            split = [set(t.split()) if t else set() for t in texts]
-            if len(known) > 500_000:
-                known.clear()
-            new = list(set().union(*split).difference(known))
-            known.update(zip(new, model.word_logits(new).tolist()))
-            for found in split:
-                if not found:
-                    out.append(None)
-                    continue
-                logits = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
-                top = np.sort(np.partition(logits, -TOP)[-TOP:] if len(logits) > TOP else logits)[::-1].tolist()
-                out.append([*top, *[-FLOOR] * (TOP - len(top)), math.log1p(len(found))])
+            for at in range(0, len(texts), 128):  # word sets of few texts at a time
+                split = [set(t.split()) if t else set() for t in texts.iloc[at : at + 128]]
+                if len(known) > 500_000:
+                    known.clear()
+                new = list(set().union(*split).difference(known))
+                known.update(zip(new, model.word_logits(new).tolist()))
+                for found in split:
+                    if not found:
+                        out.append(None)
+                        continue
+                    logits = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
+                    top = np.sort(np.partition(logits, -TOP)[-TOP:] if len(logits) > TOP else logits)[::-1].tolist()
+                    out.append([*top, *[-FLOOR] * (TOP - len(top)), math.log1p(len(found))])
             yield pd.Series(out, dtype="object")
 
     return most(text)
