@@ -226,7 +226,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     x = F.lit(offset)
     for i, w in enumerate(weights):
         x = x + F.get("_evidence", F.lit(i)) * w
-    value = F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))), F.lit(0.0))
+    # least and greatest skip nulls, so texts without evidence are told apart first.
+    value = F.when(F.col("_evidence").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
     return documents.withColumn("_evidence", evidence(F.col("text"), model)).withColumn("score", value).drop("_evidence")
 
 
