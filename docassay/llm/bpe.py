@@ -226,6 +226,8 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
 def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 300_000) -> DataFrame:
     """A row per document, SCHEMA."""
     sc = documents.sparkSession.sparkContext
+    # Plans hold the rank arrays; printed in full for every event they fill the driver's memory.
+    documents.sparkSession.conf.set("spark.sql.maxPlanStringLength", "65536")
     ranks = read_ranks(rank_path)
     fold = fold_words(ranks)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
