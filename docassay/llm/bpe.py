@@ -63,10 +63,10 @@ def overlay(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
     for (a, b), merged in pairs.items():
         by_left.setdefault(a, []).append((b, merged))
     top = max((max(p) for p in pairs), default=0) + 1
-    entries = np.full(8 * len(pairs) + 8 * top, -1, np.int64)
+    low, width = top, 4096  # offsets are tried a stretch at a time, from the first that isn't full
+    entries = np.full(8 * len(pairs) + 8 * top + 2 * width, -1, np.int64)
     taken = np.zeros(len(entries), bool)
     offset = np.full(top, 2 * top, np.int64)
-    low, width = top, 4096  # offsets are tried a stretch at a time, from the first that isn't full
     for a, row in sorted(by_left.items(), key=lambda x: (-len(x[1]), x[0])):
         columns = np.array(sorted(b for b, _ in row))
         while taken[low : low + width].all():
