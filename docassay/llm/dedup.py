@@ -8,11 +8,14 @@ doubled where that is too few), and keeps the lowest dart of each coordinate. Tw
 probability of their generalised Jaccard similarity.
 
 Search. Texts with the same words are one; the signature's bands of rows are buckets. In a bucket of up to
-``small`` texts every pair is a candidate; in a larger one, which holds mostly copies of one text, each text is
-paired with its neighbours in the orders of the following bands, so that those who agree further stand together.
-Candidates whose signatures agree too little for the threshold are dropped, the rest are compared exactly, and
-classes are the connected components of pairs at or above the threshold, found by minimum labels with
-shortcuts. No group of texts is gathered in one task, and nothing comes to the driver but counts.
+``small`` texts every pair is a candidate. Texts that larger buckets tie together form a group, which is dealt into
+blocks of about ``BLOCK`` texts; every two blocks of a group are compared in a task of their own, in which each
+pair that shares a bucket is a candidate too. Candidates whose signatures agree too little for the threshold are
+dropped, the rest are compared exactly. A pair within a group is compared there alone, so links are counted once;
+two blocks give a count for each text and the trees that tie their texts together, not the pairs. Classes are
+the connected components of pairs at or above the threshold, found by minimum labels with shortcuts. No group of
+texts is gathered in one task, and nothing comes to the driver but counts. Time and shuffled data grow with the
+square of a group's size, divided by ``BLOCK`` for the data.
 
 Cases. Null and empty texts have no words and are copies of one another. Texts that differ in white space only
 are copies. A class is named by the least doc_id in it. A null doc_id makes its row a class of its own, named
@@ -36,6 +39,7 @@ from docassay.llm.common import materialise, words
 WORDS = 5
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
+BLOCK = 128
 _U = np.uint64
 
 
@@ -57,14 +61,19 @@ def shingles(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_counts=True)
 
 
+def regions(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A name (u64) for every unit of weight: the terms of two texts overlap in as many as they share."""
+    firsts = np.cumsum(weights) - weights
+    place = (np.arange(int(weights.sum())) - np.repeat(firsts, weights)).astype(np.uint64)
+    return _mix(np.repeat(terms, weights) ^ _mix(place + _U(1)))
+
+
 def dart_signature(terms: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
     """The names (u64) of the lowest darts per coordinate; zeros for a text without terms."""
     if not len(terms):
         return np.zeros(k, np.uint64)
     # A region is one unit of a term's weight: its darts rise by exponential steps, hashed from term, unit and number.
-    firsts = np.cumsum(weights) - weights
-    place = (np.arange(int(weights.sum())) - np.repeat(firsts, weights)).astype(np.uint64)
-    region = _mix(np.repeat(terms, weights) ^ _mix(place + _U(1)))
+    region = regions(terms, weights)
     number = np.ones(len(region), np.uint64)
     dart = lambda at: _mix(region[at] + number[at] * _U(0x9E3779B97F4A7C15))
     rise = lambda d: -np.log(((d >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
@@ -136,27 +145,89 @@ def _agreement(a: str, b: str) -> Column:
     return agree(a, b)
 
 
-def candidate_pairs(sketched: DataFrame, small: int, neighbours: int) -> DataFrame:
-    """Pairs a < b of ids that share a bucket, once each. ``sketched`` has id and bands.
-
-    Buckets of up to ``small`` texts give all their pairs, at most small - 1 for each text; larger ones pair a
-    text with their least id and with the ``neighbours`` before it in the order of the next band.
-    """
-    rows = sketched.select("id", "bands", F.posexplode("bands").alias("band", "key"))
-    rows = rows.select("id", "band", "key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
+def buckets(sketched: DataFrame) -> DataFrame:
+    """id, band, key and n, the number of texts, for buckets of several. ``sketched`` has id and bands."""
+    rows = sketched.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialise(rows.join(sizes, ["band", "key"]), "buckets")
-    few = rows.where(F.col("n") <= small)
+    return materialise(rows.join(sizes, ["band", "key"]), "buckets")
+
+
+def candidate_pairs(rows: DataFrame, small: int) -> DataFrame:
+    """Pairs a < b of ids that share a bucket of up to ``small`` texts, once each: at most small - 1 a text and band."""
     inside = Window.partitionBy("band", "key").orderBy("id").rowsBetween(-small, -1)
-    pairs = few.select("id", F.collect_list("id").over(inside).alias("before")).select(F.explode("before").alias("a"), F.col("id").alias("b"))
-    # Large buckets are dealt out by stretches of the next band's hash, so a bucket is never in one task.
+    before = rows.where(F.col("n") <= small).select("id", F.collect_list("id").over(inside).alias("before"))
+    return before.select(F.explode("before").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def large_groups(rows: DataFrame, small: int, broadcast_ids: int) -> DataFrame:
+    """id, group (its least id), block and n_blocks of texts in buckets of more than ``small``."""
     many = rows.where(F.col("n") > small)
-    stretch = F.pmod(F.shiftright("next", 40), F.greatest(F.lit(1), F.ceil(F.col("n") / 256)).cast("long"))
-    near = Window.partitionBy("band", "key", "stretch").orderBy("next", "id").rowsBetween(-neighbours, -1)
-    chained = many.withColumn("stretch", stretch).select("id", F.collect_list("id").over(near).alias("before")).select(F.explode("before").alias("a"), F.col("id").alias("b"))
-    hubs = many.groupBy("band", "key").agg(F.min("id").alias("a"))
-    starred = many.join(materialise(hubs, "hubs"), ["band", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
-    return pairs.unionByName(chained).unionByName(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hubs = materialise(many.groupBy("band", "key").agg(F.min("id").alias("a")), "hubs")
+    tied = components(many.join(hubs, ["band", "key"]).select("a", F.col("id").alias("b"))).withColumnRenamed("root", "group")
+    tied = materialise(tied.unionByName(tied.select(F.col("group").alias("id"), "group").distinct()), "groups")
+    sizes = materialise(tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")), "group_sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_ids else sizes
+    return materialise(tied.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")), "blocks")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Generalised Jaccard of every text of one list with every text of the other, given as regions."""
+    m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(left), len(right)))
+
+    def ones(names: np.ndarray, lengths: np.ndarray, part: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(part, names), len(part) - 1)
+        hit = part[at] == names
+        out = np.zeros((len(lengths), len(part)), np.float32)
+        out[np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit]] = 1
+        return out
+
+    for start in range(0, len(common), 1 << 14):
+        part = common[start : start + (1 << 14)]
+        shared += ones(x, m, part) @ ones(y, n, part).T
+    return shared / np.maximum(1, m[:, None] + n[None, :] - shared)
+
+
+def _compare_blocks(threshold: float, enough: int):
+    """For two blocks of a group: id, root (the least id its links lead to here) and n, its links, of each linked text."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        one, two = rows[rows["block"] == i], rows[rows["block"] == j]
+        if one.empty or two.empty:
+            return pd.DataFrame({"id": [], "root": [], "n": []}, dtype="int64")
+        a, b = np.stack(one["bands"].to_list()), np.stack(two["bands"].to_list())
+        x, y = (np.frombuffer(b"".join(t["bytes"]), np.uint8).reshape(-1, K) for t in (one, two))
+        near, agree = np.zeros((len(a), len(b)), bool), np.zeros((len(a), len(b)), np.int16)
+        for band in range(BANDS):
+            near |= a[:, band, None] == b[None, :, band]
+        for k in range(K):
+            agree += x[:, k, None] == y[None, :, k]
+        near &= agree >= enough
+        if i == j:
+            np.fill_diagonal(near, False)
+        p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if len(p):
+            named = lambda t, at: [regions(*shingles(np.asarray(h, np.int64))) for h in t["h"].iloc[at]]
+            near[np.ix_(p, q)] &= overlaps(named(one, p), named(two, q)) >= threshold
+        ids, others = one["id"].to_numpy(np.int64), two["id"].to_numpy(np.int64)
+        top = np.iinfo(np.int64).max
+        low, high = ids.copy(), others.copy()
+        while True:
+            low_next = np.minimum(low, np.where(near, high[None, :], top).min(1))
+            high_next = np.minimum(high, np.where(near, low_next[:, None], top).min(0))
+            if (low_next == low).all() and (high_next == high).all():
+                break
+            low, high = low_next, high_next
+        if i != j:  # a block with itself has each text and link on either side
+            ids, low, n = np.concatenate([ids, others]), np.concatenate([low, high]), np.concatenate([near.sum(1), near.sum(0)])
+        else:
+            n = near.sum(1)
+        return pd.DataFrame({"id": ids, "root": low, "n": n.astype(np.int64)})[n > 0]
+
+    return compare
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -184,8 +255,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int = 24, neighbours: int = 2, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """doc_id, class_id, n_links (pairs at or above the threshold that were found for its text) per row."""
+def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int = 24, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """doc_id, class_id, n_links (the other texts at or above the threshold that share a bucket with its text) per row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     hashed = docs.withColumn("h", word_hashes(F.col("text"))).select("doc_id", F.xxhash64("h").alias("k1"), F.xxhash64(F.reverse("h"), F.lit(1)).alias("k2"), _sketch(F.col("h")).alias("s"))
     hashed = materialise(hashed.select("doc_id", F.struct("k1", "k2").alias("k"), "s.bands", "s.bytes"), "sketches")
@@ -194,20 +265,28 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int
     texts = materialise(named.groupBy("k").agg(F.min("doc_id").alias("id")), "texts")
     first = named.join(texts, "k").where("doc_id = id").select("id", "bands", "bytes").dropDuplicates(["id"])
     first = materialise(first, "first")
-    pairs = candidate_pairs(first.select("id", "bands"), small, neighbours)
-    one = first.select(F.col("id").alias("a"), F.col("bytes").alias("x"))
-    two = first.select(F.col("id").alias("b"), F.col("bytes").alias("y"))
+    rows = buckets(first.select("id", "bands"))
+    pairs = candidate_pairs(rows, small)
+    groups = large_groups(rows, small, broadcast_ids)
+    marked = materialise(first.join(groups.select("id", "group"), "id", "left").select("id", "bytes", "group"), "marked")
+    one = marked.select(F.col("id").alias("a"), F.col("bytes").alias("x"), F.col("group").alias("g"))
+    two = marked.select(F.col("id").alias("b"), F.col("bytes").alias("y"), F.col("group").alias("h"))
     enough = int(K * threshold - 6 * math.sqrt(K * threshold * (1 - threshold)))  # six deviations below the threshold
-    likely = materialise(pairs.join(one, "a").join(two, "b").where(_agreement("x", "y") >= enough).select("a", "b"), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    apart = pairs.join(one, "a").join(two, "b").where("g is null or h is null or g <> h")  # blocks take the others
+    likely = materialise(apart.where(_agreement("x", "y") >= enough).select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(groups.select(F.col("id").alias("doc_id"))).distinct()
     wanted = materialise(wanted, "wanted")
     few = wanted.count() <= broadcast_ids  # eight bytes each; beyond it the texts are shuffled instead
     held = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", word_hashes(F.col("text")).alias("h"))
     held = materialise(held, "held")
     exact = likely.join(held.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
     edges = materialise(exact.where(_similarity("x", "y") >= threshold).select("a", "b"), "links")
-    links = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    roots = components(edges)
+    texts_in = groups.join(first, "id").join(held.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    texts_in = texts_in.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "bands", "bytes", "h")
+    inside = materialise(texts_in.groupBy("group", "i", "j").applyInPandas(_compare_blocks(threshold, enough), "id long, root long, n long"), "compared")
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("id"), F.lit(1).alias("n")))
+    links = ends.unionByName(inside.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
+    roots = components(edges.unionByName(inside.select(F.col("root").alias("a"), F.col("id").alias("b"))))
     classes = materialise(texts.join(roots, "id", "left").join(links, "id", "left").select("k", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return named.select("doc_id", "k").join(classes, "k").select("doc_id", "class_id", "n_links").unionByName(hashed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 

@@ -245,6 +245,35 @@ def test_dedup_against_brute_force(spark):
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def star(rng, n_words, copies, edits):
+    """An original amid its copies, each with other words replaced."""
+    original = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    out = []
+    for c in range(copies):
+        text = list(original)
+        for at in rng.sample(range(n_words), edits):
+            text[at] = f"edit{c}x{at}"
+        out.append(" ".join(text))
+    out.insert(rng.randrange(copies // 3, copies), " ".join(original))
+    return out
+
+
+def test_dedup_loses_no_link_in_large_groups(spark):
+    rng = random.Random(11)
+    for texts, all_linked in ((star(rng, 200, 400, 4), False), (star(rng, 200, 150, 1), True)):
+        near = [set() for _ in texts]
+        grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, texts)]  # no run of five repeats here
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                    near[i].add(j)
+                    near[j].add(i)
+        assert all(len(x) == len(texts) - 1 for x in near) == all_linked
+        got = {r["doc_id"]: r for r in dedup.near_duplicates(docs(spark, texts)).collect()}
+        assert {r["class_id"] for r in got.values()} == {0}
+        assert [got[i]["n_links"] for i in range(len(texts))] == [len(x) for x in near]
+
+
 def test_darts_estimate_generalised_jaccard():
     rng = np.random.default_rng(0)
     errors = []
