@@ -170,3 +170,13 @@ def test_penalty_keys(spark):
     key = lambda rule, text: one(spark, rules.penalty_key(F.lit(rule), F.lit(text)))
     assert key("DATABASE_LOOKUP", "x") == "database_mismatch"
     assert key("DATABASE_FIELD_MATCH", "OCR 'EXPIRED'") == "expired"
+
+
+def test_countries_cover_the_whole_table(spark):
+    assert (len(adapt.ALPHA3), len(adapt.COUNTRY_NAMES)) == (177, 81)
+    raw = [(k, v) for k, v in (adapt.ALPHA3 | adapt.COUNTRY_NAMES).items()]
+    rows = spark.createDataFrame(raw, "raw string, code string").withColumn("got", adapt.normalize_country(F.lower("raw"))).collect()
+    assert len(rows) == 258 and all(r["got"] == r["code"] for r in rows)
+    known = {r["raw"]: r["got"] for r in rows}
+    assert [known[k] for k in ("AFG", "ALB", "DZA", "KHM", "CUB", "BHUTAN")] == ["AF", "AL", "DZ", "KH", "CU", "BT"]
+    assert one(spark, adapt.is_name_token(F.lit("AFG"))) is False
