@@ -185,6 +185,12 @@ def label_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", found.alias("keyword"))
 
 
+def label_keyword_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of all 117 keywords that a text holds, and its field."""
+    keyword, field = adapt.label_keyword(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", keyword.alias("keyword"), field.alias("field"))
+
+
 def fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = scans(spark, sf_dir).select("request_id", F.col("fields")["passport_number"].alias("passport_number"), F.regexp_replace(F.col("fields")["name"], "B", "E").alias("ocr")).join(registry(spark, sf_dir), "passport_number")
     same, percent = similarity.names_match(F.col("ocr"), F.col("name"))
@@ -209,7 +215,7 @@ def field_compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUNCTIONS = (
     normalize_name, normalize_identifier, normalize_numeric_id, normalize_gender, adapter_gender, normalize_date_formats, adapter_date, normalize_all_fields, field_rename,
     country_norm, verhoeff, mask_number, id_candidates, date_extract, passport_numbers, visa_numbers, label_value_split, license_number, blood_group, clean_name, clean_relation,
-    mrz_clean, mrz_parse, nearest_value, unpaired, combine_tokens, candidate_vote, image_quality, find_after_label, label_keyword, fuzzy_name, fuzzy_dedup, dynamic_fields, field_compare_status,
+    mrz_clean, mrz_parse, nearest_value, unpaired, combine_tokens, candidate_vote, image_quality, find_after_label, label_keyword, label_keyword_all, fuzzy_name, fuzzy_dedup, dynamic_fields, field_compare_status,
 )
 
 _SEX_SQL = f"list_value({', '.join(repr(x) for x in SEX_TEXTS)})[(c_custkey % {len(SEX_TEXTS)} + 1)::int]"
@@ -218,6 +224,11 @@ _LETTERS = lambda k: f"translate({k}::varchar, '0123456789', 'ABCDEFGHIJ')"  # n
 _NUMBER = "lpad((o_orderkey * 7919 + 13)::varchar, 12, '7')"
 _TOKENS = "t as (select l_orderkey as doc_id, l_linenumber as ord, 't' || (l_partkey % 50)::varchar as text, (l_partkey % 100) / 100.0 as confidence, (l_partkey % 300)::double as cx, l_suppkey % 7 * 20 + l_quantity as cy from lineitem)"
 
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 SQL = {
     "normalize_name": "select p_partkey, trim(regexp_replace(upper(p_name || '<' || p_type), '[^A-Z]+', ' ', 'g')) as name from part",
     "normalize_identifier": "select c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') as identifier from customer",
@@ -264,5 +275,9 @@ SQL = {
     "find_after_label": """select conv_id as doc_id, turn as ord, list_filter(ahead, lambda x: upper(x) not in ('USER', 'SYSTEM'))[1] as value from (
         select conv_id, turn, role, list(role) over (partition by conv_id order by turn rows between 1 following and 5 following) as ahead from conversations) where upper(role) = 'USER'""",
     "label_keyword": "select item_id, case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in ("est", "nom", "ime", "the", "der")) + " end as keyword from benchmark",
+    "label_keyword_all": "select item_id, " + ", ".join(
+        "case " + " ".join(f"when contains(lower(text), {quoted(k)}) then {quoted(shown)}" for k, shown in pairs) + f" end as {name}"
+        for name, pairs in (("keyword", [(k, k) for k in adapt.LABEL_KEYWORDS]), ("field", list(adapt.LABEL_KEYWORDS.items())))
+    ) + " from benchmark",
     "field_compare_status": "select c_custkey, ['NOT_AVAILABLE', 'MATCH', 'MISMATCH'][(c_custkey % 3 + 1)::int] as status, case when c_custkey % 3 = 1 then 1.0 else 0.0 end::double as similarity from customer",
 }

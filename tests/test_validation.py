@@ -180,3 +180,13 @@ def test_countries_cover_the_whole_table(spark):
     known = {r["raw"]: r["got"] for r in rows}
     assert [known[k] for k in ("AFG", "ALB", "DZA", "KHM", "CUB", "BHUTAN")] == ["AF", "AL", "DZ", "KH", "CU", "BT"]
     assert one(spark, adapt.is_name_token(F.lit("AFG"))) is False
+
+
+def test_label_keywords_in_the_order_of_the_whole_table(spark):
+    assert len(adapt.LABEL_KEYWORDS) == 117
+    texts = ["National ID", "Given Names", "PRENOM", "Date d'expiration", "the der", "Adresse", None]
+    keyword, field = adapt.label_keyword(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keyword.alias("k"), field.alias("f")).collect()
+    low = lambda t: next(((k, f) for k, f in adapt.LABEL_KEYWORDS.items() if k in t.lower()), (None, None)) if t else (None, None)
+    assert [(r["k"], r["f"]) for r in got] == [low(t) for t in texts]
+    assert got[0]["f"] == "id_number" and got[3]["f"] == "date_of_expiry" and got[4]["k"] is None
