@@ -2,8 +2,10 @@
 
 A word is the array of its bytes' ids between two sentinels, beside the array of ranks of its neighbours. One
 step of the fold takes the least rank, leftmost first, puts the merged id in place and looks up the two ranks
-that change. The rank map is two literal arrays: a pair (a, b) stands at ``offset[a] + b`` and the entry names
-its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another).
+that change. The rank map is literal arrays: a pair (a, b) stands at ``offset[a] + b`` and the entry names
+its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another). The literals are
+written once, as a table of one row, and plans take that row as a scalar subquery: tasks get the same constants,
+packed, and no plan prints or copies them.
 
 The words of the corpus are counted; the frequent ones, at most ``frequent_limit``, are folded once and
 their ids handed to every task. The other words are folded where they stand, each once per task as far as the
@@ -26,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.llm.common import materialise, record_batch
@@ -90,17 +92,25 @@ def _literal(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
 
 
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row, ``map``: the arrays of the rank map. Its size is the vocabulary's, a few megabytes."""
+    offset, entries = overlay(merge_pairs(ranks))
+    arrays = {
+        "offsets": np.append(offset, np.full(max(0, max(ranks.values(), default=0) + 2 - len(offset)), 2 * len(entries))),
+        "owners": np.where(entries < 0, -1, entries // NONE),
+        "merges": np.where(entries < 0, NONE, entries % NONE),
+        "byte_ids": np.array([ranks[bytes([b])] for b in range(256)]),
+    }
+    return materialise(spark.range(0, 1, 1, 1).select(F.struct(*[_literal(v).alias(k) for k, v in arrays.items()]).alias("map")), "ranks")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_words(ranks: dict[bytes, int]):
-    """A function from a string column to the array of its ids."""
-    offset, entries = overlay(merge_pairs(ranks))
-    offsets, owners, merges = _literal(offset), _literal(np.where(entries < 0, -1, entries // NONE)), _literal(np.where(entries < 0, NONE, entries % NONE))
-    byte_ids = _literal(np.array([ranks[bytes([b])] for b in range(256)]))
-    end = len(offset)  # the sentinel's id: no row, no column
+def fold_word(word: Column, end: int, offsets: Column, owners: Column, merges: Column, byte_ids: Column) -> Column:
+    """The ids of a word, by the arrays of rank_table(); ``end`` is the sentinel's id, without row or column."""
 
     def rank(a: Column, b: Column) -> Column:
         at = F.get(offsets, a) + b
@@ -123,14 +133,22 @@ def fold_words(ranks: dict[bytes, int]):
     def step(state: Column, _: Column) -> Column:
         return _let(F.array_min(state["ranks"]), lambda least: F.when(least < NONE, merge(state, least)).otherwise(state))
 
-    def fold(word: Column) -> Column:
-        sentinel = F.array(F.lit(end))
-        each = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
-        start = _let(F.concat(sentinel, each, sentinel), lambda ids: F.struct(ids.alias("ids"), F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
-        done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step)
-        return _let(done["ids"], lambda ids: F.slice(ids, 2, F.size(ids) - 2))
+    sentinel = F.array(F.lit(end))
+    each = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
+    start = _let(F.concat(sentinel, each, sentinel), lambda ids: F.struct(ids.alias("ids"), F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step)
+    return _let(done["ids"], lambda ids: F.slice(ids, 2, F.size(ids) - 2))
+
+
+def fold_words(df: DataFrame, column: str, table: DataFrame, end: int) -> DataFrame:
+    """``df`` with the array of words in ``column`` as an array of their ids."""
+    # The map is named once, so the optimizer puts the subquery where it is used and no row carries it.
+    held = df.withColumn("_ranks", table.select("map").scalar())
+
+    def fold(ranks: Column) -> Column:
+        return _let(ranks["offsets"], lambda o: _let(ranks["owners"], lambda w: _let(ranks["merges"], lambda m: _let(ranks["byte_ids"], lambda b: F.transform(column, lambda x: fold_word(x, end, o, w, m, b))))))
 
-    return fold
+    return held.select(*[c for c in df.columns if c != column], _let(F.col("_ranks"), fold).alias(column))
 
 
 class _Words:
@@ -201,7 +219,7 @@ def count_words(documents: DataFrame, pattern: str) -> DataFrame:
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, fold) -> dict[str, bytes]:
+def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, table: DataFrame, end: int) -> dict[str, bytes]:
     """Ids (little-endian u32) of the most frequent words, at most ``limit``, and of all words that are tokens."""
     counts = materialise(count_words(documents, pattern), "words")
     least, room = 1 << 62, limit
@@ -211,7 +229,8 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
         if room < 0:
             break
         least = row["n"]
-    folded = counts.where(F.col("n") >= least).select("word", fold(F.col("word")).alias("ids")).toArrow()
+    chosen = counts.where(F.col("n") >= least).select("word", F.array("word").alias("ids"))
+    folded = fold_words(chosen, "ids", table, end).select("word", F.get("ids", F.lit(0)).alias("ids")).toArrow()
     flat = folded.column("ids").combine_chunks()
     raw, ends = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * flat.offsets.to_numpy()).tolist()
     out = {w: raw[a:b] for w, a, b in zip(folded.column("word").to_pylist(), ends, ends[1:])}
@@ -226,12 +245,10 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
 def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 300_000) -> DataFrame:
     """A row per document, SCHEMA."""
     sc = documents.sparkSession.sparkContext
-    # Plans hold the rank arrays; printed in full for every event they fill the driver's memory.
-    documents.sparkSession.conf.set("spark.sql.maxPlanStringLength", "65536")
     ranks = read_ranks(rank_path)
-    fold = fold_words(ranks)
+    table, end = rank_table(documents.sparkSession, ranks), max(ranks.values(), default=0) + 1
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = sc.broadcast(frequent_words(docs, ranks, pattern, frequent_limit, fold))
+    frequent = sc.broadcast(frequent_words(docs, ranks, pattern, frequent_limit, table, end))
     tokens = sc.broadcast({i: token for token, i in ranks.items()})
 
     # The two functions below stand in one task, one behind the other, and see the same words in the same order. The
@@ -288,4 +305,4 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
             yield record_batch(rows, ARROW)
 
     marked = docs.mapInArrow(mark, "doc_id long, marked binary, rare array<string>")
-    return marked.select("doc_id", "marked", F.transform("rare", fold).alias("ids")).mapInArrow(finish, SCHEMA)
+    return fold_words(marked, "rare", table, end).mapInArrow(finish, SCHEMA)
