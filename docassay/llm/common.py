@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and the ASCII controls tab to carriage return.
@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and every executor see, under spark.checkpoint.dir.
 
-    Where that setting is absent (tests on one machine) a temporary folder takes its place and the
-    setting is filled in, so that later calls and checkpoints agree on it.
+    Where that setting is absent a master ``local`` gets a temporary folder, since driver and executors are one
+    process there, and the setting is filled in; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docassay-{uuid.uuid4().hex}"
@@ -33,10 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).table(df, label)
+
+
+class Scratch:
+    """Tables in the shared folder that can be dropped once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths = spark, shared_dir(spark), []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}-{label}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *kept: str) -> None:
+        """Delete all tables but those with the labels ``kept``."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            if path.rpartition("-")[2] not in kept:
+                where = hadoop.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = [p for p in self.paths if p.rpartition("-")[2] in kept]
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, spread: Column, *, limit: int = 50_000) -> DataFrame:
+    """Inner join of many rows with a table of one row per key, whose column n says how many rows bear the key.
+
+    A key with more than ``limit`` rows is spread over as many salts as it holds limits, by the hash of
+    ``spread``. The hot keys are broadcast: they are fewer than rows / limit.
+    """
+    hot = per_key.where(F.col("n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+    salted = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_salts").cast("int"), F.lit(0))).drop("_hot", "_salts")
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / limit).cast("int"), F.lit(1)) - 1)))
+    return salted.join(copies.drop("n"), [key, "_salt"]).drop("_salt")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def words(text):

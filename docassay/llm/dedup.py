@@ -8,38 +8,40 @@ doubled where that is too few), and keeps the lowest dart of each coordinate. Tw
 probability of their generalised Jaccard similarity.
 
 Search. Texts with the same words are one; the signature's bands of rows are buckets. In a bucket of up to
-``small`` texts every pair is a candidate. Texts that larger buckets tie together form a group, which is dealt into
-blocks of about ``BLOCK`` texts; every two blocks of a group are compared in a task of their own, in which each
-pair that shares a bucket is a candidate too. Candidates whose signatures agree too little for the threshold are
-dropped, the rest are compared exactly. A pair within a group is compared there alone, so links are counted once;
-two blocks give a count for each text and the trees that tie their texts together, not the pairs. Classes are
-the connected components of pairs at or above the threshold, found by minimum labels with shortcuts. No group of
-texts is gathered in one task, and nothing comes to the driver but counts. Time and shuffled data grow with the
-square of a group's size, divided by ``BLOCK`` for the data.
+``small`` texts every pair is a candidate; candidates whose signatures agree too little for the threshold are
+dropped, the rest are compared exactly. Texts that larger buckets tie together form a group. A group is dealt
+into blocks of bounded size, and every two blocks are compared in a task of their own, all pairs exactly, by
+products of sparse rows; two blocks give a count for each text and the trees that tie their texts together,
+never pairs. Pairs within a group are compared there alone, so a link is counted once. Classes are the connected
+components of pairs at or above the threshold. Joins on keys that many rows bear are salted, so no bucket, group,
+class or text with many copies meets in one task, and nothing comes to the driver but counts. The work on a group
+grows with the square of its texts, the data moved with its texts times its blocks.
 
 Cases. Null and empty texts have no words and are copies of one another. Texts that differ in white space only
 are copies. A class is named by the least doc_id in it. A null doc_id makes its row a class of its own, named
-null, with no links. Rows with equal doc_id are taken as one document for links and have the same class. An
-empty table gives no rows. Columns other than doc_id and text are ignored by near_duplicates() and kept by
-keep_one(), which keeps one row of each class.
+null, with no links. Rows with equal doc_id are one document: the text with the lowest digest speaks for it, and
+all have its class. An empty table gives no rows. Columns other than doc_id and text are ignored by
+near_duplicates() and kept by keep_one(), which keeps one row of each class and every row without a doc_id.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.common import materialise, words
+from docassay.llm.common import Scratch, join_hot, whole_row, words
 
 WORDS = 5
-BANDS, ROWS = 24, 4
+#: A pair at similarity 0.8 shares a band with a probability of 1 - (1 - 0.8 ** 5) ** 19, above 0.999.
+BANDS, ROWS = 19, 5
 K = BANDS * ROWS
-BLOCK = 128
+#: Texts and words of a block at most, on average; two blocks are held in a task.
+BLOCK_TEXTS, BLOCK_WORDS = 2048, 1 << 19
 _U = np.uint64
 
 
@@ -68,32 +70,62 @@ def regions(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return _mix(np.repeat(terms, weights) ^ _mix(place + _U(1)))
 
 
-def dart_signature(terms: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
-    """The names (u64) of the lowest darts per coordinate; zeros for a text without terms."""
-    if not len(terms):
-        return np.zeros(k, np.uint64)
-    # A region is one unit of a term's weight: its darts rise by exponential steps, hashed from term, unit and number.
-    region = regions(terms, weights)
+def regions_of(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The regions (u64) of all texts, given as word hashes, and the text of each; a text's regions are in one run."""
+    sizes = np.array([len(h) for h in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    flat = np.concatenate([np.asarray(h, np.int64) for h in texts]).view(np.uint64) if len(texts) else np.empty(0, np.uint64)
+    n = max(0, len(flat) - WORDS + 1)
+    terms = np.full(n, WORDS, np.uint64)
+    for i in range(WORDS):
+        terms = _mix(terms * _U(0x9E3779B97F4A7C15) + flat[i : i + n])
+    inside = owner[:n] == owner[WORDS - 1 :] if n else np.empty(0, bool)
+    short = [(i, shingles(texts[i])[0]) for i in np.flatnonzero((sizes > 0) & (sizes < WORDS))]
+    terms, owner = np.concatenate([terms[inside], *[t for _, t in short]]), np.concatenate([owner[:n][inside], *[[i] for i, _ in short]]).astype(np.int64)
+    order = np.lexsort((terms, owner))
+    terms, owner = terms[order], owner[order]
+    at = np.arange(len(terms))
+    fresh = np.ones(len(terms), bool)
+    fresh[1:] = (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])
+    place = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    return _mix(terms ^ _mix(place + _U(1))), owner
+
+
+def signatures(region: np.ndarray, owner: np.ndarray, n_texts: int, k: int = K) -> np.ndarray:
+    """Per text the names (u64) of the lowest darts per coordinate; zeros for a text without regions."""
+    best, name = np.full(n_texts * k, np.inf), np.zeros(n_texts * k, np.uint64)
+    counts = np.bincount(owner, minlength=n_texts)
     number = np.ones(len(region), np.uint64)
     dart = lambda at: _mix(region[at] + number[at] * _U(0x9E3779B97F4A7C15))
     rise = lambda d: -np.log(((d >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
     height = rise(dart(slice(None)))
-    best, name = np.full(k, np.inf), np.zeros(k, np.uint64)
-    ceiling = (k * math.log(k) + 2 * k) / len(region)  # with so many darts most texts have one per coordinate
-    while True:
-        below = np.flatnonzero(height < ceiling)
+    ceiling = (k * math.log(k) + 2 * k) / np.maximum(counts, 1)  # with so many darts most texts have one per coordinate
+    open_ = counts > 0
+    while open_.any():
+        slots, heights, names = [], [], []
+        below = np.flatnonzero((height < ceiling[owner]) & open_[owner])
         while len(below):
-            d, h = dart(below), height[below]
-            order = np.argsort(-h, kind="stable")
-            at, low = (_mix(d ^ _U(0x5851F42D4C957F2D)) % _U(k)).astype(np.int64)[order], h[order]
-            lower = low < best[at]
-            best[at[lower]], name[at[lower]] = low[lower], d[order][lower]  # the lowest is written last
+            d = dart(below)
+            slots.append(owner[below] * k + (_mix(d ^ _U(0x5851F42D4C957F2D)) % _U(k)).astype(np.int64))
+            heights.append(height[below])
+            names.append(d)
             number[below] += _U(1)
             height[below] += rise(dart(below))
-            below = below[height[below] < ceiling]
-        if np.isfinite(best).all():
-            return name
-        ceiling *= 2
+            below = below[height[below] < ceiling[owner[below]]]
+        if slots:
+            slot, low, d = map(np.concatenate, (slots, heights, names))
+            np.minimum.at(best, slot, low)
+            won = low == best[slot]
+            name[slot[won]] = d[won]
+        open_ &= ~np.isfinite(best.reshape(n_texts, k)).all(1)
+        ceiling[open_] *= 2
+    return name.reshape(n_texts, k)
+
+
+def dart_signature(terms: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
+    """The signature of one text, given as terms and weights."""
+    region = regions(terms, weights)
+    return signatures(region, np.zeros(len(region), np.int64), 1, k)[0]
 
 
 def word_hashes(text: Column) -> Column:
@@ -101,19 +133,26 @@ def word_hashes(text: Column) -> Column:
 
 
 def _sketch(hashes: Column) -> Column:
-    """Band hashes, and one byte of each sample."""
+    """Band keys, and one byte of each sample; texts are worked on together up to a number of words."""
 
     @F.pandas_udf("bands array<bigint>, bytes binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bands, marks = [], []
-            for h in batch:
-                signature = dart_signature(*shingles(np.asarray(h, np.int64)))
-                key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for row in signature.reshape(BANDS, ROWS).T:
-                    key = _mix(key * _U(0x9E3779B97F4A7C15) + row)
-                bands.append(key.view(np.int64))
-                marks.append((_mix(signature) & _U(255)).astype(np.uint8).tobytes())
+            texts = [np.asarray(h, np.int64) for h in batch]
+            at = 0
+            while at < len(texts):
+                stop, size = at + 1, len(texts[at])
+                while stop < len(texts) and size + len(texts[stop]) <= 20_000 and stop - at < 64:
+                    size += len(texts[stop])
+                    stop += 1
+                found = signatures(*regions_of(texts[at:stop]), stop - at)
+                key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (stop - at, 1))
+                for row in range(ROWS):
+                    key = _mix(key * _U(0x9E3779B97F4A7C15) + found[:, row::ROWS])
+                bands.extend(key.view(np.int64))
+                marks.extend(m.tobytes() for m in (_mix(found) & _U(255)).astype(np.uint8))
+                at = stop
             yield pd.DataFrame({"bands": bands, "bytes": marks})
 
     return sketch(hashes)
@@ -145,52 +184,58 @@ def _agreement(a: str, b: str) -> Column:
     return agree(a, b)
 
 
-def buckets(sketched: DataFrame) -> DataFrame:
-    """id, band, key and n, the number of texts, for buckets of several. ``sketched`` has id and bands."""
-    rows = sketched.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(rows.join(sizes, ["band", "key"]), "buckets")
-
-
-def candidate_pairs(rows: DataFrame, small: int) -> DataFrame:
-    """Pairs a < b of ids that share a bucket of up to ``small`` texts, once each: at most small - 1 a text and band."""
-    inside = Window.partitionBy("band", "key").orderBy("id").rowsBetween(-small, -1)
-    before = rows.where(F.col("n") <= small).select("id", F.collect_list("id").over(inside).alias("before"))
-    return before.select(F.explode("before").alias("a"), F.col("id").alias("b")).distinct()
-
-
-def large_groups(rows: DataFrame, small: int, broadcast_ids: int) -> DataFrame:
-    """id, group (its least id), block and n_blocks of texts in buckets of more than ``small``."""
-    many = rows.where(F.col("n") > small)
-    hubs = materialise(many.groupBy("band", "key").agg(F.min("id").alias("a")), "hubs")
-    tied = components(many.join(hubs, ["band", "key"]).select("a", F.col("id").alias("b"))).withColumnRenamed("root", "group")
-    tied = materialise(tied.unionByName(tied.select(F.col("group").alias("id"), "group").distinct()), "groups")
-    sizes = materialise(tied.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")), "group_sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_ids else sizes
-    return materialise(tied.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")), "blocks")
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Generalised Jaccard of every text of one list with every text of the other, given as regions."""
-    m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    x, y = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(x, y)
-    shared = np.zeros((len(left), len(right)))
-
-    def ones(names: np.ndarray, lengths: np.ndarray, part: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(part, names), len(part) - 1)
-        hit = part[at] == names
-        out = np.zeros((len(lengths), len(part)), np.float32)
-        out[np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit]] = 1
-        return out
-
-    for start in range(0, len(common), 1 << 14):
-        part = common[start : start + (1 << 14)]
-        shared += ones(x, m, part) @ ones(y, n, part).T
-    return shared / np.maximum(1, m[:, None] + n[None, :] - shared)
+    """Generalised Jaccard of every text of one list with every text of the other, given as word hashes.
 
-
-def _compare_blocks(threshold: float, enough: int):
+    Regions that many texts of both sides have are columns of two dense matrices, multiplied; the texts of the
+    rarer ones are paired region by region.
+    """
+    (x, i), (y, j) = regions_of(left), regions_of(right)
+    p, q = len(left), len(right)
+    m, n = np.bincount(i, minlength=p), np.bincount(j, minlength=q)
+    common = np.intersect1d(x, y)
+    shared = np.zeros((p, q), np.float32)
+    if len(common):
+        (c, i), (d, j) = _among(x, i, common), _among(y, j, common)
+        one, two = np.bincount(c, minlength=len(common)), np.bincount(d, minlength=len(common))
+        often = one * two * 64 > p * q
+        dense = np.flatnonzero(often)
+        place = np.full(len(common), -1)
+        for start in range(0, len(dense), 2048):
+            part = dense[start : start + 2048]
+            place[part] = np.arange(len(part))
+            a, b = np.zeros((p, len(part)), np.float32), np.zeros((q, len(part)), np.float32)
+            for matrix, own, col in ((a, i, c), (b, j, d)):
+                hit = place[col] >= 0
+                matrix[own[hit], place[col[hit]]] = 1
+            shared += a @ b.T
+            place[part] = -1
+        # Rare regions: entries sorted by region; each left entry meets the right entries of its region.
+        keep, order = ~often[c], np.argsort(d, kind="stable")
+        c, i, j = c[keep], i[keep], j[order]
+        first = np.cumsum(two) - two
+        lengths = two[c]
+        ends = np.cumsum(lengths)
+        flat = shared.reshape(-1)
+        at = 0
+        while at < len(c):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+            size = lengths[at:stop]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            pair = np.repeat(i[at:stop], size) * q + j[np.repeat(first[c[at:stop]], size) + inner]
+            np.add.at(flat, pair, np.float32(1))
+            at = stop
+    return shared / np.maximum(1, m[:, None] + n[None, :] - shared.astype(np.float64))
+
+
+def _among(names: np.ndarray, owner: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place among ``common`` and the owner of each name that is one of them."""
+    at = np.minimum(np.searchsorted(common, names), len(common) - 1)
+    hit = common[at] == names
+    return at[hit], owner[hit]
+
+
+def _compare_blocks(threshold: float):
     """For two blocks of a group: id, root (the least id its links lead to here) and n, its links, of each linked text."""
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -198,20 +243,9 @@ def _compare_blocks(threshold: float, enough: int):
         one, two = rows[rows["block"] == i], rows[rows["block"] == j]
         if one.empty or two.empty:
             return pd.DataFrame({"id": [], "root": [], "n": []}, dtype="int64")
-        a, b = np.stack(one["bands"].to_list()), np.stack(two["bands"].to_list())
-        x, y = (np.frombuffer(b"".join(t["bytes"]), np.uint8).reshape(-1, K) for t in (one, two))
-        near, agree = np.zeros((len(a), len(b)), bool), np.zeros((len(a), len(b)), np.int16)
-        for band in range(BANDS):
-            near |= a[:, band, None] == b[None, :, band]
-        for k in range(K):
-            agree += x[:, k, None] == y[None, :, k]
-        near &= agree >= enough
+        near = overlaps(one["h"].to_list(), two["h"].to_list()) >= threshold
         if i == j:
             np.fill_diagonal(near, False)
-        p, q = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        if len(p):
-            named = lambda t, at: [regions(*shingles(np.asarray(h, np.int64))) for h in t["h"].iloc[at]]
-            near[np.ix_(p, q)] &= overlaps(named(one, p), named(two, q)) >= threshold
         ids, others = one["id"].to_numpy(np.int64), two["id"].to_numpy(np.int64)
         top = np.iinfo(np.int64).max
         low, high = ids.copy(), others.copy()
@@ -230,71 +264,106 @@ def _compare_blocks(threshold: float, enough: int):
     return compare
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, root (the least id of its component) for every id in ``edges`` (a, b).
+def components(members: DataFrame, rounds: int = 60) -> DataFrame:
+    """id, root (the least id of its component) for every id in ``members`` (id, key): ids with a key in common are tied.
 
-    Alternates the two steps of star contraction: every larger neighbour of a node is tied to the least id
-    around it, then every node's smaller neighbours are. Edges never grow, and a few rounds leave stars.
+    Each round gives every key the least label of its ids, combined before the shuffle, and every id the least
+    label of its keys; from the third on labels take their own labels too, so long chains settle in few rounds.
     """
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(small_least, "a")
-        small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b"))).where("a <> b")
-        edges = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+    scratch = Scratch(members.sparkSession)
+    sized = members.groupBy("key").agg(F.count("*").alias("n"))
+    rows = join_hot(members, sized.withColumn("m", F.col("n")), "key", F.col("id"))
+    state = scratch.table(rows.groupBy("id").agg(F.collect_list(F.struct("key", F.col("m").alias("n"))).alias("keys")).withColumn("label", F.col("id")), "labels")
+    for turn in range(rounds):
+        each = state.select("id", "label", F.explode("keys").alias("k")).select("id", "label", "k.key", "k.n")
+        low = each.groupBy("key").agg(F.min("label").alias("low"), F.max("n").alias("n"))
+        met = join_hot(each.select("id", "label", "key", F.col("n").alias("m")), low, "key", F.col("id"))
+        after = met.groupBy("id").agg(F.min(F.least("label", "low")).alias("label"), F.max("label").alias("before"), F.collect_list(F.struct("key", F.col("m").alias("n"))).alias("keys"))
+        if turn >= 2:
+            after = scratch.table(after, f"step{turn}")
+            heads = after.groupBy("label").agg(F.count("*").alias("n"))
+            up = after.select(F.col("id").alias("label"), F.col("label").alias("up")).join(heads, "label")
+            after = join_hot(after, up, "label", F.col("id")).withColumn("label", F.least("label", "up")).drop("up")
+        state = scratch.table(after, f"labels{turn}")
+        if state.where("label < before").isEmpty():
             break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    scratch.clear(f"labels{turn}")
+    return state.select("id", F.col("label").alias("root"))
+
+
+def large_groups(buckets: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, group (its least id), block and n_blocks of the texts in ``buckets`` (id, key); ``sizes`` has id and n_words."""
+    tied = components(buckets).withColumnRenamed("root", "group").join(sizes, "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_words") / BLOCK_WORDS)).cast("int")
+    groups = scratch.table(tied.groupBy("group").agg(blocks.alias("n_blocks"), F.count("*").alias("n")), "groups")
+    return scratch.table(join_hot(tied.select("id", "group"), groups, "group", F.col("id")).withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")), "blocks")
+
+
+def candidate_pairs(rows: DataFrame, small: int) -> DataFrame:
+    """Pairs a < b of ids that share a bucket (key) and aren't of one group, once each: at most small - 1 a text and bucket."""
+    inside = Window.partitionBy("key").orderBy("id").rowsBetween(-small, -1)
+    met = rows.select("id", "group", F.collect_list(F.struct("id", F.coalesce("group", -F.col("id") - 1).alias("group"))).over(inside).alias("before"))
+    other = F.filter("before", lambda x: F.col("group").isNull() | (x["group"] != F.col("group")))  # blocks compare the rest
+    return met.select(F.explode(other["id"]).alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, small: int = 24, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """doc_id, class_id, n_links (the other texts at or above the threshold that share a bucket with its text) per row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    hashed = docs.withColumn("h", word_hashes(F.col("text"))).select("doc_id", F.xxhash64("h").alias("k1"), F.xxhash64(F.reverse("h"), F.lit(1)).alias("k2"), _sketch(F.col("h")).alias("s"))
-    hashed = materialise(hashed.select("doc_id", F.struct("k1", "k2").alias("k"), "s.bands", "s.bytes"), "sketches")
+    """doc_id, class_id, n_links (the other texts at or above the threshold that share a bucket or group with its text) per row."""
+    scratch = Scratch(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = docs.withColumn("h", word_hashes(F.col("text"))).select("doc_id", F.struct(F.xxhash64("h").alias("k1"), F.xxhash64(F.reverse("h"), F.lit(1)).alias("k2")).alias("k"), F.size("h").alias("n_words"), _sketch(F.col("h")).alias("s"))
+    hashed = scratch.table(hashed.select("doc_id", "k", "n_words", "s.bands", "s.bytes"), "sketches")
     named = hashed.where("doc_id is not null")
     # One id for texts with the same words: a grouped minimum, combined before the shuffle.
-    texts = materialise(named.groupBy("k").agg(F.min("doc_id").alias("id")), "texts")
-    first = named.join(texts, "k").where("doc_id = id").select("id", "bands", "bytes").dropDuplicates(["id"])
-    first = materialise(first, "first")
-    rows = buckets(first.select("id", "bands"))
-    pairs = candidate_pairs(rows, small)
-    groups = large_groups(rows, small, broadcast_ids)
-    marked = materialise(first.join(groups.select("id", "group"), "id", "left").select("id", "bytes", "group"), "marked")
-    one = marked.select(F.col("id").alias("a"), F.col("bytes").alias("x"), F.col("group").alias("g"))
-    two = marked.select(F.col("id").alias("b"), F.col("bytes").alias("y"), F.col("group").alias("h"))
+    texts = named.groupBy("k").agg(F.min(F.struct("doc_id", "n_words", "bands", "bytes")).alias("m"), F.count("*").alias("n"))
+    texts = scratch.table(texts.select("k", "n", F.col("m.doc_id").alias("id"), "m.n_words", "m.bands", "m.bytes"), "texts")
+    first = texts.select("id", "k", "n_words", "bands", "bytes")
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():  # some doc_id has several texts
+        first = first.groupBy("id").agg(F.min(F.struct("k", "n_words", "bands", "bytes")).alias("m")).select("id", "m.*")
+        first = scratch.table(first, "first")
+    rows = first.select("id", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = scratch.table(join_hot(rows, sizes.withColumn("size", F.col("n")), "key", F.col("id")), "buckets")
+    groups = large_groups(rows.where(F.col("size") > small).select("id", "key"), first.select("id", "n_words"), scratch)
+    pairs = candidate_pairs(rows.where(F.col("size") <= small).join(groups.select("id", "group"), "id", "left"), small)
+    one = first.select(F.col("id").alias("a"), F.col("bytes").alias("x"))
+    two = first.select(F.col("id").alias("b"), F.col("bytes").alias("y"))
     enough = int(K * threshold - 6 * math.sqrt(K * threshold * (1 - threshold)))  # six deviations below the threshold
-    apart = pairs.join(one, "a").join(two, "b").where("g is null or h is null or g <> h")  # blocks take the others
-    likely = materialise(apart.where(_agreement("x", "y") >= enough).select("a", "b"), "likely")
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(groups.select(F.col("id").alias("doc_id"))).distinct()
-    wanted = materialise(wanted, "wanted")
-    few = wanted.count() <= broadcast_ids  # eight bytes each; beyond it the texts are shuffled instead
-    held = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", word_hashes(F.col("text")).alias("h"))
-    held = materialise(held, "held")
+    likely = scratch.table(pairs.join(one, "a").join(two, "b").where(_agreement("x", "y") >= enough).select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).unionByName(groups.select("id")).distinct()
+    wanted = scratch.table(wanted.join(first.select("id", F.col("k.k1").alias("k1")), "id").select(F.col("id").alias("doc_id"), "k1"), "wanted")
+    few = wanted.count() <= broadcast_ids  # sixteen bytes each; beyond it the texts are shuffled instead
+    held = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "k1", word_hashes(F.col("text")).alias("h"))
+    held = scratch.table(held.where(F.xxhash64("h") == F.col("k1")).select("doc_id", "h").dropDuplicates(["doc_id"]), "held")
     exact = likely.join(held.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
-    edges = materialise(exact.where(_similarity("x", "y") >= threshold).select("a", "b"), "links")
-    texts_in = groups.join(first, "id").join(held.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    texts_in = texts_in.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "bands", "bytes", "h")
-    inside = materialise(texts_in.groupBy("group", "i", "j").applyInPandas(_compare_blocks(threshold, enough), "id long, root long, n long"), "compared")
-    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("id"), F.lit(1).alias("n")))
-    links = ends.unionByName(inside.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
-    roots = components(edges.unionByName(inside.select(F.col("root").alias("a"), F.col("id").alias("b"))))
-    classes = materialise(texts.join(roots, "id", "left").join(links, "id", "left").select("k", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return named.select("doc_id", "k").join(classes, "k").select("doc_id", "class_id", "n_links").unionByName(hashed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-
-
-def keep_one(documents: DataFrame, **how) -> DataFrame:
-    """One document of each class, the one whose id names it, with the columns of ``documents``; null ids stay."""
-    keep = near_duplicates(documents, **how).where("doc_id = class_id").select("doc_id").distinct()
-    row = F.struct(*documents.columns)
-    docs = documents.select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row"), F.xxhash64("text").alias("_t"))
-    kept = docs.join(materialise(keep, "kept").withColumnRenamed("doc_id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
-    return kept.select("_row.*").unionByName(docs.where("_id is null").select("_row.*"))
+    edges = scratch.table(exact.where(_similarity("x", "y") >= threshold).select("a", "b"), "links")
+    texts_in = groups.join(held.withColumnRenamed("doc_id", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    texts_in = texts_in.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "h")
+    compare = "group long, i int, j int, id long, root long, n long"
+    block_pairs = texts_in.groupBy("group", "i", "j").applyInPandas(lambda key, rows: _compare_blocks(threshold)(key, rows).assign(group=key[0], i=key[1], j=key[2])[["group", "i", "j", "id", "root", "n"]], compare)
+    inside = scratch.table(block_pairs, "compared")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"), F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(-1).alias("i"), F.lit(-1).alias("j")).alias("key"), F.lit(1).cast("long").alias("n"))
+    trees = inside.select("id", F.struct(F.col("group").alias("x"), F.col("root").alias("y"), "i", "j").alias("key"), "n")
+    tied = ends.unionByName(trees)
+    links = tied.groupBy("id").agg(F.sum("n").alias("n_links"))
+    classes = texts.select("k", "id", "n").join(components(tied.select("id", "key")), "id", "left").join(links, "id", "left")
+    classes = scratch.table(classes.select("k", "n", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    scratch.clear("sketches", "classes")
+    out = join_hot(named.select("doc_id", "k"), classes, "k", F.col("doc_id")).select("doc_id", "class_id", "n_links")
+    return out.unionByName(hashed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def keep_one(documents: DataFrame, *, broadcast_ids: int = 1_000_000, **how) -> DataFrame:
+    """One document of each class, the one whose id names it, with the columns of ``documents``; null ids stay.
+
+    Of several rows with that id the one with the lowest digest stays.
+    """
+    scratch = Scratch(documents.sparkSession)
+    named = near_duplicates(documents, broadcast_ids=broadcast_ids, **how).where("doc_id = class_id")
+    keep = scratch.table(named.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    docs = documents.select(F.col("doc_id").cast("long").alias("_id"), whole_row(documents).alias("_row"))
+    found = docs.join(F.broadcast(keep) if keep.count() <= broadcast_ids else keep, "_id")
+    several = found.where("_n > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return found.where("_n = 1").select("_row.*").unionByName(several.select("_row.*")).unionByName(docs.where("_id is null").select("_row.*"))

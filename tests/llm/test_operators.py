@@ -211,9 +211,12 @@ def test_water_filling():
     assert sum(t for *_, t in got) == pytest.approx(1.5 * 1110) and all(t <= 2 * n for _, n, t in got)
 
 
-def jaccard(a, b):
-    grams = lambda t: Counter(tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))) if words(t) else Counter()
-    x, y = grams(a), grams(b)
+def five_grams(text):
+    w = words(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def jaccard(x, y):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
@@ -229,11 +232,11 @@ def test_dedup_against_brute_force(spark):
             texts.append(" ".join(copy))
     shared = " ".join(f"boiler{i}" for i in range(60))
     texts += [f"{shared} {' '.join(f'own{k}x{i}' for i in range(40))}" for k in range(20)]
-    classes = list(range(len(texts)))
+    classes, split, grams = list(range(len(texts))), [words(t) for t in texts], [five_grams(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            same = words(texts[i]) == words(texts[j])
-            if same or jaccard(texts[i], texts[j]) >= 0.8:
+            same = split[i] == split[j]
+            if same or jaccard(grams[i], grams[j]) >= 0.8:
                 low, high = sorted((classes[i], classes[j]))
                 classes = [low if c == high else c for c in classes]
     for small in (24, 2):  # the second way sends nearly all through the path of large buckets
