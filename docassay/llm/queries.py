@@ -53,7 +53,7 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = shared_dir(spark)
-    records.write_records(table(spark, sf_dir, "documents"), f"{base}/records", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    records.write_records(table(spark, sf_dir, "documents"), f"{base}/records", public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return records.write_index(spark, f"{base}/records", f"{base}/index").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -73,34 +73,35 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 _encoders: dict[str, Chunks] = {}
 
 
-def text_encoder(path: str, pattern: str) -> Chunks:
-    """The worker's cached encoder for a file of the tokenizers library, ids as little-endian u32."""
+def text_encoder(path: str) -> Chunks:
+    """The worker's cached encoder for a byte-level file of the tokenizers library, ids as little-endian u32."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # a text can't forge a special token
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        def encode(texts: list[str]) -> list[bytes]:
             if sys.byteorder == "big" or array("I").itemsize != 4:
-                return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+                return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _encoders[path] = Chunks(regex.compile(pattern), encode)
+        tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+        leads = np.array([t.startswith("\u0120") for t in tokens])  # byte-level files write a space so
+        special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        _encoders[path] = Chunks(encode, leads, special)
     return _encoders[path]
 
 
-def write_records(documents: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int, *, bundle_bytes: int = 1 << 20, bundles_per_file: int = 32) -> None:
+def write_records(documents: DataFrame, path: str, tokenizer: str, end_id: int, *, bundle_bytes: int = 1 << 20, bundles_per_file: int = 32) -> None:
     """Encode every text, end it with ``end_id`` and write the records in ascending doc_id order."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail, held, size = text_encoder(tokenizer, pattern), struct.pack("<I", end_id), [], 0
+        encoder, tail, held, size = text_encoder(tokenizer), struct.pack("<I", end_id), [], 0
         emit = lambda: pa.RecordBatch.from_pydict({"value": pa.array([END.join(held)], pa.binary())})
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -141,11 +142,16 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Scan the files below ``path``, write their offset index to ``index`` and return it.
 
-    Starts come from a running sum over files: one number per file, in a single small window.
+    Starts come from sums of two levels: files within their part, in windows by part, and parts one after
+    another. The sums of parts are a number per task that wrote records, so their window is small at any size.
     """
     scanned = materialise(scan_records(spark, path), "scan")
-    w = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
-    files = scanned.groupBy("part", "roll").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    placed = scanned.join(F.broadcast(files), ["part", "roll"])  # a row per file, each of tens of megabytes
+    files = scanned.groupBy("part", "roll").agg(F.sum("n_tokens").alias("n"))
+    before = Window.partitionBy("part").orderBy("roll").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = files.groupBy("part").agg(F.sum("n").alias("m"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("earlier", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
+    placed = scanned.join(files.join(parts, "part").select("part", "roll", (F.col("earlier") + F.col("inside")).alias("base")), ["part", "roll"])
     placed.select("file", "offset", "length", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32").write.parquet(index)
     return spark.read.schema("file string, offset long, length long, doc_id long, start long, n_tokens long, ids_crc32 long").parquet(index)
