@@ -1,24 +1,27 @@
 """Toxicity by subword bags: character n-gram embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (with marks at its ends), hashed into BUCKETS vectors; the mean of
-the vectors goes into a softmax over clean and toxic. Vectors and softmax are trained together in numpy on
-the words of a bounded sample of labelled documents: a word counts as toxic as often as it stands in toxic
-texts and as clean as often as in clean ones. A document's evidence is the logits of its TOP most toxic words
-and the logarithm of its number of words, since a long text meets odd words by chance. A logistic curve over
-them, fitted on a part of the sample that the vectors never saw and weighted to the labels' own shares,
-gives the score. A misspelling or an ending that no training text holds still shares most of its n-grams
-with the word it stands for.
-
-Since the softmax is linear, a trained model is one number per bucket and a bias: the mean of the numbers of
+A word is the bag of its character n-grams (with marks at its ends), hashed into BUCKETS vectors, and the mean of
+the vectors stands for it. A document is the mean of its distinct words' vectors, each weighted by the exponential
+of ``sharpness`` times its own logit, so every word counts and few toxic words aren't lost in a long text. That
+mean, with the logarithm of the number of words beside it, goes into a linear softmax over clean and toxic, which
+is the score. All is trained in numpy: first vectors and softmax on single words as the smallest documents, a word
+counting as toxic as often as it stands in toxic texts and as clean as often as in clean ones; then vectors,
+softmax, sharpness and length together on documents that the first part never saw, weighted to the labels' own
+shares. A misspelling or an ending that no training text holds still shares most of its n-grams with the word it
+stands for.
+
+Since the softmax is linear, a trained model is one number per bucket and four more: the mean of the numbers of
 a word's n-grams is its logit. That array of fixed size is what executors get.
 
 Sample. Of the rows that may be learnt from, at most ``max_docs`` per label, lowest hash of doc_id first;
-equal texts count once. Two thirds train the vectors, one third the curve.
+equal texts count once. Two thirds train the words, at most the ``max_words`` that most of their texts hold;
+one third trains documents, in order of a hash as long as their distinct words sum to ``max_pooled`` at most.
 
-Cases. A null or empty text, or one without letters, has no evidence and score 0. Labels repeated for a
+Cases. A null or empty text, or one without letters or digits, has no words and score 0. Labels repeated for a
 document count as their maximum; null labels and null doc_ids are not learnt from. With labels of one kind
-only, or none, every score is 0. Repeated rows get equal scores. An empty table gives no rows. score()
-replaces a column score; other columns are kept.
+only, or none, in the sample, every score is 0; where only the third for documents lacks one kind, documents
+that trained words take its place. Repeated rows get equal scores. An empty table gives no rows. score() replaces
+a column score; other columns are kept.
 """
 
 from __future__ import annotations
@@ -34,17 +37,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import materialise, words
+from docassay.llm.common import materialise
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: Words whose n-grams are made at once.
 BLOCK = 8192
-#: Words of a document that speak for it.
-TOP = 3
-#: Logits are held within plus and minus this; it also stands for a word that a text doesn't have.
-FLOOR = 12.0
 
 
 def ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,25 +79,39 @@ def _ngrams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Collapsed vectors: a logit share per bucket and the bias; curve: weights of the evidence and an offset."""
+    """Collapsed vectors, a logit share per bucket and the bias of words; what turns pooled words into a document's logit."""
 
     weights: np.ndarray
     bias: float
-    curve: tuple[float, ...] = ()
+    sharpness: float = 1.0
+    scale: float = 1.0
+    length: float = 0.0
+    offset: float = 0.0
 
     def word_logits(self, vocabulary: list[str]) -> np.ndarray:
+        """A logit per word; nan for a word without letters or digits."""
         out = np.empty(len(vocabulary))
         for i in range(0, len(vocabulary), BLOCK):  # blocks bound the memory of a batch full of new words
             part = vocabulary[i : i + BLOCK]
             flat, own = _ngrams(part)
             n = np.bincount(own, minlength=len(part))
             mean = np.bincount(own, self.weights[flat], len(part)) / np.maximum(n, 1)
-            out[i : i + BLOCK] = np.where(n > 0, np.clip(mean + self.bias, -FLOOR, FLOOR), -FLOOR)
+            out[i : i + BLOCK] = np.where(n > 0, mean + self.bias, np.nan)
         return out
 
+    def score_words(self, logits: np.ndarray) -> float:
+        """The probability of toxic for the logits of a document's distinct words; 0 without any."""
+        z = logits[~np.isnan(logits)]
+        if not len(z):
+            return 0.0
+        weight = np.exp(self.sharpness * (z - z.max()))
+        pooled = float(weight @ z / weight.sum())
+        x = self.offset + self.scale * pooled + self.length * math.log(len(z))
+        return 1 / (1 + math.exp(-min(60.0, max(-60.0, x))))
 
-def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *, dims: int = 6, epochs: int = 6, min_steps: int = 40, batch: int = 4096, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Vectors and softmax by Adam on word counts; the classes weigh the same in sum."""
+
+def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *, dims: int = 6, epochs: int = 6, min_steps: int = 40, batch: int = 4096, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, softmax and bias by Adam on word counts; the classes weigh the same in sum."""
     every, own = ngrams(vocabulary)
     sizes = np.bincount(own, minlength=len(vocabulary))
     some = sizes > 0
@@ -106,7 +119,7 @@ def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *,
     firsts = np.cumsum(sizes) - sizes
     n = (toxic + clean)[some]
     share = toxic[some] / n
-    weight = np.log1p(n)
+    weight = np.log(n + 0.2)  # a word of one text says little
     pos, neg = weight * share, weight * (1 - share)
     pos, neg = pos / max(pos.sum(), 1e-9), neg / max(neg.sum(), 1e-9)
     scale = len(sizes) / 2
@@ -146,7 +159,7 @@ def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *,
                 b *= 0.999
                 b += 0.001 * gx * gx
                 x -= rate * fix * a / (np.sqrt(b) + 1e-8)
-    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, soft, bias
 
 
 def fit_curve(evidence: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
@@ -166,33 +179,89 @@ def fit_curve(evidence: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridg
     return tuple(float(v) for v in w)
 
 
-def evidence(text: Column, model: Model) -> Column:
-    """The logits of the TOP most toxic words of each text, highest first, and the log of its distinct words; null without words."""
+def pooled_loss(vectors: np.ndarray, soft: np.ndarray, numbers: np.ndarray, bag: tuple[np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Weighted cross entropy of documents and its gradients.
 
-    @F.pandas_udf("array<double>")
-    def most(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 128):  # word sets of few texts at a time
-                split = [set(t.split()) if t else set() for t in texts.iloc[at : at + 128]]
-                if len(known) > 500_000:
-                    known.clear()
-                new = list(set().union(*split).difference(known))
-                known.update(zip(new, model.word_logits(new).tolist()))
-                for found in split:
-                    if not found:
-                        out.append(None)
-                        continue
-                    logits = np.fromiter(map(known.__getitem__, found), np.float64, len(found))
-                    top = np.sort(np.partition(logits, -TOP)[-TOP:] if len(logits) > TOP else logits)[::-1].tolist()
-                    out.append([*top, *[-FLOOR] * (TOP - len(top)), math.log1p(len(found))])
-            yield pd.Series(out, dtype="object")
+    ``soft`` is the toxic column of the softmax less the clean one. ``numbers``: bias of words, sharpness, scale,
+    length, offset. ``bag``: buckets of n-grams and the word of each, in order of words. ``pool``: words and the
+    document of each, in order of documents; every word has an n-gram and every document a word.
+    """
+    bias, sharp, scale, length, offset = numbers
+    (flat, own), (word, doc) = bag, pool
+    sizes, n = np.bincount(own), np.bincount(doc, minlength=len(labels))
+    starts, firsts = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    mean = np.add.reduceat(vectors[flat], starts, axis=0) / sizes[:, None]
+    z = (mean @ soft + bias)[word]
+    top = np.maximum.reduceat(sharp * z, firsts)
+    a = np.exp(sharp * z - top[doc])
+    total = np.add.reduceat(a, firsts)
+    a /= total[doc]
+    p = np.add.reduceat(a * z, firsts)
+    x = offset + scale * p + length * np.log(n)
+    loss = float((weight * (np.logaddexp(0, x) - labels * x)).sum())
+    g = weight * (1 / (1 + np.exp(-np.clip(x, -60, 60))) - labels)
+    gz = np.bincount(word, (g * scale)[doc] * a * (1 + sharp * (z - p[doc])), len(sizes))
+    steeper = np.add.reduceat(a * z * z, firsts) - p * p
+    used, where = np.unique(flat, return_inverse=True)
+    share = (gz / sizes)[own]
+    grad_vectors = np.stack([np.bincount(where, share * s, len(used)) for s in soft], 1)
+    grad_numbers = np.array([gz.sum(), (g * scale * steeper).sum(), (g * p).sum(), (g * np.log(n)).sum(), g.sum()])
+    return loss, {"used": used, "vectors": grad_vectors, "soft": gz @ mean, "numbers": grad_numbers}
+
+
+def train_documents(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, docs: list[list[str]], labels: np.ndarray, weight: np.ndarray, *, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Model:
+    """Vectors, softmax and pooling together by Adam on whole documents, from the words' vectors on."""
+    vectors, soft = vectors.astype(np.float64), (soft[:, 1] - soft[:, 0]).astype(np.float64)
+    vocabulary = sorted(set().union(*docs))
+    place = {w: i for i, w in enumerate(vocabulary)}
+    flat, own = ngrams(vocabulary)
+    sizes = np.bincount(own, minlength=len(vocabulary))
+    starts = np.cumsum(sizes) - sizes
+    held = [np.array([i for w in d if sizes[i := place[w]]], np.int64) for d in docs]
+    some = np.flatnonzero([len(h) for h in held])
+    start = Model((vectors @ soft).astype(np.float32), float(bias[1] - bias[0]))
+    z = start.word_logits(vocabulary)
+    fits = []
+    for sharp in (0.5, 1.0, 2.0, 4.0, 8.0):  # where the common training starts from
+        pooled = np.array([[(e := np.exp(sharp * (z[h] - z[h].max()))) @ z[h] / e.sum(), math.log(len(h))] for h in (held[i] for i in some)])
+        scale, length, offset = fit_curve(pooled, labels[some], weight[some])
+        x = pooled @ (scale, length) + offset
+        fits.append((float(weight[some] @ (np.logaddexp(0, x) - labels[some] * x)), sharp, scale, length, offset))
+    numbers = np.array([start.bias, *min(fits)[1:]])
+    state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (("vectors", vectors), ("soft", soft), ("numbers", numbers))}
+    rng, step = np.random.default_rng(seed), 0
+    for _ in range(epochs):
+        order = rng.permutation(some)
+        for at in range(0, len(order), batch):
+            pick = order[at : at + batch]
+            words_ = np.concatenate([held[i] for i in pick])
+            known, word = np.unique(words_, return_inverse=True)
+            doc = np.repeat(np.arange(len(pick)), [len(held[i]) for i in pick])
+            length_ = sizes[known]
+            inner = np.arange(length_.sum()) - np.repeat(np.cumsum(length_) - length_, length_)
+            bag = flat[np.repeat(starts[known], length_) + inner], np.repeat(np.arange(len(known)), length_)
+            w = weight[pick] / weight[some].mean() / len(pick)
+            _, grads = pooled_loss(vectors, soft, numbers, bag, (word, doc), labels[pick], w)
+            step += 1
+            fix = math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for key, value, rows, speed in (("vectors", vectors, grads["used"], rate), ("soft", soft, slice(None), rate), ("numbers", numbers, slice(None), rate)):
+                m, v = state[key]
+                m[rows] = 0.9 * m[rows] + 0.1 * grads[key]
+                v[rows] = 0.999 * v[rows] + 0.001 * grads[key] ** 2
+                value[rows] -= speed * fix * m[rows] / (np.sqrt(v[rows]) + 1e-8)
+            numbers[1] = max(numbers[1], 0.05)
+    return Model((vectors @ soft).astype(np.float32), *map(float, numbers))
+
+
+def distinct_words(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(t.split())) if t else [])
 
-    return most(text)
+    return split(text)
 
 
-def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_words: int = 2000) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_words: int = 400_000, max_pooled: int = 2_000_000) -> Model | None:
     """A model from labelled documents, or None where labels of one kind are missing.
 
     ``labels`` has doc_id and toxic and holds only rows that may be learnt from.
@@ -202,33 +271,47 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_
     chosen = known.where("toxic = 1").orderBy("h").limit(max_docs).unionByName(known.where("toxic = 0").orderBy("h").limit(max_docs))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 x max_docs rows
     texts = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.min("h").alias("h"), F.first("text").alias("text"))
-    texts = materialise(texts.withColumn("fold", F.pmod(F.xxhash64("h"), F.lit(3))).repartition(8), "sample")
-    counts = texts.where("fold > 0").select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).toPandas()
+    texts = materialise(texts.repartition(8, "key").select("toxic", F.pmod(F.xxhash64("h"), F.lit(3)).alias("fold"), F.xxhash64("key").alias("at"), distinct_words(F.col("text")).alias("words")), "sample")
+    counts = texts.where("fold > 0").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    counts = counts.orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(max_words).toPandas()
     if not counts["toxic"].sum() or not counts["clean"].sum():
         return None
     counts = counts.sort_values("word")
-    often = counts["toxic"] + counts["clean"] >= 2  # words of one text say little, but in a small sample they are most
-    counts = counts[often] if often.sum() >= min_words else counts
-    model = train_words(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float))
-    held = texts.select("toxic", "fold", evidence(F.col("text"), model).alias("evidence")).where("evidence is not null").toPandas()
-    held = held[held["fold"] == 0] if held[held["fold"] == 0]["toxic"].nunique() > 1 else held
-    labels_ = held["toxic"].to_numpy(float)
+    vectors, soft, bias = train_words(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float))
+    del counts
+    sizes = texts.select("at", "toxic", "fold", F.size("words").alias("n")).where("n > 0").toPandas().sort_values("at")  # a row per sampled text
+    third = sizes[sizes["fold"] == 0]
+    sizes = third if third["toxic"].nunique() > 1 else sizes
+    sizes = sizes[sizes["n"].cumsum() <= max(max_pooled, sizes["n"].iloc[0])]
+    last = int(sizes["at"].iloc[-1])
+    rows = texts.where((F.col("at") <= last) & F.col("fold").isin(sizes["fold"].unique().tolist()) & (F.size("words") > 0)).select("at", "toxic", "words").toArrow().sort_by("at")
+    labels_ = rows.column("toxic").to_numpy().astype(float)
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     weight = np.where(labels_ == 1, shares[1] / max(1.0, labels_.sum()), shares[0] / max(1.0, (1 - labels_).sum()))
-    return Model(model.weights, model.bias, fit_curve(np.array(held["evidence"].tolist()), labels_, weight))
+    return train_documents(vectors, soft, bias, rows.column("words").to_pylist(), labels_, weight)
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """The documents with score, the probability of toxic."""
     if model is None:
         return documents.withColumn("score", F.lit(0.0))
-    *weights, offset = model.curve
-    x = F.lit(offset)
-    for i, w in enumerate(weights):
-        x = x + F.get("_evidence", F.lit(i)) * w
-    # least and greatest skip nulls, so texts without evidence are told apart first.
-    value = F.when(F.col("_evidence").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x)))))
-    return documents.withColumn("_evidence", evidence(F.col("text"), model)).withColumn("score", value).drop("_evidence")
+
+    @F.pandas_udf("double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, float] = {}
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 128):  # word sets of few texts at a time
+                split = [set(t.split()) if t else set() for t in texts.iloc[at : at + 128]]
+                if len(known) > 300_000:
+                    known.clear()
+                new = sorted(set().union(*split).difference(known))
+                known.update(zip(new, model.word_logits(new).tolist()))
+                # Words in one order, so that equal texts have equal sums.
+                out += [model.score_words(np.sort(np.fromiter(map(known.__getitem__, found), np.float64, len(found)))) for found in split]
+            yield pd.Series(out, dtype="float64")
+
+    return documents.withColumn("score", judge(F.col("text")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docassay.llm import bpe, chat, dedup, fingerprints, mixing, pieces, quality, records, toxicity, urls, warc
+from docassay.llm import bpe, chat, dedup, fingerprints, mixing, quality, records, toxicity, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i * 7 % 501}" for i in range(30_000))
@@ -143,8 +143,8 @@ def test_records(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    texts = [*ODD, "  two  spaces", "tail "]
-    records.write_records(docs(spark, texts), str(tmp_path / "r"), path, public_tokenizers.PATTERN, 2, bundle_bytes=500, bundles_per_file=2)
+    texts = [*ODD, "  two  spaces", "tail ", "<|endoftext|> y", "a<|endoftext|>", "same", "same"]
+    records.write_records(docs(spark, texts), str(tmp_path / "r"), path, 2, bundle_bytes=500, bundles_per_file=2)
     got = {r["doc_id"]: r for r in records.write_index(spark, str(tmp_path / "r"), str(tmp_path / "i")).collect()}
     at = 0
     for i, t in enumerate(texts):
@@ -164,14 +164,17 @@ def test_records_damage():
             list(records.frames(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]))
 
 
-def test_chunks_match_the_pattern():
-    import regex
+def test_chunks_match_the_library():
+    from tokenizers import Tokenizer
 
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    cache = pieces.Chunks(pattern, lambda ps: [p.encode() + b"|" for p in ps], limit=5)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cache = records.text_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    cache.limit = 50
     rng = random.Random(1)
-    texts = ["".join(rng.choices("ab1.' \n\té\u00a0", k=rng.randrange(30))) for _ in range(3000)]
-    assert cache.encode_texts(texts) == [b"".join(p.encode() + b"|" for p in pattern.findall(t)) for t in texts]
+    texts = ["".join(rng.choices([*"ab1.' \n\té\u00a0\u2003", "<|endoftext|>", "\u0120"], k=rng.randrange(30))) for _ in range(3000)]
+    for at in range(0, 3000, 100):
+        part = texts[at : at + 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode_texts(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
 def brute_mix(rows, weights, quality):
@@ -326,11 +329,56 @@ def test_toxicity_learns_and_generalises(spark):
     held = [i for i in range(0, 900, 5)]
     assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in held) / len(held) > 0.95
     logits = model.word_logits(["grobnnik", "vexalott", "tarinole", "..."])
-    assert logits[0] > logits[2] and logits[1] > logits[2] and logits[3] == -toxicity.FLOOR
+    assert logits[0] > logits[2] and logits[1] > logits[2] and np.isnan(logits[3])  # no letters, no evidence
     odd = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, ODD), model).collect()}
     assert all(0 <= s <= 1 for s in odd.values()) and odd[0] == odd[1] == odd[2] == 0.0
 
 
+def test_toxicity_gradients_and_scores():
+    rng = np.random.default_rng(3)
+    vocabulary = ["grob", "vexalot", "ta", "rinole", "sukano"]
+    flat, own = toxicity.ngrams(vocabulary)
+    names, flat = np.unique(flat, return_inverse=True)
+    vectors, soft = rng.normal(size=(len(names), 3)), rng.normal(size=3)
+    numbers = np.array([0.2, 1.3, 0.8, -0.4, 0.1])
+    docs = [[0, 1, 2], [3], [1, 2, 3, 4]]
+    pool = np.concatenate(docs), np.repeat(np.arange(3), [len(d) for d in docs])
+    labels, weight = np.array([1.0, 0, 1]), np.array([0.5, 2.0, 1.0])
+    loss = lambda: toxicity.pooled_loss(vectors, soft, numbers, (flat, own), pool, labels, weight)
+    _, grads = loss()
+    for value, grad in ((vectors, grads["vectors"]), (soft, grads["soft"]), (numbers, grads["numbers"])):
+        for at in np.ndindex(value.shape):
+            held = value[at]
+            value[at] = held + 1e-5
+            high = loss()[0]
+            value[at] = held - 1e-5
+            low = loss()[0]
+            value[at] = held
+            assert grad[at] == pytest.approx((high - low) / 2e-5, abs=1e-6)
+    # The score of one document, by a scalar version.
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.2, 1.3, 0.8, -0.4, 0.1)
+    z = []
+    for w in vocabulary:
+        grams = [b for b, _ in zip(*toxicity.ngrams([w]))]
+        z.append(sum(float(model.weights[b]) for b in grams) / len(grams) + 0.2)
+    e = [math.exp(1.3 * x) for x in z]
+    logit = 0.1 + 0.8 * sum(x * y for x, y in zip(e, z)) / sum(e) - 0.4 * math.log(len(z))
+    assert model.score_words(model.word_logits([*vocabulary, "..."])) == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
+def test_toxicity_odd_tables(spark):
+    rows = [(i % 7, ("bad grobnik " if i % 2 else "nice day ") * (1 + i % 3)) for i in range(40)] + [(None, "x"), (7, None), (7, None)]
+    df = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, _evidence string, score double")
+    labels = spark.createDataFrame([(0, 1), (0, None), (None, 1), (1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (6, None)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.train(df, labels))
+    assert got.columns == df.columns and got.count() == len(rows)
+    by_text = {}
+    for r in got.collect():
+        by_text.setdefault(r["text"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in by_text.values()) and by_text[None] == {0.0}
+    assert toxicity.score(df.limit(0), None).count() == 0 and toxicity.train(df.limit(0), labels) is None
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(docs(spark, ODD), none) is None
