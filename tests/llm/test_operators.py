@@ -209,6 +209,19 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), quality_).count() == 0 and mixing.mix_documents(df.limit(0), quality_).count() == 0
 
 
+def test_mixing_repeated_and_null_rows(spark):
+    rows = [(7, "a", "x y z", i % 2) for i in range(60)] + [(None, "a", None, 0), (None, "a", "p q", 1), (None, "a", "r", 2), (8, "a", "u v w x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, `a.b` int")
+    none = spark.createDataFrame([], "doc_id long, weight double")
+    got = mixing.mix(df, none, weights=(1.0,), total_share=1.5).collect()
+    total = sum(len(words(t)) for _, _, t, _ in rows)
+    assert len(got) == len(rows) and abs(sum(r["taken"] for r in got) - 1.5 * total) <= 4
+    assert all(r["taken"] <= 2 * r["size"] for r in got) and {r["taken"] for r in got if r["doc_id"] == 7} == {3, 6}
+    mixed = mixing.mix_documents(df, none, weights=(1.0,), total_share=1.5)
+    assert mixed.columns == df.columns
+    assert Counter(r["doc_id"] for r in mixed.collect()) == {k: v for k, v in sum((Counter({r["doc_id"]: r["taken"] // r["size"]}) for r in got if r["size"]), Counter()).items() if v}
+
+
 def test_water_filling():
     got = mixing.source_targets([("a", 10), ("b", 1000), (None, 100)], (5.0, 2.0, 1.0))
     assert sum(t for *_, t in got) == pytest.approx(1.5 * 1110) and all(t <= 2 * n for _, n, t in got)
