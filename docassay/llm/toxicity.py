@@ -14,8 +14,9 @@ Since the softmax is linear, a trained model is one number per bucket and four m
 a word's n-grams is its logit. That array of fixed size is what executors get.
 
 Sample. Of the rows that may be learnt from, at most ``max_docs`` per label, lowest hash of doc_id first;
-equal texts count once. Two thirds train the words, at most the ``max_words`` that most of their texts hold;
-one third trains documents, in order of a hash as long as their distinct words sum to ``max_pooled`` at most.
+equal texts count once. Two thirds train the words that ``min_texts`` of their texts hold, or more texts, if those
+words are more than ``max_words``; one third trains documents, in order of a hash as long as their distinct words
+sum to ``max_pooled`` at most.
 
 Cases. A null or empty text, or one without letters or digits, has no words and score 0. Labels repeated for a
 document count as their maximum; null labels and null doc_ids are not learnt from. With labels of one kind
@@ -119,7 +120,7 @@ def train_words(vocabulary: list[str], toxic: np.ndarray, clean: np.ndarray, *,
     firsts = np.cumsum(sizes) - sizes
     n = (toxic + clean)[some]
     share = toxic[some] / n
-    weight = np.log(n + 0.2)  # a word of one text says little
+    weight = np.log1p(n)
     pos, neg = weight * share, weight * (1 - share)
     pos, neg = pos / max(pos.sum(), 1e-9), neg / max(neg.sum(), 1e-9)
     scale = len(sizes) / 2
@@ -209,17 +210,17 @@ def pooled_loss(vectors: np.ndarray, soft: np.ndarray, numbers: np.ndarray, bag:
     return loss, {"used": used, "vectors": grad_vectors, "soft": gz @ mean, "numbers": grad_numbers}
 
 
-def train_documents(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, docs: list[list[str]], labels: np.ndarray, weight: np.ndarray, *, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Model:
-    """Vectors, softmax and pooling together by Adam on whole documents, from the words' vectors on."""
+def train_documents(vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, vocabulary: list[str], docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, *, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Model:
+    """Vectors, softmax and pooling together by Adam on whole documents (places in ``vocabulary``), from the words' vectors on."""
     vectors, soft = vectors.astype(np.float64), (soft[:, 1] - soft[:, 0]).astype(np.float64)
-    vocabulary = sorted(set().union(*docs))
-    place = {w: i for i, w in enumerate(vocabulary)}
     flat, own = ngrams(vocabulary)
     sizes = np.bincount(own, minlength=len(vocabulary))
     starts = np.cumsum(sizes) - sizes
-    held = [np.array([i for w in d if sizes[i := place[w]]], np.int64) for d in docs]
+    held = [d[sizes[d] > 0] for d in docs]
     some = np.flatnonzero([len(h) for h in held])
     start = Model((vectors @ soft).astype(np.float32), float(bias[1] - bias[0]))
+    if not len(some):
+        return start
     z = start.word_logits(vocabulary)
     fits = []
     for sharp in (0.5, 1.0, 2.0, 4.0, 8.0):  # where the common training starts from
@@ -261,7 +262,18 @@ def distinct_words(text: Column) -> Column:
     return split(text)
 
 
-def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_words: int = 400_000, max_pooled: int = 2_000_000) -> Model | None:
+def _least_count(counts: DataFrame, n: Column, max_words: int) -> int:
+    """The least n from which on there are at most ``max_words`` words; its values are no more than the sampled texts."""
+    left, least = max_words, 1 << 30
+    for row in counts.groupBy(n.alias("n")).count().orderBy(F.col("n").desc()).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["n"]
+    return least
+
+
+def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_texts: int = 2, max_words: int = 400_000, max_pooled: int = 2_000_000) -> Model | None:
     """A model from labelled documents, or None where labels of one kind are missing.
 
     ``labels`` has doc_id and toxic and holds only rows that may be learnt from.
@@ -273,22 +285,27 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_
     texts = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.min("h").alias("h"), F.first("text").alias("text"))
     texts = materialise(texts.repartition(8, "key").select("toxic", F.pmod(F.xxhash64("h"), F.lit(3)).alias("fold"), F.xxhash64("key").alias("at"), distinct_words(F.col("text")).alias("words")), "sample")
     counts = texts.where("fold > 0").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    counts = counts.orderBy((F.col("toxic") + F.col("clean")).desc(), "word").limit(max_words).toPandas()
-    if not counts["toxic"].sum() or not counts["clean"].sum():
+    counts = materialise(counts.where(F.col("toxic") + F.col("clean") >= min_texts), "words")
+    counts = counts.where(F.col("toxic") + F.col("clean") >= _least_count(counts, F.col("toxic") + F.col("clean"), max_words)).toArrow().sort_by("word")
+    toxic, clean = counts.column("toxic").to_numpy().astype(float), counts.column("clean").to_numpy().astype(float)
+    if not toxic.sum() or not clean.sum():
         return None
-    counts = counts.sort_values("word")
-    vectors, soft, bias = train_words(counts["word"].tolist(), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float))
+    vectors, soft, bias = train_words(counts.column("word").to_pylist(), toxic, clean)
     del counts
     sizes = texts.select("at", "toxic", "fold", F.size("words").alias("n")).where("n > 0").toPandas().sort_values("at")  # a row per sampled text
     third = sizes[sizes["fold"] == 0]
     sizes = third if third["toxic"].nunique() > 1 else sizes
     sizes = sizes[sizes["n"].cumsum() <= max(max_pooled, sizes["n"].iloc[0])]
     last = int(sizes["at"].iloc[-1])
-    rows = texts.where((F.col("at") <= last) & F.col("fold").isin(sizes["fold"].unique().tolist()) & (F.size("words") > 0)).select("at", "toxic", "words").toArrow().sort_by("at")
-    labels_ = rows.column("toxic").to_numpy().astype(float)
+    rows = texts.where((F.col("at") <= last) & F.col("fold").isin(sizes["fold"].unique().tolist()) & (F.size("words") > 0)).select("at", "toxic", "words").toArrow().sort_by("at").combine_chunks()
+    labels_, bags = rows.column("toxic").to_numpy().astype(float), rows.column("words").combine_chunks()
+    every, ends = bags.flatten().dictionary_encode(), (bags.offsets.to_numpy() - bags.offsets[0].as_py())[1:-1]
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     weight = np.where(labels_ == 1, shares[1] / max(1.0, labels_.sum()), shares[0] / max(1.0, (1 - labels_).sum()))
-    return train_documents(vectors, soft, bias, rows.column("words").to_pylist(), labels_, weight)
+    docs = np.split(every.indices.to_numpy().astype(np.int64), ends)
+    vocabulary = every.dictionary.to_pylist()
+    del rows, bags, every
+    return train_documents(vectors, soft, bias, vocabulary, docs, labels_, weight)
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
