@@ -29,8 +29,8 @@ def parse_mrz(line1: Column, line2: Column) -> dict[str, Column]:
     names = F.split(F.substring(line1, 6, 39), "<<", 2)
     number, personal = F.replace(F.substring(line2, 1, 9), F.lit("<"), F.lit("")), F.replace(F.substring(line2, 29, 14), F.lit("<"), F.lit(""))
     return {
-        "document_code": _plain(F.substring(line1, 1, 2)),
-        "issuing_country": _plain(F.substring(line1, 3, 3)),
+        "document_code": F.substring(line1, 1, 2),
+        "issuing_country": F.substring(line1, 3, 3),
         "surname": _plain(F.get(names, F.lit(0))),
         "given_name": _plain(F.get(names, F.lit(1))),
         "visa_number": F.nullif(number, F.lit("")),
@@ -52,3 +52,26 @@ def mrz_date(code: Column, latest_year: int = 74) -> Column:
     """DD/MM/YYYY of yymmdd; years after ``latest_year`` are of the last century. Null off the calendar."""
     century = F.when(F.substring(code, 1, 2).try_cast("int") > latest_year, "19").otherwise("20")
     return F.date_format(F.try_to_date(F.concat(century, code), "yyyyMMdd"), "dd/MM/yyyy")
+
+
+def parse_passport(line1: Column, line2: Column, country_names: dict[str, str] | None = None) -> dict[str, Column]:
+    """Passport fields of two fitted lines: dates as DD/MM/YYYY, countries by name where ``country_names`` has their code."""
+    named = lambda code: code if not country_names else F.coalesce(F.create_map(*[F.lit(x) for kv in country_names.items() for x in kv])[code], code)
+    zone = parse_mrz(line1, line2)
+    return {
+        "name": zone["given_name"],
+        "surname": zone["surname"],
+        "sex": passport_sex(zone["sex"]),
+        "date_of_birth": mrz_date(zone["birth_date"]),
+        "nationality": named(zone["nationality"]),
+        "passport_type": _plain(zone["document_code"]),
+        "passport_number": zone["visa_number"],
+        "issuing_country": named(_plain(zone["issuing_country"])),
+        "expiration_date": mrz_date(zone["expiration_date"], latest_year=99),
+        "personal_number": zone["personal_number"],
+    }
+
+
+def mean_confidence(first: Column, second: Column) -> Column:
+    """Of the two lines, rounded to three places."""
+    return F.round((first + second) / 2, 3)

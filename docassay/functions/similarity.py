@@ -41,15 +41,43 @@ def names_match(ocr: Column, reference: Column, threshold: float = 85.0) -> tupl
     return some & (percent >= threshold), F.round(percent, 2)
 
 
-def compare_fields(visual: Column, mrz: Column, close: float = 0.85) -> tuple[Column, Column]:
-    """(status, similarity rounded to three places) of a field read twice."""
-    a, b = normalize_identifier(visual), normalize_identifier(mrz)
+def zone_name(c: Column) -> Column:
+    """Upper case, fillers as spaces, other characters but A-Z and space removed, single spaces."""
+    plain = F.regexp_replace(F.replace(F.upper(c), F.lit("<"), F.lit(" ")), "[^A-Z ]", "")
+    return F.trim(F.regexp_replace(F.coalesce(plain, F.lit("")), r"\s+", " "))
+
+
+def compare_fields(visual: Column, mrz: Column, close: float = 0.85, *, name: bool = False) -> tuple[Column, Column]:
+    """(status, similarity rounded to three places) of a field read twice; names are compared as names."""
+    normal = zone_name if name else normalize_identifier
+    a, b = normal(visual), normal(mrz)
     missing = (a == "") | (b == "")
     value = F.when(missing, 0.0).when(a == b, 1.0).otherwise(ratio(a, b))
     status = F.when(missing, "NOT_AVAILABLE").when(a == b, "MATCH").when(value >= close, "CLOSE_MATCH").otherwise("MISMATCH")
     return status, F.round(value, 3)
 
 
+# The fields that stand on a visa twice.
+TWICE = ("passport_number", "surname", "given_name", "nationality", "birth_date", "sex", "expiration_date")
+
+
+def compare_zones(fields: Column, mrz: Column) -> Column:
+    """A struct per field of TWICE: status and similarity of two structs or maps of fields."""
+    out = []
+    for f in TWICE:
+        status, value = compare_fields(fields[f], mrz[f], name=f in ("surname", "given_name"))
+        out.append(F.struct(status.alias("status"), value.alias("similarity")).alias(f))
+    return F.struct(*out)
+
+
+def tally(checks: Column) -> Column:
+    """available, matches, close_matches, mismatches and confidence (percent) of compare_zones()."""
+    each = F.filter(F.array(*[checks[f] for f in TWICE]), lambda x: x["status"] != "NOT_AVAILABLE")
+    count = lambda s: F.size(F.filter(each, lambda x: x["status"] == s))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["similarity"])
+    return F.struct(F.size(each).alias("available"), count("MATCH").alias("matches"), count("CLOSE_MATCH").alias("close_matches"), count("MISMATCH").alias("mismatches"), F.when(F.size(each) > 0, F.round(total / F.size(each) * 100, 2)).otherwise(0.0).alias("confidence"))
+
+
 def verification_status(has_mrz: Column, available: Column, matches: Column, mismatches: Column, confidence: Column) -> Column:
     return (
         F.when(~has_mrz, "VISA DATA DETECTED")

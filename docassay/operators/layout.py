@@ -6,13 +6,19 @@ nearby heights. The greedy operators work through one document at a time as they
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docassay.functions import extract
+from docassay.functions.checksum import verhoeff_valid
+
 
 def by_document(tokens: DataFrame, work, schema: str) -> DataFrame:
     """``work(doc_id, rows)`` for each document, rows in order of ord; it yields tuples of ``schema``.
@@ -90,28 +96,124 @@ def candidate_vote(candidates: DataFrame) -> DataFrame:
     return best.select("doc_id", F.col("m.number").alias("number"), (-F.col("m.col1")).alias("final"))
 
 
-def image_quality(tokens: DataFrame, readable_at: float = 0.40, min_mean: float = 0.50, min_readable: int = 2, count_first: bool = True) -> DataFrame:
-    """Mean confidence, readable tokens and verdict of each document; ``count_first`` sets which reason wins."""
-    stats = tokens.groupBy("doc_id").agg(F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") >= readable_at).alias("readable"))
-    few, poor = F.when(F.col("readable") < min_readable, "TOO LITTLE TEXT"), F.when(F.col("mean_confidence") < min_mean, "LOW CONFIDENCE")
-    return stats.withColumn("reason", F.coalesce(few, poor) if count_first else F.coalesce(poor, few)).withColumn("clear", F.col("reason").isNull())
+def reading_order(tokens: DataFrame, by: str = "lines") -> DataFrame:
+    """Tokens with ``place``, 1, 2, … within their document: by ``lines`` (height, then left), ``height`` or ``confidence`` (best first)."""
+    order = {"lines": ["cy", "cx", "ord"], "height": ["cy", "ord"], "confidence": [F.col("confidence").desc(), "ord"]}[by]
+    return tokens.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
+def union_passes(passes: list[DataFrame]) -> DataFrame:
+    """All readings of several passes over the same documents as one bag; ord counts on from pass to pass."""
+    out = [p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes)]
+    every = reduce(DataFrame.unionByName, out)
+    return every.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("pass", "ord")))
+
+
+def full_text(tokens: DataFrame) -> DataFrame:
+    """doc_id and the texts of its tokens, in order, with spaces between."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return tokens.where("text is not null").groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"))
+
+
+@dataclass(frozen=True)
+class Quality:
+    """Thresholds and texts of an image's verdict, in the order in which they are tried."""
+
+    readable_at: float
+    least_mean: float
+    count_first: bool
+    few: str
+    poor: str
+    good: str
+
+
+# The verdicts of visas and of forms.
+NO_TEXT = "No readable text was detected."
+VISA_QUALITY = Quality(0.40, 0.50, True, "Not enough readable visa text was detected.", "OCR confidence is too low.", "Image quality is sufficient.")
+FORM_QUALITY = Quality(0.50, 0.55, False, "Insufficient readable text was detected.", "OCR confidence is too low.", "Sufficient text was detected.")
+
+
+def image_quality(tokens: DataFrame, documents: DataFrame, rule: Quality = FORM_QUALITY) -> DataFrame:
+    """doc_id, mean_confidence, readable, reason and clear for every document; one without tokens isn't clear."""
+    stats = tokens.groupBy("doc_id").agg(F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") >= rule.readable_at).alias("readable"))
+    every = documents.select("doc_id").distinct().join(stats, "doc_id", "left").na.fill(0.0, ["mean_confidence"])
+    few, poor = F.when(F.col("readable") < 2, rule.few), F.when(F.col("mean_confidence") < rule.least_mean, rule.poor)
+    found = F.coalesce(F.when(F.col("readable").isNull(), NO_TEXT), *((few, poor) if rule.count_first else (poor, few)))
+    return every.withColumn("reason", F.coalesce(found, F.lit(rule.good))).withColumn("clear", found.isNull()).withColumn("readable", F.coalesce("readable", F.lit(0)))
+
+
+# Texts that head a field of a visa and are never its value.
+VISA_HEADERS = (
+    "NAME", "FULL NAME", "SURNAME", "GIVEN NAME", "GIVEN NAMES", "FIRST NAME", "LAST NAME", "FAMILY NAME", "PASSPORT NUMBER", "PASSPORT NO", "PASSPORT #",
+    "PASSPORT", "VISA NUMBER", "VISA NO", "VISA #", "CONTROL NUMBER", "REFERENCE NUMBER", "NATIONALITY", "COUNTRY", "VISA TYPE", "TYPE OF VISA", "CLASS", "SEX", "GENDER",
+    "BIRTH DATE", "DATE OF BIRTH", "DOB", "ISSUE DATE", "DATE OF ISSUE", "ISSUED", "EXPIRATION DATE", "EXPIRY DATE", "DATE OF EXPIRY", "VALID UNTIL", "ISSUING POST",
+    "ISSUING POST NAME", "ISSUED AT", "PLACE OF ISSUE", "ENTRIES", "ANNOTATION", "NUMBER", "TYPE", "POST", "DATE", "EXPIRATION", "ISSUE", "BIRTH", "TYPE /CLASS",
+)
+# The labels behind which a visa's fields stand.
+VISA_LABELS = {
+    "name": ("NAME", "FULL NAME", "SURNAME", "GIVEN NAME", "APPLICANT NAME"),
+    "surname": ("SURNAME", "LAST NAME", "FAMILY NAME"),
+    "given_name": ("GIVEN NAME", "FIRST NAME", "GIVEN NAMES"),
+    "passport_number": ("PASSPORT NUMBER", "PASSPORT NO", "PASSPORT #"),
+    "visa_number": ("VISA NUMBER", "VISA NO", "VISA #", "CONTROL NUMBER", "REFERENCE NUMBER"),
+    "sex": ("SEX", "GENDER"),
+    "birth_date": ("BIRTH DATE", "DATE OF BIRTH", "DOB"),
+    "issue_date": ("ISSUE DATE", "DATE OF ISSUE", "ISSUED"),
+    "expiration_date": ("EXPIRATION DATE", "EXPIRY DATE", "DATE OF EXPIRY", "VALID UNTIL"),
+    "issuing_post": ("ISSUING POST", "ISSUING POST NAME", "ISSUED AT", "PLACE OF ISSUE"),
+}
 
 
-def value_after_label(tokens: DataFrame, labels: tuple[str, ...], headers: tuple[str, ...], reach: int = 5) -> DataFrame:
-    """The first of the ``reach`` tokens after a label that is no header."""
+def values_after_labels(tokens: DataFrame, labels: dict[str, tuple[str, ...]], headers: tuple[str, ...] = VISA_HEADERS, reach: int = 5) -> DataFrame:
+    """doc_id and a column per entry of ``labels``: its value in each document, or null.
+
+    A token holds a label if the label is part of it. Of the ``reach`` tokens that follow, the first that isn't
+    blank or a header is the value; the first token of the document that leads to one counts.
+    """
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, reach)
-    ahead = tokens.withColumn("ahead", F.collect_list("text").over(w)).where(F.upper("text").isin(*labels))
-    value = F.try_element_at(F.filter("ahead", lambda x: ~F.upper(x).isin(*headers, *labels)), F.lit(1))
-    return ahead.select("doc_id", "ord", F.col("text").alias("label"), value.alias("value"))
+    ahead = F.transform(F.collect_list("text").over(w), lambda x: F.trim(x))
+    value = F.get(F.filter(ahead, lambda x: (x != "") & ~F.upper(x).isin(*headers)), F.lit(0))
+    rows = tokens.select("doc_id", "ord", F.upper("text").alias("upper"), value.alias("value"))
+    holds = lambda names: reduce(lambda a, n: a | F.contains("upper", F.lit(n.upper())), names, F.lit(False))
+    return rows.groupBy("doc_id").agg(*[F.min_by("value", F.when(holds(names) & F.col("value").isNotNull(), F.col("ord"))).alias(f) for f, names in labels.items()])
+
+
+def visa_fields(tokens: DataFrame) -> DataFrame:
+    """A row per document: the fields behind VISA_LABELS and those found in its whole text; numbers fall back on the text's first."""
+    found = values_after_labels(tokens, VISA_LABELS).join(full_text(tokens), "doc_id", "left")
+    t = F.coalesce("text", F.lit(""))
+    found = found.withColumns({"dates": extract.extract_dates(t), "passport_candidates": extract.passport_numbers(t), "visa_candidates": extract.visa_numbers(t), "nationality": extract.nationality(t), "visa_type": extract.visa_type(t)})
+    first = lambda own, many: F.coalesce(own, F.get(many, F.lit(0)))
+    return found.withColumns({"passport_number": first("passport_number", "passport_candidates"), "visa_number": first("visa_number", "visa_candidates")}).drop("text")
+
+
+def find_numbers(tokens: DataFrame, size: int = 12) -> DataFrame:
+    """The most likely number of each document: direct and combined candidates, scored, voted.
+
+    doc_id, number, final (score with agreement), occurrences. Tokens come in order of height.
+    """
+    placed = reading_order(tokens, "height").drop("ord").withColumnRenamed("place", "ord")
+    direct = placed.select("doc_id", F.col("ord").cast("long").alias("ord"), F.explode(extract.number_candidates(F.col("text"))).alias("number"), "confidence")
+    digits = combine_digits(placed.where(extract.is_numeric_token(F.col("text"))), size)
+    combined = digits.select("doc_id", (F.col("ord") + (1 << 32)).alias("ord"), "number", "confidence")  # behind all direct ones
+    scored = direct.unionByName(combined).withColumn("score", extract.candidate_score(F.col("confidence"), verhoeff_valid(F.col("number"), size)))
+    votes = scored.groupBy("doc_id", "number").agg((F.max("score") + 0.05 * F.least(F.count("*"), F.lit(5))).alias("final"), F.count("*").alias("occurrences"), F.min("ord").alias("first"))
+    best = votes.groupBy("doc_id").agg(F.min_by(F.struct("number", "final", "occurrences"), F.struct(-F.col("final"), F.col("first"), F.col("number"))).alias("m"))
+    return best.select("doc_id", "m.*")
 
 
 def fuzzy_dedup(tokens: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """Greedy: each token joins the first kept one it resembles, and takes its place if read more surely."""
+    """Greedy: each token joins the first kept one it resembles, and takes its place if read more surely.
+
+    Compared are letters A-Z and digits; a token without any is dropped.
+    """
 
     def keep(doc_id: int, rows: list) -> Iterator[tuple]:
         kept: list[list] = []
         for row in rows:
-            plain = "".join(ch for ch in row.text.upper() if ch.isalnum())
+            plain = re.sub("[^A-Z0-9]", "", row.text.upper())
+            if not plain:
+                continue
             for k in kept:
                 a, b = len(plain), len(k[2])
                 if 2 * min(a, b) >= threshold * (a + b) and SequenceMatcher(None, plain, k[2]).ratio() >= threshold:
@@ -125,37 +227,119 @@ def fuzzy_dedup(tokens: DataFrame, threshold: float = 0.90) -> DataFrame:
     return by_document(tokens.select("doc_id", "ord", "text", "confidence"), keep, "doc_id long, ord int, text string, confidence double")
 
 
-def dynamic_fields(tokens: DataFrame) -> DataFrame:
-    """Fields of forms without a fixed layout: label, value, confidence, source.
+# Labels of licences, against which a token's text is matched.
+KNOWN_LABELS = (
+    "NAME", "SURNAME", "GIVEN NAME", "DATE OF BIRTH", "DATE OF ISSUE", "DATE OF EXPIRY", "EXPIRY DATE", "EXPIRATION DATE", "BLOOD GROUP", "BLOOD TYPE", "ADDRESS", "FATHER NAME",
+    "MOTHER NAME", "HUSBAND NAME", "WIFE NAME", "SON OF", "DAUGHTER OF", "WIFE OF", "LICENSE NUMBER", "LICENCE NUMBER", "DRIVING LICENSE", "DRIVING LICENCE", "DL NUMBER", "DOB",
+    "VALID FROM", "VALID UNTIL", "ISSUED", "ISSUE DATE", "SEX", "GENDER",
+)
+FIELD_SCHEMA = "doc_id long, label string, value string, confidence double, source string"
 
-    ``label: value`` in one token first; then labels in reading order take the nearest free value to the right,
-    else below. A value that is taken is gone, and one that looks like a label itself ends the search.
-    """
-    import re
 
-    inline = re.compile(r"^\s*([^:：\-]{1,70})\s*[:：\-]\s*(.+?)\s*$")
+def known_label(text: str, labels: tuple[str, ...] = KNOWN_LABELS, least: float = 0.65) -> str | None:
+    """The label that a text resembles most, the first of equals, if it resembles it enough."""
+    plain = lambda s: re.sub("[^A-Z0-9]", "", s.upper())
+    own = plain(text)
+    if not own:
+        return None
+    ratios = [SequenceMatcher(None, own, plain(label)).ratio() for label in labels]
+    best = max(ratios)
+    return labels[ratios.index(best)] if best >= least else None
 
-    def label_like(text: str) -> bool:
-        t = text.strip()
-        return bool(t) and len(t) <= 80 and (":" in t or "：" in t or len(t.split()) <= 7 and not re.search(r"\d{4}", t))
 
-    def pair(doc_id: int, tokens_: list) -> Iterator[tuple]:
-        rows = sorted(tokens_, key=lambda r: (r.cy, r.cx, r.ord))
-        out, used = [], set()
+def _pair_boxes(tokens: DataFrame, inline: str, label_of, nearest, accepts, source: str) -> DataFrame:
+    """Fields of a page: ``label: value`` within a token, then labels in reading order with the nearest free token.
+
+    A label met again replaces its field. Tokens that took part are gone; a nearest token that isn't accepted
+    ends its label's search.
+    """
+    pattern = re.compile(inline)
+
+    def pair(doc_id: int, page: list) -> Iterator[tuple]:
+        rows = sorted(page, key=lambda r: (r.cy, r.cx, r.ord))
+        fields: dict[str, tuple] = {}
+        free = dict(enumerate(rows))
         for i, r in enumerate(rows):
-            if (m := inline.match(r.text)) and not re.fullmatch(r"[\d/.\- ]+", r.text):
-                out.append((m[1].strip(), m[2], r.confidence, "inline"))
-                used.add(i)
+            if m := pattern.match(r.text):
+                label, value = " ".join(m[1].strip().rstrip(":：").split()), " ".join(m[2].split())
+                if label and value:
+                    fields[label] = (value, round(r.confidence, 3), "same_line")
+                    del free[i]
         for i, r in enumerate(rows):
-            if i in used or not label_like(r.text):
+            label = label_of(r.text) if i in free else None
+            if not label:
                 continue
-            free = [(j, v.cx - r.cx, v.cy - r.cy) for j, v in enumerate(rows) if j != i and j not in used]
-            near = [(dx + 2 * abs(dy), j, "right") for j, dx, dy in free if dx > 0 and abs(dy) < 45] or [(dy, j, "below") for j, dx, dy in free if 0 < dy < 80]
-            if near:
-                _, j, source = min(near)
-                if not label_like(rows[j].text):
-                    out.append((r.text.strip().rstrip(":："), rows[j].text, round(min(r.confidence, rows[j].confidence), 3), source))
-                    used |= {i, j}
-        return ((doc_id, *o) for o in out)
-
-    return by_document(tokens.select("doc_id", "ord", "text", "confidence", "cx", "cy"), pair, "doc_id long, label string, value string, confidence double, source string")
+            near = nearest((v.cx - r.cx, v.cy - r.cy, j) for j, v in free.items() if j != i)
+            if near is not None and accepts(free[near].text):
+                value = free.pop(near)
+                free.pop(i)
+                fields[label] = (value.text, round(min(r.confidence, value.confidence), 3), source)
+        return ((doc_id, label, *f) for label, f in fields.items())
+
+    return by_document(tokens.where("text is not null").select("doc_id", "ord", "text", "confidence", "cx", "cy"), pair, FIELD_SCHEMA)
+
+
+def dynamic_fields(tokens: DataFrame) -> DataFrame:
+    """Fields of forms without a fixed layout (FIELD_SCHEMA): values stand right of their label, else below it."""
+
+    def label_like(text: str) -> bool:
+        t = text.strip()
+        return bool(t) and len(t) <= 80 and (":" in t or "：" in t or len(t.split()) <= 7 and not re.search(r"\d{4,}", t))
+
+    def label_of(text: str) -> str | None:
+        label = " ".join(re.sub("[:：]+$", "", text.strip()).split())
+        return label if label_like(label) else None
+
+    def nearest(others) -> int | None:
+        near = list(others)
+        right = [(dx + 2 * abs(dy), j) for dx, dy, j in near if dx > 0 and abs(dy) < 45]
+        below_ = [(dy, j) for _, dy, j in near if 0 < dy < 80]
+        return min(right or below_)[1] if right or below_ else None
+
+    return _pair_boxes(tokens, extract.LABEL_VALUE, label_of, nearest, lambda text: not label_like(text), "layout_relation")
+
+
+def licence_fields(tokens: DataFrame) -> DataFrame:
+    """Fields of licences: known labels, however misread, with a value to the right or below, and numbered dates and numbers."""
+
+    def nearest(others) -> int | None:
+        ways = [(dx + 2 * abs(dy), j) if dx > 0 and abs(dy) < 70 else (2 * dy + abs(dx), j) for dx, dy, j in others if dx > 0 and abs(dy) < 70 or 0 < dy < 120 and abs(dx) < 350]
+        return min(ways)[1] if ways else None
+
+    paired = _pair_boxes(tokens, r"^\s*(.{1,70}?)\s*[:：\-]\s*(.+?)\s*$", known_label, nearest, lambda text: True, "fuzzy_label_layout")
+    dates, numbers = numbered(tokens, extract.form_dates, "Detected Date "), numbered(tokens, extract.long_numbers, "Detected Number ")
+    return paired.unionByName(dates).unionByName(numbers)
+
+
+def numbered(tokens: DataFrame, find, prefix: str) -> DataFrame:
+    """What ``find`` (text column -> array) finds in a page, numbered in reading order: FIELD_SCHEMA."""
+    found = reading_order(tokens).select("doc_id", "place", "confidence", F.posexplode(find(F.col("text"))).alias("at", "value"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "at"))
+    return found.select("doc_id", F.concat(F.lit(prefix), n.cast("string")).alias("label"), "value", F.round("confidence", 3).alias("confidence"), F.lit("pattern_detection").alias("source"))
+
+
+def mrz_lines(tokens: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """doc_id, line1, line2, mrz_confidence and reason (null where two lines make a zone) of the readings of a page's lower part.
+
+    Cleaned readings of twenty characters or more; of similar ones the surest; the upper two, padded.
+    """
+    from docassay.functions.mrz import clean_mrz, fit_line, mean_confidence, plausible
+
+    long = tokens.select("doc_id", "ord", clean_mrz(F.col("text")).alias("text"), "confidence", "cy").where(F.length("text") >= 20)
+
+    def keep(doc_id: int, rows: list) -> Iterator[tuple]:
+        kept: list = []
+        for row in rows:
+            at = next((i for i, k in enumerate(kept) if SequenceMatcher(None, row.text, k.text).ratio() >= threshold), None)
+            if at is None:
+                kept.append(row)
+            elif row.confidence > kept[at].confidence:
+                kept[at] = row
+        return ((doc_id, i, r.text, r.confidence) for i, r in enumerate(sorted(kept, key=lambda r: r.cy)[:2]))
+
+    two = by_document(long, keep, "doc_id long, place int, text string, confidence double").groupBy("doc_id").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("place") == i, F.struct("text", "confidence"))).alias(f"l{i}") for i in (0, 1)])
+    every = tokens.select("doc_id").distinct().join(two, "doc_id", "left")
+    one, other = fit_line(F.col("l0.text")), fit_line(F.col("l1.text"))
+    # Why there is no zone.
+    reason = F.when(F.col("n").isNull(), "MRZ was not detected.").when(F.col("n") < 2, "Two MRZ lines were not detected.").when(~plausible(one, other), "Detected text does not appear to be a standard MRZ.")
+    return every.select("doc_id", one.alias("line1"), other.alias("line2"), mean_confidence(F.col("l0.confidence"), F.col("l1.confidence")).alias("mrz_confidence"), reason.alias("reason"))

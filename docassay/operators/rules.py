@@ -17,6 +17,7 @@ from docassay.functions.normalize import is_missing, normalize_date, normalize_g
 from docassay.functions.similarity import names_match
 
 Get = Callable[[str], Column]
+DATE_FIELDS = ("date_of_birth", "date_of_issue", "date_of_expiry")
 FINDING = "struct<rule:string,status:string,severity:string,message:string,field:string,ocr_value:string,reference_value:string,mismatch:string,note:string>"
 
 
@@ -49,17 +50,23 @@ def formats(doc: DocumentType, get: Get, type_name: str) -> Column:
     return _findings(*out)
 
 
-def types(doc: DocumentType, get: Get) -> Column:
-    out = [F.when(~is_missing(get(f)) & normalize_date(get(f)).isNull(), finding("TYPE_VALIDATION", "FAIL", "MEDIUM", f"Field '{f}' is not a valid date.", f, get(f), mismatch="INVALID_DATE_TYPE", note="Value could not be parsed as a date")) for f in doc.dates]
+def types(doc: DocumentType, get: Get, iso: Get | None = None) -> Column:
+    """``iso`` gives a field's date in its normal form, where the caller has it at hand."""
+    iso = iso or (lambda f: normalize_date(get(f)))
+    shown = lambda f: F.concat(F.lit(f"Field '{f}' value '"), F.trim(get(f)))
+    bad_date = lambda f: finding("TYPE_VALIDATION", "FAIL", "MEDIUM", F.concat(shown(f), F.lit("' cannot be parsed as a valid date.")), f, F.trim(get(f)), mismatch="INVALID_DATE_TYPE", note="Invalid date format")
+    out = [F.when(~is_missing(get(f)) & iso(f).isNull(), bad_date(f)) for f in doc.dates]
     for f, allowed in doc.allowed.items():
         value = normalize_gender(get(f)) if f == "gender" else F.upper(F.trim(get(f)))
-        out.append(F.when(~is_missing(get(f)) & ~value.isin(*allowed), finding("TYPE_VALIDATION", "FAIL", "MEDIUM", f"Field '{f}' is outside its enumeration.", f, get(f), mismatch="ENUM_OUT_OF_RANGE", note="Value is not in the allowed set")))
+        names = f"[{', '.join(repr(a) for a in allowed)}]"
+        bad = finding("TYPE_VALIDATION", "FAIL", "MEDIUM", F.concat(shown(f), F.lit(f"' not in allowed values {names}.")), f, F.trim(get(f)), mismatch="ENUM_OUT_OF_RANGE", note=f"Allowed values: {names}")
+        out.append(F.when(~is_missing(get(f)) & ~value.isin(*allowed), bad))
     return _findings(*out)
 
 
-def dates(get: Get, as_of: Column) -> Column:
-    raw = {f: get(f) for f in ("date_of_birth", "date_of_issue", "date_of_expiry")}
-    birth, issue, expiry = (normalize_date(c) for c in raw.values())
+def dates(get: Get, as_of: Column, iso: Get | None = None) -> Column:
+    raw = {f: get(f) for f in DATE_FIELDS}
+    birth, issue, expiry = (iso(f) if iso else normalize_date(c) for f, c in raw.items())
     today = F.date_format(as_of, "yyyy-MM-dd")
     future = lambda f: F.concat(F.lit("Date of " + f.split("_")[-1] + " '"), raw[f], F.lit("' is in the future relative to runtime date "), today, F.lit("."))
     born = F.when(birth > today, finding("DATE_VALIDATION", "FAIL", "HIGH", future("date_of_birth"), "date_of_birth", raw["date_of_birth"], mismatch="FUTURE_DOB", note="Date of birth cannot be in the future"))
@@ -70,16 +77,17 @@ def dates(get: Get, as_of: Column) -> Column:
     return _findings(born, issued, ended, clean)
 
 
-def cross_fields(doc: DocumentType, get: Get) -> Column:
+def cross_fields(doc: DocumentType, get: Get, iso: Get | None = None) -> Column:
+    iso = iso or (lambda f: normalize_date(get(f)))
     out = []
     for a, b in doc.date_before:
-        x, y = normalize_date(get(a)), normalize_date(get(b))
+        x, y = iso(a), iso(b)
         text = F.concat(F.lit(f"Cross-field failure: '{a}' ("), x, F.lit(f") is after '{b}' ("), y, F.lit(")."))
         out.append(F.when(x > y, finding("CROSS_FIELD_CONSISTENCY", "FAIL", "HIGH", text, a, x, y, "CROSS_FIELD_MISMATCH", f"'{a}' must be before '{b}'")))
     return _findings(*out)
 
 
-def database(doc: DocumentType, get: Get, matched: Column, ref: dict[str, Column]) -> Column:
+def database(doc: DocumentType, get: Get, matched: Column, ref: dict[str, Column], iso: Get | None = None) -> Column:
     """No record: one finding. Else the name by similarity and every date by its normal form."""
     missing = finding("DATABASE_LOOKUP", "FAIL", "HIGH", "No record found in reference database matching identifier.", doc.identifier, mismatch="DATABASE_NOT_FOUND", note="Identifier not found in registry database")
     out = [F.when(~matched, missing)]
@@ -92,7 +100,7 @@ def database(doc: DocumentType, get: Get, matched: Column, ref: dict[str, Column
             good = finding("DATABASE_FIELD_MATCH", "PASS", "LOW", F.concat(F.lit("Name match in DB (Similarity: "), share, F.lit("%).")), f, get(f), value)
             out.append(F.when(both, F.when(same, good).otherwise(bad)))
         elif "date" in f:
-            x, y = normalize_date(get(f)), normalize_date(value)
+            x, y = iso(f) if iso else normalize_date(get(f)), normalize_date(value)
             out.append(F.when(both & (x != y), finding("DATABASE_FIELD_MATCH", "FAIL", "HIGH", F.concat(F.lit(f"Field '{f}' mismatch in DB: OCR '"), x, F.lit("' vs DB '"), y, F.lit("'")), f, x, y, "DATABASE_MISMATCH", "Date mismatch")))
     return _findings(*out)
 
@@ -100,14 +108,22 @@ def database(doc: DocumentType, get: Get, matched: Column, ref: dict[str, Column
 def document_status(matched: Column, status: Column) -> Column:
     """Blacklisted, revoked and expired documents fail; lost and suspended ones pass."""
     s = F.upper(F.coalesce(status, F.lit("ACTIVE")))
-    fail = lambda name, severity: finding("DOCUMENT_STATUS", "FAIL", severity, f"Document status is {name}.", "status", ref=s, mismatch=f"DOCUMENT_{name}", note=f"Document is {name.lower()}")
-    found = F.when(s == "BLACKLISTED", fail("BLACKLISTED", "CRITICAL")).when(s == "REVOKED", fail("REVOKED", "HIGH")).when(s == "EXPIRED", fail("EXPIRED", "HIGH"))
-    return _findings(F.when(matched, found.otherwise(finding("DOCUMENT_STATUS", "PASS", "LOW", "Document status accepted.", "status", ref=s))))
-
-
-def all_findings(doc: DocumentType, type_name: str, get: Get, matched: Column, ref: dict[str, Column], status: Column, as_of: Column) -> Column:
+    # The texts of the outcomes.
+    texts = {
+        "BLACKLISTED": ("CRITICAL", "CRITICAL: Document is flagged as BLACKLISTED in official record."),
+        "REVOKED": ("HIGH", "Document has been REVOKED by issuing authority."),
+        "EXPIRED": ("HIGH", "Document status is EXPIRED in reference record."),
+    }
+    found = F.lit(None)
+    for name, (severity, text) in texts.items():
+        found = F.when(s == name, finding("DOCUMENT_STATUS", "FAIL", severity, text, "status", ref=s, mismatch=f"{name}_DOCUMENT", note=f"Document is {name.lower()}")).otherwise(found)
+    good = finding("DOCUMENT_STATUS", "PASS", "LOW", F.concat(F.lit("Document status is '"), s, F.lit("'.")), "status", ref=s)
+    return _findings(F.when(matched, F.coalesce(found, good)))
+
+
+def all_findings(doc: DocumentType, type_name: str, get: Get, matched: Column, ref: dict[str, Column], status: Column, as_of: Column, iso: Get | None = None) -> Column:
     """Findings of every rule, in the rules' order."""
-    return F.concat(required_fields(doc, get), formats(doc, get, type_name), types(doc, get), dates(get, as_of), cross_fields(doc, get), database(doc, get, matched, ref), document_status(matched, status))
+    return F.concat(required_fields(doc, get), formats(doc, get, type_name), types(doc, get, iso), dates(get, as_of, iso), cross_fields(doc, get, iso), database(doc, get, matched, ref, iso), document_status(matched, status))
 
 
 # Penalty weights, severity factors and thresholds of the score.

@@ -3,45 +3,53 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.config import document_type
-from docassay.functions.normalize import normalize_all_fields, normalize_identifier
+from docassay.config import TYPES, document_type
+from docassay.functions.normalize import normalize_all_fields, normalize_date, normalize_identifier
 from docassay.operators import rules
 from docassay.operators.lookup import registry_lookup
 
 STATUSES = ("ACTIVE", "EXPIRED", "REVOKED", "BLACKLISTED", "SUSPENDED", "LOST", "NOT_FOUND", "UNKNOWN")
+#: Columns of a registry that are never compared with a scan.
+UNCOMPARED = {"id", "status", "created_at", "updated_at", "document_type"}
 
 
-def validate(scans: DataFrame, registry: DataFrame, type_name: str, as_of: datetime.date, *, unique_registry: bool = False) -> DataFrame:
-    """A verdict per scan of one document type.
+def get(f: str) -> Column:
+    return F.col("fields")[f]
 
-    ``scans``: request_id, ocr_confidence and fields (map). ``registry``: the identifier column, status and any
-    of the reference fields. The identifier is looked up in its normal form, registry keys as they are.
-    """
-    doc = document_type(type_name)
-    get = lambda f: F.col("fields")[f]
-    scans = scans.withColumn("normalized_fields", normalize_all_fields(F.col("fields")))
-    found = registry_lookup(scans, registry, normalize_identifier(get(doc.identifier)), doc.identifier, unique=unique_registry)
-    skip = {"id", "status", "created_at", "updated_at", "document_type", doc.identifier}
-    ref = {f: F.col(f"record.{f}").cast("string") for f in registry.columns if f not in skip and (f == "name" or "date" in f)}
-    matched = F.col("database_match")
-    findings = rules.all_findings(doc, type_name, get, matched, ref, F.col("record.status"), F.lit(as_of))
-    status = F.upper(F.col("record.status"))
+
+def iso(f: str) -> Column:
+    return F.col("_iso")[f]
+
+
+def _prepared(scans: DataFrame) -> DataFrame:
+    """Scans with the normal forms that several rules need, each made once."""
+    dates = F.struct(*[normalize_date(get(f)).alias(f) for f in rules.DATE_FIELDS])
+    return scans.withColumn("normalized_fields", normalize_all_fields(F.col("fields"))).withColumn("_iso", dates)
+
+
+def _compared(columns, identifier: str) -> list[str]:
+    return [f for f in columns if f not in {*UNCOMPARED, identifier} and (f == "name" or "date" in f)]
+
+
+def _verdicts(found: DataFrame, type_name: Column, findings: Column, status: Column) -> DataFrame:
+    status = F.upper(status)
     judged = found.withColumn("findings", findings).withColumn("raw_score", rules.raw_score(F.col("findings"), F.col("ocr_confidence")))
     check = lambda c: F.struct(*[c[k] for k in ("rule", "status", "severity", "message", "field", "ocr_value", "reference_value")])
     miss = lambda c: F.struct(c["field"], c["mismatch"].alias("type"), c["severity"], c["note"].alias("message"), c["ocr_value"], c["reference_value"])
     return judged.select(
         "request_id",
-        F.lit(type_name).alias("document_type"),
+        type_name.alias("document_type"),
         rules.recommendation(F.col("raw_score")).alias("validation_status"),
         F.round("raw_score", 1).alias("validation_score"),
         "database_match",
         "data_source",
         "source_status",
-        F.when(~matched, "NOT_FOUND").when(status.isin(*STATUSES), status).otherwise("ACTIVE").alias("document_status"),
+        F.when(~F.col("database_match"), "NOT_FOUND").when(status.isin(*STATUSES), status).otherwise("ACTIVE").alias("document_status"),
         F.transform("findings", check).alias("checks"),
         F.transform(F.filter("findings", lambda c: c["mismatch"].isNotNull()), miss).alias("mismatches"),
         F.transform(F.filter("findings", lambda c: c["status"] == "WARNING"), lambda c: c["message"]).alias("warnings"),
@@ -49,6 +57,42 @@ def validate(scans: DataFrame, registry: DataFrame, type_name: str, as_of: datet
     )
 
 
-def payload_confidence(confidence):
-    """Payloads that come without a confidence count as certain."""
-    return F.coalesce(confidence, F.lit(100.0))
+def validate(scans: DataFrame, registry: DataFrame, type_name: str, as_of: datetime.date, *, unique_registry: bool = False) -> DataFrame:
+    """A verdict per scan of one document type.
+
+    ``scans``: request_id, ocr_confidence and fields (map). ``registry``: the identifier column, status and any
+    of the reference fields. The identifier is looked up in its normal form, registry keys as they are.
+    """
+    doc = document_type(type_name)
+    found = registry_lookup(_prepared(scans), registry, normalize_identifier(get(doc.identifier)), doc.identifier, unique=unique_registry)
+    ref = {f: F.col(f"record.{f}").cast("string") for f in _compared(registry.columns, doc.identifier)}
+    findings = rules.all_findings(doc, type_name, get, F.col("database_match"), ref, F.col("record.status"), F.lit(as_of), iso)
+    return _verdicts(found, F.lit(type_name), findings, F.col("record.status"))
+
+
+def validate_mixed(scans: DataFrame, registries: dict[str, DataFrame], as_of: datetime.date) -> DataFrame:
+    """A verdict per scan of a table of several document types, in one join and one projection.
+
+    ``scans`` has document_type too; names are compared in lower case with underscores. A type without rules
+    of its own has those of an unknown document and no registry. Registries are laid under one another by type.
+    """
+    typed = _prepared(scans).withColumn("_kind", F.replace(F.lower(F.trim(F.coalesce("document_type", F.lit("unknown")))), F.lit(" "), F.lit("_")))
+    kind = F.col("_kind")
+    by_type = lambda of, other: reduce(lambda a, t: F.when(kind == t, of(t)).otherwise(a), TYPES, other)
+    records = []
+    for t, registry in registries.items():
+        columns = [c for c in registry.columns if c not in ("id", "created_at", "updated_at")]
+        fields = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
+        records.append(registry.select(F.concat(F.lit(f"{t}\u0001"), F.col(document_type(t).identifier)).alias("key"), fields.alias("fields")))
+    unknown = document_type("")
+    key = by_type(lambda t: normalize_identifier(get(TYPES[t].identifier)), normalize_identifier(get(unknown.identifier)))
+    typed_key = F.when(key != "", F.concat(kind, F.lit("\u0001"), key))
+    found = registry_lookup(typed, reduce(DataFrame.unionByName, records), typed_key, "key")
+    found = found.withColumn("record", F.col("record.fields"))
+
+    def findings(t: str) -> Column:
+        columns = registries[t].columns if t in registries else ()
+        ref = {f: F.col("record")[f] for f in _compared(columns, document_type(t).identifier)}
+        return rules.all_findings(document_type(t), t, get, F.col("database_match"), ref, F.col("record")["status"], F.lit(as_of), iso)
+
+    return _verdicts(found, F.coalesce("document_type", F.lit("unknown")), by_type(findings, findings("")), F.col("record")["status"])

@@ -7,9 +7,10 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.config import document_type
+from docassay.config import TYPES, document_type
 from docassay.operators import lookup, rules, synth
-from docassay.plans.validate import validate
+from docassay.plans.validate import validate, validate_mixed
+from docassay.sources import io
 
 AS_OF = datetime.date(1999, 6, 30)
 
@@ -193,7 +194,84 @@ def synth_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", synth.status(F.col("c_custkey")).alias("status"))
 
 
-FUNCTIONS = (verdict, recommendation_summary, rule_required, rule_format, rule_type, rule_date, rule_cross_field, registry_lookup, lookup_missing, rule_database, rule_status, hybrid_lookup, auth_sync, count_records, penalty_key, upsert_latest, insert_ignore, cascade_delete, foreign_key_audit, child_projection, rls_filter, synth_status)
+def mixed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scans of six types and an unknown one; every fifth lacks its name, every third its expiry."""
+    k, kinds = F.col("o_orderkey"), (*TYPES, "Space Permit")
+    kind = F.get(F.array(*[F.lit(t) for t in kinds]), (k % len(kinds)).cast("int"))
+    number = F.format_string("%012d", F.col("o_custkey"))
+    values = {d.identifier: F.when(kind == t, number) for t, d in TYPES.items()} | {
+        "name": F.when(k % 5 != 0, F.lit("Ann Lee")),
+        "nationality": F.lit("IND"),
+        "date_of_birth": F.lit("1980-02-03"),
+        "date_of_issue": F.lit("1995-01-01"),
+        "date_of_expiry": F.when(k % 3 != 0, F.lit("2005-06-07")),
+        "gender": F.lit("F"),
+    }
+    pairs = F.map_from_arrays(F.array(*[F.lit(f) for f in values]), F.array(*values.values()))
+    return table(spark, sf_dir, "orders").select(k.cast("string").alias("request_id"), kind.alias("document_type"), F.lit(90.0).alias("ocr_confidence"), pairs.alias("fields"))
+
+
+def verdict_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on a table of seven types against six registries, in one join."""
+    number = F.format_string("%012d", F.col("c_custkey"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
+    registries = {t: known.select(number.alias(d.identifier), F.lit("ANN LEE").alias("name"), F.when(F.col("c_custkey") % 7 == 0, "REVOKED").otherwise("ACTIVE").alias("status")) for t, d in TYPES.items()}
+    out = validate_mixed(mixed_scans(spark, sf_dir), registries, AS_OF)
+    return out.select("request_id", "document_type", "validation_score", "validation_status", "database_match", "source_status", "document_status", F.size("mismatches").alias("n_mismatches"))
+
+
+def _officers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("officer_id"), F.lower(F.concat("s_name", F.lit("@x.org"))).alias("officer_email"))
+
+
+def login_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    logins = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, "own@y.org").when(k % 3 == 1, "").alias("email"), F.when(k % 7 != 0, k.cast("string")).alias("officer_id"))
+    return lookup.login_emails(logins, _officers(spark, sf_dir)).select("c_custkey", "resolved")
+
+
+def officers_either(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.any_of(_officers(spark, sf_dir), officer_id="3", officer_email="supplier#000000005@x.org").select("officer_id")
+
+
+def check_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", 1, (k % 3).cast("int")).alias("first_name"), F.when(k % 4 != 0, k.cast("string")).alias("officer_id"), F.lit("").alias("email"), F.repeat(F.lit("p"), (k % 12).cast("int")).alias("password"))
+    return lookup.check_inputs(rows).select("c_custkey", F.array_join("rejects", ",").alias("rejects"))
+
+
+def api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    answers = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(k.alias("o_custkey"), F.when(k % 3 == 0, 200).when(k % 3 == 1, 404).alias("http_status"), F.col("c_name").alias("record"))
+    return lookup.api_lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), answers, "o_custkey").select("o_orderkey", "record", "source_status")
+
+
+def alpha3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = spark.createDataFrame([("NATION_1", "One"), ("NATION_2", "Two"), ("NATION_2", "Two again")], "alpha_3 string, name string")
+    return lookup.alpha3_names(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), codes, "n_name").select("n_nationkey", "country")
+
+
+def child_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passports of a mixed log, with their columns."""
+    scans_ = mixed_scans(spark, sf_dir).withColumn("id", F.col("request_id")).withColumn("officer_id", F.lit("o1")).withColumn("document_country", F.when(F.col("request_id").cast("long") % 2 == 0, "IN"))
+    return io.child_rows(scans_, "passport")
+
+
+def rotate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "previous_run").otherwise("latest_run").alias("run"), F.col("r_name").alias("payload"))
+    return io.rotate_runs(runs, table(spark, sf_dir, "nation").select(F.col("n_name").alias("payload")))
+
+
+def touch_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("updated_at"))
+    return lookup.touch(rows, F.col("o_orderstatus") == "F", F.lit(AS_OF)).select("o_orderkey", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
+
+
+def keep_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.keep_complete(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), "c_custkey", "o_custkey")
+
+
+FUNCTIONS = (verdict, recommendation_summary, rule_required, rule_format, rule_type, rule_date, rule_cross_field, registry_lookup, lookup_missing, rule_database, rule_status, hybrid_lookup, auth_sync, count_records, penalty_key, upsert_latest, insert_ignore, cascade_delete, foreign_key_audit, child_projection, rls_filter, synth_status, verdict_mixed, login_emails, officers_either, check_inputs, api_lookup, alpha3_names, child_rows, rotate_runs, touch_changed, keep_complete)
 
 SQL = RULE_SQL | {
     "verdict": VERDICT_SQL,
@@ -204,8 +282,8 @@ SQL = RULE_SQL | {
         case when matched and k % 7 <> 0 then 'PASS' else 'FAIL' end as status, case when not matched then 'DATABASE_NOT_FOUND' when k % 7 = 0 then 'NAME_MISMATCH' end as mismatch from v""",
     "rule_status": f"""{SCANS_SQL} select k::varchar as request_id, case when status in ('BLACKLISTED', 'REVOKED', 'EXPIRED') then 'FAIL' else 'PASS' end as status,
         case status when 'BLACKLISTED' then 'CRITICAL' when 'REVOKED' then 'HIGH' when 'EXPIRED' then 'HIGH' else 'LOW' end as severity,
-        case when status in ('BLACKLISTED', 'REVOKED', 'EXPIRED') then 'DOCUMENT_' || status end as mismatch from v where matched""",
-    "hybrid_lookup": """select o_orderkey, o_custkey, coalesce(a.c_name, b.c_name) as c_name, case when a.c_custkey is not null then 'primary' else 'hybrid_fallback' end as data_source
+        case when status in ('BLACKLISTED', 'REVOKED', 'EXPIRED') then status || '_DOCUMENT' end as mismatch from v where matched""",
+    "hybrid_lookup": """select o_orderkey, o_custkey, coalesce(a.c_name, b.c_name) as c_name, case when a.c_custkey is not null then 'primary' else 'hybrid_fallback (secondary)' end as data_source
         from orders left join (select * from customer where c_custkey % 3 = 0) a on o_custkey = a.c_custkey left join (select * from customer where c_custkey % 7 <> 0) b on o_custkey = b.c_custkey and a.c_custkey is null""",
     "auth_sync": "select c_custkey, case when exists (select 1 from orders where o_custkey = c_custkey) then 'OK' else 'MISSING' end as state from customer",
     "count_records": " union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in ("customer", "supplier", "part", "orders", "lineitem")),
@@ -222,4 +300,32 @@ SQL = RULE_SQL | {
     "rls_filter": "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING'",
     "synth_status": """select c_custkey, case when u < 70 then 'ACTIVE' when u < 80 then 'EXPIRED' when u < 85 then 'REVOKED' when u < 90 then 'BLACKLISTED' when u < 95 then 'SUSPENDED' else 'LOST' end as status
         from (select c_custkey, (c_custkey * 37 + 11) % 100 as u from customer)""",
+    "verdict_mixed": """with s as (
+            select o_orderkey as k, o_custkey as c, ['passport', 'visa', 'aadhaar', 'driving_license', 'national_id', 'permit', 'Space Permit'][o_orderkey % 7 + 1] as kind,
+                   o_orderkey % 5 <> 0 as named, o_orderkey % 3 <> 0 as ends, o_orderkey % 7 < 6 and o_custkey in (select c_custkey from customer where c_custkey % 4 <> 0) as matched from orders),
+        v as (
+            select *, case when kind <> 'aadhaar' and not named then 1 else 0 end + case when kind in ('passport', 'visa', 'driving_license', 'permit') and not ends then 1 else 0 end
+                      + case kind when 'visa' then 1 when 'Space Permit' then 1 else 0 end as missing,
+                   -- twelve digits are too long for a passport
+                   case when kind = 'passport' then 1 else 0 end as misshapen,
+                   case when not matched then 1 else 0 end as absent, case when matched and c % 7 = 0 then 1 else 0 end as revoked
+            from s),
+        w as (select *, greatest(0, 100.0 - 24 * missing - 18 * misshapen - 30 * absent - 48 * revoked) as score from v)
+        select k::varchar as request_id, kind as document_type, score::double as validation_score, case when score >= 80 then 'PASS' when score >= 50 then 'MANUAL_REVIEW' else 'FAIL' end as validation_status,
+               matched as database_match, case when kind = 'Space Permit' then 'unconfigured' when matched then 'active' else 'not_found' end as source_status,
+               case when not matched then 'NOT_FOUND' when revoked = 1 then 'REVOKED' else 'ACTIVE' end as document_status, (missing + misshapen + absent + revoked)::int as n_mismatches from w""",
+    "login_emails": """select c_custkey, case when c_custkey % 3 = 0 then 'own@y.org' when c_custkey % 7 <> 0 then (select lower(s_name || '@x.org') from supplier where s_suppkey = c_custkey) end as resolved from customer""",
+    "officers_either": "select s_suppkey::varchar as officer_id from supplier where s_suppkey = 3 or lower(s_name) = 'supplier#000000005'",
+    "check_inputs": """select c_custkey, concat_ws(',', case when c_custkey % 3 = 0 then 'first_name' end,
+            case when c_custkey % 4 = 0 or length(c_custkey::varchar) < 2 then 'officer_id' end, case when c_custkey % 12 < 8 then 'password' end, case when c_custkey % 4 = 0 then 'login' end) as rejects from customer""",
+    "api_lookup": """select o_orderkey, case when status = 'official_government_source' then c_name end as record, status as source_status from (
+        select o_orderkey, c_name, case when c_custkey is null or c_custkey % 5 = 0 or c_custkey % 3 = 2 then 'api_connection_failed' when c_custkey % 3 = 0 then 'official_government_source' else 'gov_api_status_404' end as status
+        from orders left join customer on o_custkey = c_custkey)""",
+    "alpha3_names": "select n_nationkey, case n_name when 'NATION_1' then 'One' when 'NATION_2' then 'Two' else n_name end as country from nation",
+    "child_rows": """select o_orderkey::varchar as scan_log_id, 'o1' as officer_id, printf('%012d', o_custkey) as passport_number, case when o_orderkey % 5 <> 0 then 'Ann Lee' end as name, null::varchar as surname, null::varchar as given_name,
+        'IND' as nationality, '1980-02-03' as date_of_birth, '1995-01-01' as date_of_issue, case when o_orderkey % 3 <> 0 then '2005-06-07' end as date_of_expiry, 'F' as gender, null::varchar as personal_number, null::varchar as passport_type,
+        null::varchar as place_of_birth, null::varchar as issuing_authority, null::varchar as mrz_line1, null::varchar as mrz_line2, case when o_orderkey % 2 = 0 then 'IN' end as country from orders where o_orderkey % 7 = 0""",
+    "rotate_runs": "select 'previous_run' as run, r_name as payload from region where r_regionkey <> 0 union all select 'latest_run', n_name from nation",
+    "touch_changed": "select o_orderkey, case when o_orderstatus = 'F' then '1999-06-30' else strftime(o_orderdate, '%Y-%m-%d') end as updated_at from orders",
+    "keep_complete": "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderkey % 3 = 0)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What may be uploaded, and the columns of each audit child table.
-UPLOAD_TYPES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "pdf")
+UPLOAD_TYPES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff")
 MAX_UPLOAD = 10 * 1024 * 1024
 
 
@@ -36,11 +36,40 @@ def parse_fields(payload: Column) -> Column:
     return F.coalesce(F.from_json(payload, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
-def write_audit(scans: DataFrame, children: dict[str, DataFrame], path: str) -> None:
-    """Append the log and then each child table."""
-    scans.write.mode("append").parquet(f"{path}/scan_logs")
-    for name, child in children.items():
-        child.write.mode("append").parquet(f"{path}/{name}")
+# The child table and its columns for each document type.
+CHILD_TABLES = {
+    "passport": ("ocr_passports", ("passport_number", "name", "surname", "given_name", "nationality", "date_of_birth", "date_of_issue", "date_of_expiry", "gender", "personal_number", "passport_type", "place_of_birth", "issuing_authority", "mrz_line1", "mrz_line2", "country")),
+    "aadhaar": ("ocr_aadhaars", ("aadhaar_number", "masked_number", "name", "gender", "date_of_birth", "address", "country")),
+    "visa": ("ocr_visas", ("visa_number", "control_number", "visa_type", "entries", "issuing_post", "issuing_authority", "annotation", "name", "surname", "given_name", "date_of_birth", "passport_number", "nationality", "date_of_issue", "date_of_expiry", "mrz_line1", "mrz_line2", "country")),
+    "driving_license": ("ocr_driving_licenses", ("license_number", "name", "date_of_issue", "date_of_expiry", "date_of_birth", "blood_group", "relation", "address", "vehicle_classes", "issuing_authority", "nationality", "country")),
+    "national_id": ("ocr_national_ids", ("id_number", "name", "surname", "given_name", "nationality", "date_of_birth", "date_of_issue", "date_of_expiry", "gender", "place_of_birth", "address", "issuing_authority", "mrz_line1", "mrz_line2", "country")),
+    "permit": ("ocr_permits", ("permit_number", "permit_type", "name", "surname", "given_name", "date_of_birth", "date_of_issue", "date_of_expiry", "gender", "nationality", "passport_number", "issuing_authority", "address", "mrz_line1", "mrz_line2", "country")),
+}
+
+
+def child_rows(scans: DataFrame, type_name: str) -> DataFrame:
+    """The child table's rows of one document type: scan_log_id, officer_id and its columns out of ``fields``.
+
+    ``scans`` has id, officer_id, document_type, document_country and fields (map); the country joins the fields.
+    """
+    _, columns = CHILD_TABLES[type_name]
+    kind = F.replace(F.lower(F.trim("document_type")), F.lit(" "), F.lit("_"))
+    value = lambda c: F.coalesce("document_country", F.col("fields")[c]) if c == "country" else F.col("fields")[c]
+    return scans.where(kind == type_name).select(F.col("id").alias("scan_log_id"), "officer_id", *[value(c).alias(c) for c in columns])
+
+
+def write_audit(scans: DataFrame, path: str) -> None:
+    """Append the log, then the rows of each type to its child table; types without one are in the log alone."""
+    log = scans.withColumn("ocr_confidence", F.round("ocr_confidence", 2))
+    log.write.mode("append").parquet(f"{path}/scan_logs")
+    for type_name, (name, _) in CHILD_TABLES.items():
+        child_rows(scans, type_name).write.mode("append").parquet(f"{path}/{name}")
+
+
+def rotate_runs(runs: DataFrame, latest: DataFrame) -> DataFrame:
+    """``runs`` (run, payload) after another run: what was latest_run becomes previous_run."""
+    last = runs.where("run = 'latest_run'").select(F.lit("previous_run").alias("run"), "payload")
+    return last.unionByName(latest.select(F.lit("latest_run").alias("run"), "payload"))
 
 
 def report(verdicts: DataFrame) -> DataFrame:

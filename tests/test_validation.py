@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions import adapt, checksum, extract, mrz, normalize, similarity
 from docassay.operators import layout, lookup, rules, synth
-from docassay.plans.validate import validate
+from docassay.plans.validate import validate, validate_mixed
 from docassay.sources import io
 
 AS_OF = datetime.date(2024, 1, 1)
@@ -138,11 +138,51 @@ def tokens(spark, rows):
 def test_layout(spark):
     page = tokens(spark, [("Name", 0.9, 0, 0), ("A 1234 B", 0.8, 50, 5), ("City: Rome", 0.7, 0, 100), ("Number", 0.9, 0, 200), ("X 2020 Y", 0.6, 5, 260)])
     found = {(r["label"], r["value"], r["source"]) for r in layout.dynamic_fields(page).collect()}
-    assert found == {("Name", "A 1234 B", "right"), ("City", "Rome", "inline"), ("Number", "X 2020 Y", "below")}
-    twice = tokens(spark, [("HELLO WORLD", 0.5, 0, 0), ("HELLO WORL0", 0.9, 0, 0), ("OTHER", 0.4, 0, 0)])
+    assert found == {("Name", "A 1234 B", "layout_relation"), ("City", "Rome", "same_line"), ("Number", "X 2020 Y", "layout_relation")}
+    twice = tokens(spark, [("HELLO WORLD", 0.5, 0, 0), ("HELLO WORL0", 0.9, 0, 0), ("OTHER", 0.4, 0, 0), ("--", 0.9, 0, 0)])  # without letters or digits: dropped
     assert {r["text"] for r in layout.fuzzy_dedup(twice).collect()} == {"HELLO WORL0", "OTHER"}
 
 
+def test_licence_fields(spark):
+    page = tokens(spark, [("NAME: ANN", 0.9123, 0, 0), ("B1OOD GROUP", 0.8, 0, 100), ("O+", 0.7, 150, 110), ("DATE 0F BIRTH", 0.9, 0, 200), ("01/02/1990", 0.6, 10, 300), ("NAME - BOB", 0.5, 0, 400), ("no 1234567", 0.5, 900, 900)])
+    got = {r["label"]: (r["value"], r["confidence"], r["source"]) for r in layout.licence_fields(page).collect()}
+    assert got == {
+        "NAME": ("BOB", 0.5, "same_line"),  # the later one stays
+        "BLOOD GROUP": ("O+", 0.7, "fuzzy_label_layout"),
+        "DATE OF BIRTH": ("01/02/1990", 0.6, "fuzzy_label_layout"),
+        "Detected Date 1": ("01/02/1990", 0.6, "pattern_detection"),
+        "Detected Number 1": ("1234567", 0.5, "pattern_detection"),
+    }
+    assert layout.known_label("...") is None and layout.known_label("DL NUMBR") == "DL NUMBER" and layout.known_label("zzz") is None
+
+
+def test_mrz_lines(spark):
+    one_, two = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<", "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
+    page = tokens(spark, [(two, 0.8, 0, 50), (one_[:40], 0.6, 0, 10), (one_, 0.9, 0, 12), ("SHORT", 0.9, 0, 5)])
+    (got,) = layout.mrz_lines(page).collect()
+    assert (got["line1"], got["line2"], got["mrz_confidence"], got["reason"]) == (one_, two, 0.85, None)
+    assert layout.mrz_lines(page.where("confidence < 0.7")).first()["reason"] == "Two MRZ lines were not detected."
+    assert layout.mrz_lines(page.where("text = 'SHORT'")).first()["reason"] == "MRZ was not detected."
+
+
+def test_mixed_types_and_scans_without_number(spark):
+    rows = [("a", "passport", 96.0, PASSPORT), ("b", "Intergalactic Space Permit", 96.0, {"name": "X"}), ("c", None, 96.0, {}), ("d", "permit", 96.0, {"permit_number": None, "name": ""})]
+    scans = spark.createDataFrame(rows, "request_id string, document_type string, ocr_confidence double, fields map<string,string>")
+    got = {r["request_id"]: r for r in validate_mixed(scans, {"passport": registry(spark)}, AS_OF).collect()}
+    alone = verdict(spark, PASSPORT)
+    assert got["a"]["validation_score"] == alone["validation_score"] and got["a"]["checks"] == alone["checks"]
+    assert (got["b"]["document_type"], got["b"]["source_status"]) == ("Intergalactic Space Permit", "unconfigured")
+    assert got["c"]["document_type"] == "unknown" and got["d"]["validation_status"] == "FAIL"
+
+
+def test_audit_routing(spark, tmp_path):
+    rows = [("1", "o", "Passport", "IN", 91.239, {"passport_number": "P1", "odd": "x"}), ("2", "o", "visa", None, 1.0, {"country": "FR"}), ("3", "o", "other", None, 1.0, {})]
+    io.write_audit(spark.createDataFrame(rows, "id string, officer_id string, document_type string, document_country string, ocr_confidence double, fields map<string,string>"), str(tmp_path))
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}")
+    assert read("scan_logs").count() == 3 and read("ocr_passports").first()["country"] == "IN" and read("ocr_visas").first()["country"] == "FR" and read("ocr_permits").count() == 0
+    assert {r["ocr_confidence"] for r in read("scan_logs").collect()} == {91.24, 1.0}
+
+
 def test_synthetic_registry(spark):
     made = synth.registry(spark, "passport", 1000, "passport_number")
     assert made.count() == made.select("passport_number").distinct().count() == 1000
@@ -151,10 +191,10 @@ def test_synthetic_registry(spark):
 
 
 def test_upload_guard(spark):
-    files = spark.createDataFrame([("a/x.png", 10), ("a/y.exe", 10), ("a/z.pdf", 0), ("a/w.jpg", 1 << 30)], "path string, length long")
+    files = spark.createDataFrame([("a/x.png", 10), ("a/y.exe", 10), ("a/z.pdf", 10), ("a/v.bmp", 0), ("a/w.jpg", 1 << 30)], "path string, length long")
     good, bad = io.guard_uploads(files)
     assert [r["path"] for r in good.collect()] == ["a/x.png"]
-    assert {r["path"]: r["code"] for r in bad.collect()} == {"a/y.exe": 415, "a/z.pdf": 400, "a/w.jpg": 413}
+    assert {r["path"]: r["code"] for r in bad.collect()} == {"a/y.exe": 415, "a/z.pdf": 415, "a/v.bmp": 400, "a/w.jpg": 413}
 
 
 def test_stream(spark, tmp_path):
