@@ -3,7 +3,7 @@
 A word is the array of its bytes' ids between two sentinels, beside the array of ranks of its neighbours. One
 step of the fold takes the least rank, leftmost first, puts the merged id in place and looks up the two ranks
 that change. The rank map is literal arrays: a pair (a, b) stands at ``offset[a] + b`` and the entry names
-its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another). The literals are
+its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another). The arrays are
 written once, as a table of one row, and plans take that row as a scalar subquery: tasks get the same constants,
 packed, and no plan prints or copies them.
 
@@ -87,11 +87,6 @@ def overlay(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
     return offset, entries[: int(np.flatnonzero(taken).max(initial=0)) + top + 1]
 
 
-def _literal(values: np.ndarray) -> Column:
-    """A constant array: one string that the optimizer splits and casts once."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
-
-
 def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """One row, ``map``: the arrays of the rank map. Its size is the vocabulary's, a few megabytes."""
     offset, entries = overlay(merge_pairs(ranks))
@@ -101,7 +96,9 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
         "merges": np.where(entries < 0, NONE, entries % NONE),
         "byte_ids": np.array([ranks[bytes([b])] for b in range(256)]),
     }
-    return materialise(spark.range(0, 1, 1, 1).select(F.struct(*[_literal(v).alias(k) for k, v in arrays.items()]).alias("map")), "ranks")
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int32))) for v in arrays.values()]
+    row = pa.table({"map": pa.StructArray.from_arrays(columns, names=list(arrays))})
+    return materialise(spark.createDataFrame(row).coalesce(1), "ranks")
 
 
 def _let(value: Column, body) -> Column:
