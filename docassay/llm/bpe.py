@@ -216,7 +216,35 @@ def count_words(documents: DataFrame, pattern: str) -> DataFrame:
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, table: DataFrame, end: int) -> dict[str, bytes]:
+def _is_text(token: bytes) -> bool:
+    try:
+        return token.decode() is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def unpack(data: bytes) -> dict[str, bytes]:
+    """The dictionary of a Packed; later rows win."""
+    held = pa.ipc.open_stream(data).read_all().combine_chunks()
+    flat = held.column(1).combine_chunks()
+    raw, ends = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * (flat.offsets.to_numpy() - flat.offsets[0].as_py())).tolist()
+    return {w: raw[a:b] for w, a, b in zip(held.column(0).to_pylist(), ends, ends[1:])}
+
+
+class Packed:
+    """Words and their ids as an Arrow table that arrives as a dictionary where it is unpickled; the driver needs none."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __reduce__(self):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.table.schema) as out:
+            out.write_table(self.table)
+        return unpack, (sink.getvalue().to_pybytes(),)
+
+
+def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, table: DataFrame, end: int) -> Packed:
     """Ids (little-endian u32) of the most frequent words, at most ``limit``, and of all words that are tokens."""
     counts = materialise(count_words(documents, pattern), "words")
     least, room = 1 << 62, limit
@@ -228,15 +256,10 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
         least = row["n"]
     chosen = counts.where(F.col("n") >= least).select("word", F.array("word").alias("ids"))
     folded = fold_words(chosen, "ids", table, end).select("word", F.get("ids", F.lit(0)).alias("ids")).toArrow()
-    flat = folded.column("ids").combine_chunks()
-    raw, ends = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * flat.offsets.to_numpy()).tolist()
-    out = {w: raw[a:b] for w, a, b in zip(folded.column("word").to_pylist(), ends, ends[1:])}
-    for token, i in ranks.items():
-        try:
-            out[token.decode()] = int(i).to_bytes(4, "little")
-        except UnicodeDecodeError:
-            pass
-    return out
+    own = [(t.decode(), [i]) for t, i in ranks.items() if _is_text(t)]
+    words, ids = zip(*own) if own else ((), ())
+    known = pa.table([pa.array(c, t) for c, t in zip((words, ids), folded.schema.types)], schema=folded.schema)
+    return Packed(pa.concat_tables([folded, known]))
 
 
 def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 300_000) -> DataFrame:
