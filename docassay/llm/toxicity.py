@@ -30,11 +30,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -286,26 +288,44 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_
     texts = materialise(texts.repartition(8, "key").select("toxic", F.pmod(F.xxhash64("h"), F.lit(3)).alias("fold"), F.xxhash64("key").alias("at"), distinct_words(F.col("text")).alias("words")), "sample")
     counts = texts.where("fold > 0").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     counts = materialise(counts.where(F.col("toxic") + F.col("clean") >= min_texts), "words")
-    counts = counts.where(F.col("toxic") + F.col("clean") >= _least_count(counts, F.col("toxic") + F.col("clean"), max_words)).toArrow().sort_by("word")
-    toxic, clean = counts.column("toxic").to_numpy().astype(float), counts.column("clean").to_numpy().astype(float)
-    if not toxic.sum() or not clean.sum():
-        return None
-    vectors, soft, bias = train_words(counts.column("word").to_pylist(), toxic, clean)
-    del counts
+    counts = counts.where(F.col("toxic") + F.col("clean") >= _least_count(counts, F.col("toxic") + F.col("clean"), max_words))
     sizes = texts.select("at", "toxic", "fold", F.size("words").alias("n")).where("n > 0").toPandas().sort_values("at")  # a row per sampled text
+    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if sizes["toxic"].nunique() < 2:
+        return None
     third = sizes[sizes["fold"] == 0]
     sizes = third if third["toxic"].nunique() > 1 else sizes
     sizes = sizes[sizes["n"].cumsum() <= max(max_pooled, sizes["n"].iloc[0])]
     last = int(sizes["at"].iloc[-1])
-    rows = texts.where((F.col("at") <= last) & F.col("fold").isin(sizes["fold"].unique().tolist()) & (F.size("words") > 0)).select("at", "toxic", "words").toArrow().sort_by("at").combine_chunks()
-    labels_, bags = rows.column("toxic").to_numpy().astype(float), rows.column("words").combine_chunks()
+    pooled = texts.where((F.col("at") <= last) & F.col("fold").isin(sizes["fold"].unique().tolist()) & (F.size("words") > 0))
+    # One task trains, so the driver holds the finished weights only; what the task reads is bounded by the parameters.
+    seen = counts.select(F.lit(None).cast("long").alias("at"), F.col("toxic").cast("long").alias("toxic"), F.col("clean").cast("long").alias("clean"), F.array("word").alias("words"))
+    seen = seen.unionByName(pooled.select("at", F.col("toxic").cast("long").alias("toxic"), F.lit(0).cast("long").alias("clean"), "words"))
+    found = seen.coalesce(1).mapInArrow(lambda batches: _fit(batches, shares), "weights binary, numbers array<double>").collect()
+    return Model(np.frombuffer(found[0]["weights"], np.float32), *found[0]["numbers"]) if found else None
+
+
+def _fit(batches: Iterable[pa.RecordBatch], shares: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """A row with the weights and numbers of a Model, from rows of words (``at`` null) and of documents; none where words lack a kind."""
+    held = pa.Table.from_batches(list(batches), pa.schema([("at", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64()), ("words", pa.list_(pa.string()))]))
+    single = held["at"].is_null()
+    counts, rows = held.filter(single), held.filter(pc.invert(single)).sort_by("at").combine_chunks()
+    counts = pa.table({"word": pc.list_flatten(counts["words"]), "toxic": counts["toxic"], "clean": counts["clean"]}).sort_by("word")
+    del held, single
+    toxic, clean = counts["toxic"].to_numpy().astype(float), counts["clean"].to_numpy().astype(float)
+    if not toxic.sum() or not clean.sum():
+        return
+    vectors, soft, bias = train_words(counts["word"].to_pylist(), toxic, clean)
+    del counts
+    labels, bags = rows["toxic"].to_numpy().astype(float), rows["words"].combine_chunks()
     every, ends = bags.flatten().dictionary_encode(), (bags.offsets.to_numpy() - bags.offsets[0].as_py())[1:-1]
-    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    weight = np.where(labels_ == 1, shares[1] / max(1.0, labels_.sum()), shares[0] / max(1.0, (1 - labels_).sum()))
+    weight = np.where(labels == 1, shares[1] / max(1.0, labels.sum()), shares[0] / max(1.0, (1 - labels).sum()))
     docs = np.split(every.indices.to_numpy().astype(np.int64), ends)
     vocabulary = every.dictionary.to_pylist()
     del rows, bags, every
-    return train_documents(vectors, soft, bias, vocabulary, docs, labels_, weight)
+    model = train_documents(vectors, soft, bias, vocabulary, docs, labels, weight)
+    numbers = [model.bias, model.sharpness, model.scale, model.length, model.offset]
+    yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "numbers": pa.array([numbers], pa.list_(pa.float64()))})
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
