@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.llm.common import materialise, record_batch
+from docassay.llm.common import give_back, materialise, record_batch
 
 #: Ranks are below; it marks a pair that doesn't merge.
 NONE = 1 << 20
@@ -212,6 +212,7 @@ def count_words(documents: DataFrame, pattern: str) -> DataFrame:
             if len(chunks) > 400_000:
                 yield out()
         yield out()
+        give_back()
 
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -297,6 +298,9 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
                     rare.append(new)
                     ids.append(b"".join(out))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
+        words.chunks.clear()
+        sent.clear()
+        give_back()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes, kept = tokens.value.__getitem__, []
@@ -323,6 +327,8 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
                 decoded = b"".join(map(token_bytes, np.frombuffer(data, "<u4").tolist()))
                 rows.append((doc_id, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield record_batch(rows, ARROW)
+        kept.clear()
+        give_back()
 
     marked = docs.mapInArrow(mark, "doc_id long, marked binary, rare array<string>")
     return fold_words(marked, "rare", table, end).mapInArrow(finish, SCHEMA)

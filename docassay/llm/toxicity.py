@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import materialise
+from docassay.llm.common import give_back, materialise
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -324,6 +324,8 @@ def _fit(batches: Iterable[pa.RecordBatch], shares: dict[int, int]) -> Iterator[
     vocabulary = every.dictionary.to_pylist()
     del rows, bags, every
     model = train_documents(vectors, soft, bias, vocabulary, docs, labels, weight)
+    del vocabulary, docs
+    give_back()
     numbers = [model.bias, model.sharpness, model.scale, model.length, model.offset]
     yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "numbers": pa.array([numbers], pa.list_(pa.float64()))})
 
@@ -347,6 +349,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
                 # Words in one order, so that equal texts have equal sums.
                 out += [model.score_words(np.sort(np.fromiter(map(known.__getitem__, found), np.float64, len(found)))) for found in split]
             yield pd.Series(out, dtype="float64")
+        known.clear()
+        give_back()
 
     return documents.withColumn("score", judge(F.col("text")))
 
