@@ -24,24 +24,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules. Null, empty and short texts fail them; each row is judged by itself, repeated ones alike."""
     return quality.keep_good(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of rows with one doc_id one stays, rows with a null doc_id all stay."""
     return dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none of those without words; a null source is a source of its own."""
     return mixing.mix_documents(docs, label_weights(table(spark, sf_dir, "labels")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of token counts and digests per document; a null or empty text has no tokens."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_copies), ("source_mix", mix_sources), ("byte_bpe", encode)]
 
-#: A trained model, signatures and BPE are beyond SQL; tests/llm compare with brute force instead.
+#: A trained model, signatures and BPE are beyond SQL; tests/llm test the operators one by one.
 ORACLE_SQL = None
 
 
