@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.llm import bpe, dedup, mixing, quality, toxicity
-from docassay.llm.common import materialise, table
+from docassay.llm.common import materialise, table, whole_row
 from docassay.llm.queries import label_weights, learnable_labels
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a model of the labelled documents in the whole table."""
     model = toxicity.train(table(spark, sf_dir, "documents"), learnable_labels(table(spark, sf_dir, "labels")))
-    row = F.struct(*docs.columns).alias("_row")
+    row = whole_row(docs).alias("_row")
     return toxicity.score(docs.select(row, F.col("text").alias("text")), model).where("score < 0.5").select("_row.*")
 
 
