@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.llm.common import give_back, materialise, record_batch
+from docassay.llm.common import give_back, materialise, record_batch, short_batches
 
 #: Ranks are below; it marks a pair that doesn't merge.
 NONE = 1 << 20
@@ -151,7 +151,7 @@ def fold_words(df: DataFrame, column: str, table: DataFrame, end: int) -> DataFr
 class _Words:
     """The words of texts, by chunk of text between single spaces; frequent words have their ids at hand."""
 
-    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 200_000):
+    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 100_000):
         import regex
 
         self.find, self.frequent, self.limit, self.chunks = regex.compile(pattern).findall, frequent, limit, {}
@@ -263,8 +263,9 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     return Packed(pa.concat_tables([folded, known]))
 
 
-def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 300_000) -> DataFrame:
+def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 150_000) -> DataFrame:
     """A row per document, SCHEMA."""
+    short_batches(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
     ranks = read_ranks(rank_path)
     table, end = rank_table(documents.sparkSession, ranks), max(ranks.values(), default=0) + 1

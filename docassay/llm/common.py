@@ -78,6 +78,13 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in Arrow batches of fewer rows than Spark's default; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)
+
+
 def words(text):
     """The words of a text column, as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -14,7 +14,8 @@ Since the softmax is linear, a trained model is one number per bucket and four m
 a word's n-grams is its logit. That array of fixed size is what executors get.
 
 Sample. Of the rows that may be learnt from, at most ``max_docs`` per label, lowest hash of doc_id first;
-equal texts count once. Two thirds train the words that ``min_texts`` of their texts hold, or more texts, if those
+of a doc_id's different texts the one with
+the lowest digest; equal texts count once. Two thirds train the words that ``min_texts`` of their texts hold, or more texts, if those
 words are more than ``max_words``; one third trains documents, in order of a hash as long as their distinct words
 sum to ``max_pooled`` at most.
 
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import give_back, materialise
+from docassay.llm.common import give_back, materialise, short_batches
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -284,6 +285,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_docs: int = 4000, min_
     known = known.withColumn("h", F.xxhash64("doc_id"))
     chosen = known.where("toxic = 1").orderBy("h").limit(max_docs).unionByName(known.where("toxic = 0").orderBy("h").limit(max_docs))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 x max_docs rows
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text"))["text"].alias("text"), F.first("toxic").alias("toxic"), F.first("h").alias("h"))
     texts = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.min("h").alias("h"), F.first("text").alias("text"))
     texts = materialise(texts.repartition(8, "key").select("toxic", F.pmod(F.xxhash64("h"), F.lit(3)).alias("fold"), F.xxhash64("key").alias("at"), distinct_words(F.col("text")).alias("words")), "sample")
     counts = texts.where("fold > 0").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
@@ -332,6 +334,7 @@ def _fit(batches: Iterable[pa.RecordBatch], shares: dict[int, int]) -> Iterator[
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """The documents with score, the probability of toxic."""
+    short_batches(documents.sparkSession)
     if model is None:
         return documents.withColumn("score", F.lit(0.0))
 
