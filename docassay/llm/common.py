@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,13 +62,34 @@ class Scratch:
         self.paths = [p for p in self.paths if p.rpartition("-")[2] in kept]
 
 
+#: Keys that are salted, at most; a key beyond the first so many has at most that share of all rows.
+HOT_KEYS = 20_000
+
+
+def hot_keys(per_key: DataFrame, key: str, limit: int) -> DataFrame:
+    """_hot, _salts of the keys with more than ``limit`` rows by column n, the HOT_KEYS most frequent at most: so many rows can be broadcast."""
+    top = per_key.where(F.col("n") > limit).orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
+    return top.select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+
+
+def hash_blocks(keys: DataFrame, key: str, *, limit: int = 500) -> Callable[[DataFrame, Column], DataFrame]:
+    """A function of (rows, spread) that gives rows a column ``block``: 0, or for keys with more than ``limit`` rows in ``keys`` one of many, by the hash of ``spread``."""
+    hot = materialise(hot_keys(keys.groupBy(key).agg(F.count("*").alias("n")), key, limit).coalesce(1), "hot")
+
+    def block(rows: DataFrame, spread: Column) -> DataFrame:
+        salted = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+        return salted.withColumn("block", F.coalesce(F.pmod(F.xxhash64(spread), "_salts").cast("int"), F.lit(0))).drop("_hot", "_salts")
+
+    return block
+
+
 def join_hot(rows: DataFrame, per_key: DataFrame, key: str, spread: Column, *, limit: int = 50_000) -> DataFrame:
     """Inner join of many rows with a table of one row per key, whose column n says how many rows bear the key.
 
     A key with more than ``limit`` rows is spread over as many salts as it holds limits, by the hash of
-    ``spread``. The hot keys are broadcast: they are fewer than rows / limit.
+    ``spread``. Of hot keys HOT_KEYS at most are salted and broadcast; the others have 1 / HOT_KEYS of all rows at most.
     """
-    hot = per_key.where(F.col("n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+    hot = hot_keys(per_key, key, limit)
     salted = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_salts").cast("int"), F.lit(0))).drop("_hot", "_salts")
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / limit).cast("int"), F.lit(1)) - 1)))
     return salted.join(copies.drop("n"), [key, "_salt"]).drop("_salt")

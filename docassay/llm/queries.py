@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docassay.llm import bpe, chat, dedup, fingerprints, mixing, quality, records, toxicity, urls, warc
+from docassay.llm import bpe, chat, dedup, fim, fingerprints, lines, mixing, quality, records, runs, toxicity, urls, warc
 from docassay.llm.common import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -76,7 +76,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op4_byte_bpe, op5_host_reputation, op6_token_records, op7_source_mix, op8_dart_minhash, op9_quality_cascade, op10_toxicity)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.detect_runs(table(spark, sf_dir, "documents"), least=6, exponent=4, change=runs.plant)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = lines.LineIndex(spark, f"{shared_dir(spark)}/lines", min_docs=10, min_chars=1)
+    index.insert(docs)
+    return index.deduplicate(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_reassembly, op2_chat_round_trip, op3_weighted_sampling, op4_byte_bpe, op5_host_reputation, op6_token_records, op7_source_mix, op8_dart_minhash, op9_quality_cascade, op10_toxicity, op11_periodic_runs, op12_line_dedup, op13_fill_in_middle)}
 
 ORACLES = {
     "op9_quality_cascade": r"""
@@ -146,4 +162,22 @@ ORACLES = {
         select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, cast(target as double) as target,
                cast((epochs + case when start_at + size / 2.0 <= target - epochs * source_size then 1 else 0 end) * size as bigint) as taken
         from b""",
+    "op12_line_dedup": """
+        with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        l as (select r, generate_subscripts(lines, 1) as i, unnest(lines) as line from d),
+        k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+        f as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10),
+        o as (select r, count(*) as n_lines, count(f.key) as n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '') as kept from k left join f using (key) group by r)
+        select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from d join o using (r)""",
+    "op13_fill_in_middle": """
+        with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+        h as (select *, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+        c as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                   case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+            from h),
+        p as (select *, '<P>' || substring(text, 1, a) as p, '<M>' || substring(text, a + 1, b - a) as m, '<S>' || substring(text, b + 1) as s from c)
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then p || s || m else s || p || m end) as output_sha256, sha256(text) as restored_sha256
+        from p""",
 }
