@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions import extract
@@ -96,6 +96,13 @@ def candidate_vote(candidates: DataFrame) -> DataFrame:
     return best.select("doc_id", F.col("m.number").alias("number"), (-F.col("m.col1")).alias("final"))
 
 
+def next_value(tokens: DataFrame, is_label: Column) -> DataFrame:
+    """doc_id, ord, value: for each label the next text of its document that is no label; null where none follows."""
+    behind = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    held = tokens.withColumn("_label", F.coalesce(is_label, F.lit(False)))
+    return held.withColumn("value", F.first(F.when(~F.col("_label"), F.col("text")), ignorenulls=True).over(behind)).where("_label").select("doc_id", "ord", "value")
+
+
 def reading_order(tokens: DataFrame, by: str = "lines") -> DataFrame:
     """Tokens with ``place``, 1, 2, … within their document: by ``lines`` (height, then left), ``height`` or ``confidence`` (best first)."""
     order = {"lines": ["cy", "cx", "ord"], "height": ["cy", "ord"], "confidence": [F.col("confidence").desc(), "ord"]}[by]
@@ -120,24 +127,27 @@ class Quality:
     """Thresholds and texts of an image's verdict, in the order in which they are tried."""
 
     readable_at: float
-    least_mean: float
+    least_mean: float | None
     count_first: bool
     few: str
     poor: str
     good: str
+    least_readable: int = 2
 
 
 # The verdicts of visas and of forms.
 NO_TEXT = "No readable text was detected."
 VISA_QUALITY = Quality(0.40, 0.50, True, "Not enough readable visa text was detected.", "OCR confidence is too low.", "Image quality is sufficient.")
 FORM_QUALITY = Quality(0.50, 0.55, False, "Insufficient readable text was detected.", "OCR confidence is too low.", "Sufficient text was detected.")
+LICENSE_QUALITY = Quality(0.35, None, True, "Insufficient readable text was detected.", "", "Sufficient text was detected.", least_readable=3)
 
 
 def image_quality(tokens: DataFrame, documents: DataFrame, rule: Quality = FORM_QUALITY) -> DataFrame:
     """doc_id, mean_confidence, readable, reason and clear for every document; one without tokens isn't clear."""
     stats = tokens.groupBy("doc_id").agg(F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") >= rule.readable_at).alias("readable"))
     every = documents.select("doc_id").distinct().join(stats, "doc_id", "left").na.fill(0.0, ["mean_confidence"])
-    few, poor = F.when(F.col("readable") < 2, rule.few), F.when(F.col("mean_confidence") < rule.least_mean, rule.poor)
+    few = F.when(F.col("readable") < rule.least_readable, rule.few)
+    poor = F.lit(None).cast("string") if rule.least_mean is None else F.when(F.col("mean_confidence") < rule.least_mean, rule.poor)
     found = F.coalesce(F.when(F.col("readable").isNull(), NO_TEXT), *((few, poor) if rule.count_first else (poor, few)))
     return every.withColumn("reason", F.coalesce(found, F.lit(rule.good))).withColumn("clear", found.isNull()).withColumn("readable", F.coalesce("readable", F.lit(0)))
 

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
-from docassay.queries import text, validation
+from docassay.queries import adapter, text, validation
 
-QUERIES = {f.__name__: f for f in (*validation.FUNCTIONS, *text.FUNCTIONS)}
-ORACLES = validation.SQL | text.SQL
+QUERIES = {f.__name__: f for f in (*validation.FUNCTIONS, *text.FUNCTIONS, *adapter.FUNCTIONS)}
+ORACLES = validation.SQL | text.SQL | adapter.SQL
