@@ -1,4 +1,5 @@
 """Validation rules. A rule is a Column: an array of check structs, built in one projection without a shuffle.
+The texts of findings are fixed values.
 
 Rules read the raw fields through ``get`` (name -> Column) and the registry record through ``ref``. A finding
 that also counts as a mismatch has its type in ``mismatch`` and the text that goes with it.
@@ -6,9 +7,12 @@ that also counts as a mismatch has its type in ``mismatch`` and the text that go
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from docassay.functions.similarity import names_match
 
 Get = Callable[[str], Column]
 DATE_FIELDS = ("date_of_birth", "date_of_issue", "date_of_expiry")
+FINDING_FIELDS = ("rule", "status", "severity", "message", "field", "ocr_value", "reference_value", "mismatch", "note")
 FINDING = "struct<rule:string,status:string,severity:string,message:string,field:string,ocr_value:string,reference_value:string,mismatch:string,note:string>"
 
 
@@ -126,23 +131,82 @@ def all_findings(doc: DocumentType, type_name: str, get: Get, matched: Column, r
     return F.concat(required_fields(doc, get), formats(doc, get, type_name), types(doc, get, iso), dates(get, as_of, iso), cross_fields(doc, get, iso), database(doc, get, matched, ref, iso), document_status(matched, status))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule of one's own: ``outcome`` gives struct(findings, error) from the columns ``fields`` and ``record``.
+
+    Null findings mean that the rule failed on the row: it is skipped there and ``error`` says why; other rules and
+    rows go on.
+    """
+
+    name: str
+    outcome: Callable[[Column, Column], Column]
+
+
+OUTCOME = f"struct<findings:array<{FINDING}>,error:string>"
+
+
+def column_rule(name: str, findings: Callable[[Column, Column], Column]) -> Rule:
+    """A rule of Column expressions. Write what may fail with ``try_`` functions: their null makes the rule fail on that row, as no expression can be caught."""
+    return Rule(name, lambda fields, record: F.struct(findings(fields, record).alias("findings"), F.lit(None).cast("string").alias("error")))
+
+
+def python_rule(name: str, judge: Callable[[dict, dict | None], list[dict]]) -> Rule:
+    """A rule in Python: ``judge`` gets the fields and the registry's record of a row and returns findings as dictionaries; what it raises is caught row by row."""
+
+    @F.pandas_udf(OUTCOME)
+    def run(fields: pd.Series, record: pd.Series) -> pd.DataFrame:
+        rows = []
+        for f, r in zip(fields, record):
+            try:
+                found = [{k: x.get(k) for k in FINDING_FIELDS} for x in judge(json.loads(f) if f else {}, json.loads(r) if r else None)]
+                rows.append((found, None))
+            except Exception as e:  # a rule may fail in any way; its row says how
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["findings", "error"])
+
+    return Rule(name, lambda fields, record: run(F.to_json(fields), F.to_json(record)))
+
+
+def isolated(rules: Sequence[Rule], fields: Column, record: Column) -> Column:
+    """Array of struct(name, findings, error), one for each rule."""
+    return F.array(*[F.struct(F.lit(r.name).alias("name"), (o := r.outcome(fields, record))["findings"].cast(f"array<{FINDING}>").alias("findings"), o["error"].alias("error")) for r in rules])
+
+
+def rule_findings(outcomes: Column) -> Column:
+    return F.flatten(F.transform(outcomes, lambda o: F.coalesce(o["findings"], F.array().cast(f"array<{FINDING}>"))))
+
+
+def rule_errors(outcomes: Column) -> Column:
+    """A text for each rule that failed."""
+    failed = F.filter(outcomes, lambda o: o["findings"].isNull())
+    return F.transform(failed, lambda o: F.concat(F.lit("Error executing rule "), o["name"], F.coalesce(F.concat(F.lit(": "), o["error"]), F.lit(""))))
+
+
 # Penalty weights, severity factors and thresholds of the score.
 WEIGHTS = {"blacklisted": 50, "revoked": 40, "expired": 25, "required": 20, "format": 15, "type": 10, "date": 25, "cross_field": 30, "database_mismatch": 25, "warning": 5}
 SEVERITIES = {"CRITICAL": 1.5, "HIGH": 1.2, "LOW": 0.7}
 
 
+# What a failed check counts as, by the status words in its text, then by words in its rule.
+BY_TEXT = (("BLACKLISTED", "blacklisted"), ("REVOKED", "revoked"), ("EXPIRED", "expired"))
+BY_RULE = (("REQUIRED", "required"), ("FORMAT", "format"), ("TYPE", "type"), ("DATE", "date"), ("CROSS_FIELD", "cross_field"), ("CONSISTENCY", "cross_field"), ("DATABASE", "database_mismatch"))
+
+
+def _by_key(rule: Column, message: Column, values: dict) -> Column:
+    # DATABASE holds DATE no more than UPDATE does: D-A-T-A, so the order is safe.
+    both, named = F.upper(F.concat_ws(" ", message, rule)), F.upper(rule)
+    whens = [(both.contains(w), k) for w, k in BY_TEXT] + [(named.contains(w), k) for w, k in BY_RULE]
+    return reduce(lambda a, x: F.when(x[0], values[x[1]]).otherwise(a), reversed(whens), F.lit(values["warning"]))
+
+
 def penalty_key(rule: Column, message: Column) -> Column:
     """What a failed check counts as: the status words in its text come before its rule."""
-    word = lambda w: F.upper(message).contains(w) | F.upper(rule).contains(w)
-    names = (("BLACKLISTED", "blacklisted"), ("REVOKED", "revoked"), ("EXPIRED", "expired"))
-    by_rule = (("REQUIRED", "required"), ("FORMAT", "format"), ("TYPE", "type"), ("DATE", "date"), ("CROSS_FIELD", "cross_field"), ("CONSISTENCY", "cross_field"), ("DATABASE", "database_mismatch"))
-    # DATABASE holds DATE no more than UPDATE does: D-A-T-A, so the order is safe.
-    whens = [(word(w), k) for w, k in names] + [(F.upper(rule).contains(w), k) for w, k in by_rule]
-    return reduce(lambda a, x: F.when(x[0], x[1]).otherwise(a), reversed(whens), F.lit("warning"))
+    return _by_key(rule, message, {k: k for k in WEIGHTS})
 
 
 def penalty(check: Column) -> Column:
-    weight = reduce(lambda a, x: F.when(penalty_key(check["rule"], check["message"]) == x[0], float(x[1])).otherwise(a), WEIGHTS.items(), F.lit(15.0))
+    weight = _by_key(check["rule"], check["message"], {k: float(w) for k, w in WEIGHTS.items()})
     factor = reduce(lambda a, x: F.when(check["severity"] == x[0], x[1]).otherwise(a), SEVERITIES.items(), F.lit(1.0))
     return F.when(check["status"].isin("FAIL", "WARNING"), weight * factor).otherwise(0.0)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ UPLOAD_TYPES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff")
 MAX_UPLOAD = 10 * 1024 * 1024
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; without the setting only a local master gets one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/docassay-{uuid.uuid4().hex}"
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
@@ -22,8 +35,38 @@ def guard_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("code is null").drop("code"), marked.where("code is not null")
 
 
-def object_path(user: Column, epoch: Column, name: Column) -> Column:
-    return F.concat_ws("/", user, F.concat_ws("_", epoch.cast("string"), F.regexp_replace(name, r"[^A-Za-z0-9._\-]", "_")))
+# How an image file begins, by format; dots stand for any byte.
+MAGIC = {"jpeg": "^FFD8FF", "png": "^89504E470D0A1A0A", "bmp": "^424D", "webp": "^52494646.{8}57454250", "tiff": "^(49492A00|4D4D002A)"}
+
+
+def image_format(content: Column) -> Column:
+    """The format that a file's first bytes say it has; null for anything else. Reads 12 bytes, in the engine."""
+    head = F.hex(F.substring(content, 1, 12))
+    out = F.lit(None).cast("string")
+    for name, pattern in MAGIC.items():
+        out = F.when(head.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def check_images(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images with their format, rejected paths with a reason) for the paths asked for.
+
+    ``wanted`` has path; ``files`` path and content, as binaryFile reads them (it leaves out empty files, which so are missing). A path that no file has is missing; an
+    empty file, one of another format and one whose name says another format than its content are not readable as
+    they stand: the first two are rejected, the last is kept with the format of its content.
+    """
+    held = files.select("path", F.length("content").alias("length"), image_format(F.col("content")).alias("format"), F.lit(True).alias("_held"))
+    marked = wanted.join(held, "path", "left")
+    name = F.coalesce("path", F.lit(""))
+    reason = F.when(F.col("_held").isNull(), F.concat(F.lit("Image not found: "), name)).when(F.coalesce("length", F.lit(0)) == 0, F.concat(F.lit("Image is empty: "), name)).when(F.col("format").isNull(), F.concat(F.lit("Unable to read image: "), name))
+    marked = marked.withColumn("reason", reason).drop("_held")
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").drop("format", "length")
+
+
+def object_path(user: Column, epoch: Column, name: Column, stored: Column | None = None) -> Column:
+    """Where an upload is kept: user, then seconds and the name made safe. Null where any part is, or where it was not ``stored``."""
+    path = F.concat(user, F.lit("/"), epoch.cast("long").cast("string"), F.lit("_"), F.regexp_replace(name, r"[^\p{L}\p{N}._\-]", "_"))
+    return path if stored is None else F.when(stored, path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,12 +101,54 @@ def child_rows(scans: DataFrame, type_name: str) -> DataFrame:
     return scans.where(kind == type_name).select(F.col("id").alias("scan_log_id"), "officer_id", *[value(c).alias(c) for c in columns])
 
 
-def write_audit(scans: DataFrame, path: str) -> None:
-    """Append the log, then the rows of each type to its child table; types without one are in the log alone."""
-    log = scans.withColumn("ocr_confidence", F.round("ocr_confidence", 2))
-    log.write.mode("append").parquet(f"{path}/scan_logs")
+def _log_columns(scans: DataFrame) -> DataFrame:
+    return scans.withColumn("ocr_confidence", F.round("ocr_confidence", 2))
+
+
+def write_audit(scans: DataFrame, path: str, batch: str) -> None:
+    """Write a batch's log and the rows of each child table, all or none.
+
+    Everything is written under the batch's name, the log first; children are made of the log as it was written, so scans are
+    computed once. The batch counts from the moment its name stands in ``commits``, which is written last. A batch that died
+    is not seen by read_audit(), and writing it again replaces what it left; writing a finished one changes nothing.
+    Types without a child table are in the log alone.
+    """
+    spark = scans.sparkSession
+    if batch in finished_batches(spark, path):
+        return
+    if not batch or not set(batch) <= set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"):
+        raise ValueError(f"not a batch name: {batch!r}")
+    log = f"{path}/scan_logs/batch={batch}"
+    _log_columns(scans).write.mode("overwrite").parquet(log)
+    written = spark.read.schema(_log_columns(scans).schema).parquet(log)
     for type_name, (name, _) in CHILD_TABLES.items():
-        child_rows(scans, type_name).write.mode("append").parquet(f"{path}/{name}")
+        child_rows(written, type_name).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{batch}")
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return sorted(r["batch"] for r in spark.read.schema("batch string").option("recursiveFileLookup", True).parquet(f"{path}/commits").collect())  # a row for each batch
+
+
+def read_audit(spark: SparkSession, path: str, table: str, schema: str | None = None) -> DataFrame:
+    """The rows of a table of finished batches, with their batch; ``schema`` is needed where there may be none."""
+    done = finished_batches(spark, path)
+    if not done:
+        return spark.createDataFrame([], f"{schema}, batch string")
+    reader = spark.read.option("basePath", f"{path}/{table}")
+    rows = (reader.schema(f"{schema}, batch string") if schema else reader).parquet(*[f"{path}/{table}/batch={b}" for b in done])
+    return rows.withColumn("batch", F.col("batch").cast("string"))
+
+
+def drop_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Take a batch back: its name goes first, so no reader sees a part of it, then its rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in (f"commits/{batch}", f"scan_logs/batch={batch}", *[f"{name}/batch={batch}" for name, _ in CHILD_TABLES.values()]):
+        where = hadoop.Path(f"{path}/{name}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def rotate_runs(runs: DataFrame, latest: DataFrame) -> DataFrame:

@@ -177,8 +177,8 @@ def test_mixed_types_and_scans_without_number(spark):
 
 def test_audit_routing(spark, tmp_path):
     rows = [("1", "o", "Passport", "IN", 91.239, {"passport_number": "P1", "odd": "x"}), ("2", "o", "visa", None, 1.0, {"country": "FR"}), ("3", "o", "other", None, 1.0, {})]
-    io.write_audit(spark.createDataFrame(rows, "id string, officer_id string, document_type string, document_country string, ocr_confidence double, fields map<string,string>"), str(tmp_path))
-    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}")
+    io.write_audit(spark.createDataFrame(rows, "id string, officer_id string, document_type string, document_country string, ocr_confidence double, fields map<string,string>"), str(tmp_path), "b1")
+    read = lambda n: io.read_audit(spark, str(tmp_path), n)
     assert read("scan_logs").count() == 3 and read("ocr_passports").first()["country"] == "IN" and read("ocr_visas").first()["country"] == "FR" and read("ocr_permits").count() == 0
     assert {r["ocr_confidence"] for r in read("scan_logs").collect()} == {91.24, 1.0}
 
