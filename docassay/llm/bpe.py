@@ -151,7 +151,7 @@ def fold_words(df: DataFrame, column: str, table: DataFrame, end: int) -> DataFr
 class _Words:
     """The words of texts, by chunk of text between single spaces; frequent words have their ids at hand."""
 
-    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 100_000):
+    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 80_000):
         import regex
 
         self.find, self.frequent, self.limit, self.chunks = regex.compile(pattern).findall, frequent, limit, {}
@@ -225,27 +225,22 @@ def _is_text(token: bytes) -> bool:
 
 
 def unpack(data: bytes) -> dict[str, bytes]:
-    """The dictionary of a Packed; later rows win."""
+    """The dictionary that pack() was given; later rows win."""
     held = pa.ipc.open_stream(data).read_all().combine_chunks()
     flat = held.column(1).combine_chunks()
     raw, ends = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * (flat.offsets.to_numpy() - flat.offsets[0].as_py())).tolist()
     return {w: raw[a:b] for w, a, b in zip(held.column(0).to_pylist(), ends, ends[1:])}
 
 
-class Packed:
-    """Words and their ids as an Arrow table that arrives as a dictionary where it is unpickled; the driver needs none."""
+def pack(table: pa.Table) -> bytes:
+    """An Arrow table of words and their ids as bytes: the driver needs no dictionary, and tasks hold one only while they run."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, table: pa.Table):
-        self.table = table
 
-    def __reduce__(self):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.table.schema) as out:
-            out.write_table(self.table)
-        return unpack, (sink.getvalue().to_pybytes(),)
-
-
-def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, table: DataFrame, end: int) -> Packed:
+def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str, limit: int, table: DataFrame, end: int) -> bytes:
     """Ids (little-endian u32) of the most frequent words, at most ``limit``, and of all words that are tokens."""
     counts = materialise(count_words(documents, pattern), "words")
     least, room = 1 << 62, limit
@@ -260,10 +255,10 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     own = [(t.decode(), [i]) for t, i in ranks.items() if _is_text(t)]
     words, ids = zip(*own) if own else ((), ())
     known = pa.table([pa.array(c, t) for c, t in zip((words, ids), folded.schema.types)], schema=folded.schema)
-    return Packed(pa.concat_tables([folded, known]))
+    return pack(pa.concat_tables([folded, known]))
 
 
-def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 150_000) -> DataFrame:
+def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 100_000) -> DataFrame:
     """A row per document, SCHEMA."""
     short_batches(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
@@ -277,7 +272,7 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
     # first numbers the task's rarer words as it meets them and writes numbers for ids; the second keeps their ids by
     # number. Words beyond the first ``recent_limit`` are numbered anew in each text.
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sent = _Words(pattern, frequent.value), {}
+        words, sent = _Words(pattern, unpack(frequent.value)), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rare, ids = batch.slice(at, 500), [], []
@@ -299,8 +294,7 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
                     rare.append(new)
                     ids.append(b"".join(out))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
-        words.chunks.clear()
-        sent.clear()
+        del words, sent
         give_back()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
