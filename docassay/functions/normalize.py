@@ -51,7 +51,7 @@ def normalize_date(c: Column) -> Column:
 
     Forms: year first (month then day, else day then month), month/day/year else day/month/year, yyyymmdd, and
     yymmdd with years up to 50 ahead of 2024 in this century. Letters O, Q, I, L in digits' places are repaired
-    first, so upper-case month names with them don't parse; for free forms use the pandas function in similarity.
+    first, so upper-case month names with them don't parse; for free forms use functions.dates.free_date.
     """
     s = F.regexp_replace(repair_date_text(c), "-", "/")
     parts = lambda order, fmt: F.try_to_date(F.regexp_replace(s, r"^(\d+)/(\d+)/(\d+)$", order), fmt)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.config import TYPES, DocumentType, document_type
+from docassay.functions.dates import free_date
 from docassay.functions.normalize import normalize_all_fields, normalize_date, normalize_identifier
 from docassay.operators import rules
 from docassay.operators.lookup import registry_lookup
@@ -27,11 +28,15 @@ def iso(f: str) -> Column:
     return F.col("_iso")[f]
 
 
-def _prepared(scans: DataFrame, docs: Iterable[DocumentType]) -> DataFrame:
-    """Scans with the normal forms that several rules need, each made once."""
+def _prepared(scans: DataFrame, docs: Iterable[DocumentType], as_of: datetime.date) -> DataFrame:
+    """Scans with the normal forms that several rules need, each made once. Dates of no closed form are read token by token."""
     named = dict.fromkeys([*rules.DATE_FIELDS, *[f for d in docs for f in (*d.dates, *[x for pair in d.date_before for x in pair])]])
-    dates = F.struct(*[normalize_date(get(f)).alias(f) for f in named])
-    return scans.withColumn("normalized_fields", normalize_all_fields(F.col("fields"))).withColumn("_iso", dates)
+    closed = scans.withColumn("normalized_fields", normalize_all_fields(F.col("fields"))).withColumn("_closed", F.struct(*[normalize_date(get(f)).alias(f) for f in named]))
+    # The fold is written once, over the fields that are left, as its plan is long.
+    left = F.array(*[F.when(F.col("_closed")[f].isNull() & (F.trim(get(f)) != ""), get(f)) for f in named])
+    free = F.when(F.exists(left, lambda c: c.isNotNull()), F.transform(left, lambda c: F.when(c.isNotNull(), free_date(c, as_of))))
+    iso = F.struct(*[F.coalesce(F.col("_closed")[f], F.get(F.col("_free"), F.lit(i))).alias(f) for i, f in enumerate(named)])
+    return closed.withColumn("_free", free).withColumn("_iso", iso).drop("_closed", "_free")
 
 
 def _compared(columns, identifier: str) -> list[str]:
@@ -93,7 +98,7 @@ def validate(scans: DataFrame, registry: DataFrame, type_name: str, as_of: datet
     null gets the outcome ERROR, score 0; a rule of one's own that fails on a scan is skipped there and named in errors.
     """
     doc = document_type(type_name, types)
-    found = registry_lookup(_prepared(scans, [doc]), registry, normalize_identifier(get(doc.identifier)), doc.identifier, unique=unique_registry)
+    found = registry_lookup(_prepared(scans, [doc], as_of), registry, normalize_identifier(get(doc.identifier)), doc.identifier, unique=unique_registry)
     ref = {f: F.col(f"record.{f}").cast("string") for f in _compared(registry.columns, doc.identifier)}
     findings = rules.all_findings(doc, type_name, get, F.col("database_match"), ref, F.col("record.status"), F.lit(as_of), iso)
     return _verdicts(found, F.lit(type_name), findings, F.col("record.status"), extra)
@@ -107,7 +112,7 @@ def validate_mixed(scans: DataFrame, registries: dict[str, DataFrame], as_of: da
     ``types`` and ``extra`` are as for validate().
     """
     known = TYPES if types is None else types
-    typed = _prepared(scans, known.values()).withColumn("_kind", F.replace(F.lower(F.trim(F.coalesce("document_type", F.lit("unknown")))), F.lit(" "), F.lit("_")))
+    typed = _prepared(scans, known.values(), as_of).withColumn("_kind", F.replace(F.lower(F.trim(F.coalesce("document_type", F.lit("unknown")))), F.lit(" "), F.lit("_")))
     kind = F.col("_kind")
     by_type = lambda of, other: reduce(lambda a, t: F.when(kind == t, of(t)).otherwise(a), known, other)
     records = []

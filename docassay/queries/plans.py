@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.config import SPEC_ROWS, types_of
+from docassay.functions.dates import MONTH_NAMES, free_date
 from docassay.operators import lookup, rules
 from docassay.plans.validate import read_requests, validate, validate_mixed
 from docassay.queries.validation import AS_OF, letters, mixed_scans, table
@@ -102,9 +103,26 @@ def image_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("path", "format", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("path", F.lit(None).cast("string").alias("format"), "reason"))
 
 
-FUNCTIONS = (verdict_errors, verdict_by_spec, api_source, audit_batches, image_check)
+#: Dates as people write them, in SQL that both engines read; y, m, d are numbers of a day, n its month's name.
+WRITTEN = ("concat(cast(d as string), ' ', n, ' ', cast(y as string))", "concat(n, ' ', cast(d as string), ', ', cast(y as string))", "concat(cast(d as string), '-', substring(n, 1, 3), '-', cast(y as string))", "concat(cast(y as string), ' ', n, ' ', cast(d as string))", "concat('on ', n, ' ', cast(y as string))", "cast(y as string)", "concat(cast(d as string), 'th of ', n)", "concat('the ', n)", "concat(cast(y as string), '.', cast(m as string), '.', cast(d as string))")
+
+
+def free_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of orders, written out in nine ways."""
+    day = F.col("o_orderdate").cast("date")
+    parts = table(spark, sf_dir, "orders").select("o_orderkey", F.year(day).alias("y"), F.month(day).alias("m"), F.day(day).alias("d"), F.get(F.array(*[F.lit(n.capitalize()) for n in MONTH_NAMES]), F.month(day) - 1).alias("n"))
+    text = F.expr("case o_orderkey % 9 " + " ".join(f"when {i} then {w}" for i, w in enumerate(WRITTEN)) + " end")
+    return parts.select("o_orderkey", free_date(text, AS_OF).alias("iso"))
+
+
+FUNCTIONS = (free_dates, verdict_errors, verdict_by_spec, api_source, audit_batches, image_check)
 
 SQL = {
+    "free_dates": """
+        with o as (select o_orderkey, o_orderkey % 9 as i, o_orderdate::date as t from orders),
+        p as (select *, case i when 4 then make_date(year(t), month(t), 1) when 5 then make_date(year(t), 6, 30) when 6 then make_date(1999, month(t), case when day(t) = 29 and month(t) = 2 then 28 else day(t) end) else t end as shown from o)
+        select o_orderkey, case when i = 7 or (i = 6 and day(t) = 29 and month(t) = 2) or (month(t) = 10 and i not in (5, 8)) then null  -- the O of October is read as a zero
+               when i = 4 then strftime(least(shown + 29, last_day(shown)), '%Y-%m-%d') else strftime(shown, '%Y-%m-%d') end as iso from p""",
     "verdict_errors": """
         with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 9 in (4, 5) as bad, o_custkey % 5 = 0 or c_custkey is null as lost from orders left join customer on o_custkey = c_custkey),
         s as (select *, 100.0 - case when lost then 30 else 0 end - case when k % 4 = 1 then 3.5 else 0 end - case when lost and c % 10 <> 0 then 3.5 else 0 end as score from o)
