@@ -150,10 +150,8 @@ def candidate_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first keyword, in the dictionary's order, that a text holds."""
-    words = ("est", "nom", "ime", "the", "der")
-    found = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), w) for w in words])
-    return table(spark, sf_dir, "benchmark").select("item_id", found.alias("keyword"))
+    """The first keyword of all, in the dictionary's order, that a turn of a conversation holds."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", adapt.label_keyword(F.col("text"))[0].alias("keyword"))
 
 
 def label_keyword_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +384,7 @@ SQL = {
         select doc_id, ord, number, 0.5::double as confidence from (select doc_id, ord, text || lead(text) over w || lead(text, 2) over w as number from t window w as (partition by doc_id order by ord)) where number is not null""",
     "candidate_vote": """with v as (select l_orderkey as doc_id, (l_partkey % 3)::varchar as number, max((l_partkey % 8) / 8.0) + 0.05 * least(count(*), 5) as final, min(l_linenumber) as first from lineitem group by 1, 2)
         select doc_id, arg_min(number, (-final, first, number)) as number, round(max(final)::double, 6) as final from v group by 1""",
-    "label_keyword": "select item_id, case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in ("est", "nom", "ime", "the", "der")) + " end as keyword from benchmark",
+    "label_keyword": "select conv_id, turn, case " + " ".join(f"when contains(lower(text), {quoted(k)}) then {quoted(k)}" for k in adapt.LABEL_KEYWORDS) + " end as keyword from conversations",
     "label_keyword_all": "select item_id, " + ", ".join(
         "case " + " ".join(f"when contains(lower(text), {quoted(k)}) then {quoted(shown)}" for k, shown in pairs) + f" end as {name}"
         for name, pairs in (("keyword", [(k, k) for k in adapt.LABEL_KEYWORDS]), ("field", list(adapt.LABEL_KEYWORDS.items())))
