@@ -12,8 +12,8 @@ are cut into ranges of doc_id by quantiles; each range is sorted by itself and g
 next range behind its own, so no task orders the whole table and a text moves once.
 
 Cases. A null text is empty. A text without words has the samples ``ffff``; two such texts have likeness
-1. A null doc_id is the lowest. Rows with equal doc_id follow in order of their text, higher first, so
-equal rows have equal results. A single document is its own next one. An empty table gives no rows.
+1. A null doc_id is the lowest. Rows with equal doc_id follow in order of their text, higher first: the next of all
+but the last of equal rows is a row equal to them, so the last one's edited text may be another. A single document is its own next one. An empty table gives no rows.
 Other columns are ignored.
 """
 

@@ -155,3 +155,29 @@ def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     placed = scanned.join(files.join(parts, "part").select("part", "roll", (F.col("earlier") + F.col("inside")).alias("base")), ["part", "roll"])
     placed.select("file", "offset", "length", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32").write.parquet(index)
     return spark.read.schema("file string, offset long, length long, doc_id long, start long, n_tokens long, ids_crc32 long").parquet(index)
+
+
+def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int, *, shards: int = 64) -> DataFrame:
+    """doc_id, ids (array), shard, place: the records that ``index`` names, cut out by offset and length, in a seeded order.
+
+    ``index`` is write_index()'s table or some of its rows. A record's shard and place come from a hash of seed and position, so an
+    epoch is the same on every run and another for every seed; a shard lies in one partition, in order of place. Checksums
+    are verified as records are read; a file is read by one task however many of its records are asked for.
+    """
+    wanted = index.select("file", "offset", "length").distinct().groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("cuts"))
+    files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"), "content").join(wanted, "file")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content, cuts in zip(batch.column("file").to_pylist(), batch.column("content"), batch.column("cuts").to_pylist()):
+                data = content.as_py()
+                for at in range(0, len(cuts), 256):
+                    rows = []
+                    for c in cuts[at : at + 256]:
+                        ((_, _, doc_id, ids),) = frames(data[c["offset"] : c["offset"] + c["length"]])
+                        rows.append((file, c["offset"], doc_id, ids.astype(np.int64).tolist()))
+                    yield record_batch(rows, pa.schema([("file", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+
+    read = files.mapInArrow(cut, "file string, offset long, doc_id long, ids array<long>").withColumn("place", F.xxhash64(F.lit(seed), "file", "offset"))
+    placed = read.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "file", "offset"), F.lit(shards)).cast("int"))
+    return placed.select("doc_id", "ids", "shard", "place").repartition(shards, "shard").sortWithinPartitions("shard", "place")
