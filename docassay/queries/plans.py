@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay.config import SPEC_ROWS, types_of
 from docassay.functions.dates import MONTH_NAMES, free_date
-from docassay.operators import lookup, rules
+from docassay.operators import lookup, rules, synth
 from docassay.plans.validate import read_requests, validate, validate_mixed
 from docassay.queries.validation import AS_OF, letters, mixed_scans, table
 from docassay.sources import io
@@ -115,9 +115,28 @@ def free_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("o_orderkey", free_date(text, AS_OF).alias("iso"))
 
 
-FUNCTIONS = (free_dates, verdict_errors, verdict_by_spec, api_source, audit_batches, image_check)
+def synth_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visa and a licence for every customer, all their columns drawn by key."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    visas, licences = synth.registry_of(keys, "visa"), synth.registry_of(keys, "driving_license")
+    own = licences.select("id", "license_number", F.col("date_of_expiry").alias("licence_expiry"), "blood_group", "relation")
+    return visas.join(own, "id")
+
+
+FUNCTIONS = (free_dates, synth_registry, verdict_errors, verdict_by_spec, api_source, audit_batches, image_check)
+
+_DRAW = lambda salt, n: f"(((id * {7919 + 2 * salt} + {104_729 * salt}) % 1000003 // 7) % {n})"
+_PICK = lambda salt, values: f"list_value({', '.join(repr(v) for v in values)})[{_DRAW(salt, len(values))} + 1]"
 
 SQL = {
+    "synth_registry": f"""
+        with c as (select c_custkey as id, (c_custkey * 37 + 11) % 100 as u from customer),
+        s as (select *, case when u < 70 then 'ACTIVE' when u < 80 then 'EXPIRED' when u < 85 then 'REVOKED' when u < 90 then 'BLACKLISTED' when u < 95 then 'SUSPENDED' else 'LOST' end as status, {_PICK(2, synth.LAST_NAMES)} as last from c)
+        select id, printf('V%08d', id) as visa_number, printf('P%07d', {_DRAW(6, 10_000)} + 1) as passport_number, {_PICK(1, synth.FIRST_NAMES)} || ' ' || last as name, {_PICK(4, synth.NATIONALITIES)} as nationality,
+               {_PICK(19, synth.VISA_TYPES)} as visa_type, printf('%04d-%02d-%02d', 1965 + {_DRAW(7, 39)}, 1 + {_DRAW(8, 12)}, 1 + {_DRAW(9, 28)}) as date_of_birth, '2023-01-15' as date_of_issue,
+               case when status = 'EXPIRED' then '2024-01-14' else '2030-01-14' end as date_of_expiry, {_PICK(5, synth.SEXES)} as gender, status,
+               printf('DL%010d', id) as license_number, case when status = 'EXPIRED' then '2020-05-09' else '2035-05-09' end as licence_expiry, {_PICK(20, synth.BLOOD_GROUPS)} as blood_group, 'S/O ' || {_PICK(3, synth.FIRST_NAMES)} || ' ' || last as relation
+        from s""",
     "free_dates": """
         with o as (select o_orderkey, o_orderkey % 9 as i, o_orderdate::date as t from orders),
         p as (select *, case i when 4 then make_date(year(t), month(t), 1) when 5 then make_date(year(t), 6, 30) when 6 then make_date(1999, month(t), case when day(t) = 29 and month(t) = 2 then 28 else day(t) end) else t end as shown from o)

@@ -1,14 +1,18 @@
 """Expected values of the blueprint's fixtures, and behaviour on hostile records."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from docassay.config import TYPES
 from docassay.functions import adapt, checksum, extract, mrz, normalize, similarity
 from docassay.operators import layout, lookup, rules, synth
+from docassay.operators.lookup import registry_lookup
 from docassay.plans.validate import validate, validate_mixed
 from docassay.sources import io
+from docassay.sources.tables import registry_columns
 
 AS_OF = datetime.date(2024, 1, 1)
 PASSPORT = {"name": "Arjun Mehta", "passport_number": "P0000001", "nationality": "IND", "date_of_birth": "1998-04-12", "date_of_issue": "2020-01-01", "date_of_expiry": "2030-01-01", "gender": "M"}
@@ -184,12 +188,31 @@ def test_audit_routing(spark, tmp_path):
 
 
 def test_synthetic_registry(spark):
-    made = synth.registry(spark, "passport", 1000, "passport_number")
+    made = synth.registry(spark, "passport", 1000)
     assert made.count() == made.select("passport_number").distinct().count() == 1000
     shares = {r["status"]: r["count"] for r in made.groupBy("status").count().collect()}
     assert shares == {"ACTIVE": 700, "EXPIRED": 100, "REVOKED": 50, "BLACKLISTED": 50, "SUSPENDED": 50, "LOST": 50}
 
 
+def test_registries_have_their_own_columns(spark):
+    for t, doc in TYPES.items():
+        rows = [r.asDict() for r in synth.registry(spark, t, 300).collect()]
+        _, held, free = registry_columns(t)
+        assert set(rows[0]) == {"id", *held, *free, "status"}, t
+        assert len({r[doc.identifier] for r in rows}) == 300
+        if "date_of_expiry" in rows[0]:
+            past = max(r["date_of_expiry"] for r in rows if r["status"] == "EXPIRED")
+            assert past < min(r["date_of_expiry"] for r in rows if r["status"] != "EXPIRED"), t
+        drawn = [c for c in ("nationality", "gender", "visa_type", "permit_type", "blood_group") if c in rows[0]]
+        assert all(len({r[c] for r in rows}) >= 2 for c in drawn) and len({r["name"] for r in rows}) > 100
+        small = [r.asDict() for r in synth.small_registry(spark, t).collect()]
+        assert len(small) == 50 and small[7][doc.identifier].endswith("7") and all(re.fullmatch(r"\d\d/\d\d/\d{4}", r["date_of_birth"]) for r in small)
+    nulls = synth.registry_of(spark.createDataFrame([(None,)], "id long"), "visa").first()
+    assert nulls["visa_number"] is None and nulls["status"] is None
+    hidden = registry_lookup(spark.createDataFrame([("PER55557",)], "n string"), synth.small_registry(spark, "permit"), F.col("n"), "permit_number").first()
+    assert not hidden["database_match"]
+
+
 def test_upload_guard(spark):
     files = spark.createDataFrame([("a/x.png", 10), ("a/y.exe", 10), ("a/z.pdf", 10), ("a/v.bmp", 0), ("a/w.jpg", 1 << 30)], "path string, length long")
     good, bad = io.guard_uploads(files)
