@@ -309,6 +309,42 @@ def dynamic_fields(tokens: DataFrame) -> DataFrame:
     return _pair_boxes(tokens, extract.LABEL_VALUE, label_of, nearest, lambda text: not label_like(text), "layout_relation")
 
 
+# What becomes of a page whose image is clear.
+NO_FIELDS = "Text was detected, but no reliable key-value relationships were identified."
+SOME_FIELDS = "Text was extracted using layout-agnostic OCR and dynamic field detection."
+
+
+def form_results(tokens: DataFrame, documents: DataFrame, title: str, rule: Quality = FORM_QUALITY, fields_of=dynamic_fields) -> DataFrame:
+    """A result per document, as an extraction engine gives it: doc_id, document_type, status, ocr_confidence (percent), reason, fields, unpaired_text, raw_ocr.
+
+    fields: label -> struct(value, confidence, source). unpaired_text: readings that are no field's value, raw_ocr: all
+    readings, each in reading order. An unclear page has the reason of its quality and no fields; a document without
+    tokens is unclear. As JSON, a row is what functions.wrappers.flatten_result() reads.
+    """
+    from docassay.functions.extract import document_status
+
+    found = fields_of(tokens)
+    value = F.struct("value", "confidence", "source")
+    fields = found.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").alias("key"), value.alias("value"))))).alias("_fields"))
+    read = reading_order(tokens.where("text is not null")).withColumn("confidence", F.round("confidence", 3))
+    listed = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text", "confidence"))), lambda t: F.struct(t["text"].alias("text"), t["confidence"].alias("confidence"))).alias(name))
+    left = unpaired(read, found.select("doc_id", F.col("value").alias("text")))
+    every = image_quality(tokens, documents, rule).join(fields, "doc_id", "left").join(listed(left, "_left"), "doc_id", "left").join(listed(read, "_read"), "doc_id", "left")
+    n = F.when(F.col("_fields").isNull(), 0).otherwise(F.size("_fields"))
+    texts = "array<struct<text:string,confidence:double>>"
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<value:string,confidence:double,source:string>>"))
+    return every.select(
+        "doc_id",
+        F.lit(title).alias("document_type"),
+        document_status(F.col("clear"), n).alias("status"),
+        F.round(F.col("mean_confidence") * 100, 2).alias("ocr_confidence"),
+        F.when(~F.col("clear"), F.col("reason")).when(n == 0, NO_FIELDS).otherwise(SOME_FIELDS).alias("reason"),
+        F.coalesce(F.when(F.col("clear"), F.col("_fields")), none).alias("fields"),
+        F.coalesce(F.when(F.col("clear"), F.col("_left")), F.array().cast(texts)).alias("unpaired_text"),
+        F.coalesce(F.when(F.col("clear"), F.col("_read")), F.array().cast(texts)).alias("raw_ocr"),
+    )
+
+
 def licence_fields(tokens: DataFrame) -> DataFrame:
     """Fields of licences: known labels, however misread, with a value to the right or below, and numbered dates and numbers."""
 

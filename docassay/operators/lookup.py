@@ -31,6 +31,16 @@ def registry_lookup(scans: DataFrame, registry: DataFrame, scan_key: Column, key
     )
 
 
+def fetch_single(rows: DataFrame, what: str = "row") -> dict:
+    """The one row of a selection; none is a LookupError, several are a ValueError. Two rows come to the driver at most."""
+    found = rows.limit(2).collect()
+    if not found:
+        raise LookupError(f"{what} not found")
+    if len(found) > 1:
+        raise ValueError(f"more than one {what}")
+    return found[0].asDict(recursive=True)
+
+
 def hybrid_lookup(scans: DataFrame, primary: DataFrame, secondary: DataFrame, scan_key: str, key: str, value: str, names: tuple[str, str] = ("primary", "secondary")) -> DataFrame:
     """The primary's value, on a miss the secondary's; the label says fallback, and to what, even where both miss."""
     a = one_per_key(primary, key).select(F.col(key).alias("_a"), F.col(value).alias("_va"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.functions import adapt, similarity
+from docassay.functions.wrappers import flatten_result
 from docassay.operators import layout
 from docassay.queries.validation import letters, table
 
@@ -85,13 +86,22 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", same.alias("matches"), percent.alias("percent"))
 
 
+def form_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an extraction engine's results, told apart by quality and fields, then brought into the common envelope."""
+    pages = _pages(spark, sf_dir, FORMS).where("doc_id % 5 <> 0")
+    results = layout.form_results(pages, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), "PERMIT")
+    read = flatten_result(F.lit("permit"), F.to_json(F.struct(*[c for c in results.columns if c != "doc_id"])))
+    shown = F.array_join(F.transform(F.map_entries("r.fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return results.select("doc_id", "raw_ocr", read.alias("r")).select("doc_id", "r.status", "r.ocr_confidence", "r.reason", shown.alias("fields"), F.array_join("r.unpaired", ";").alias("unpaired"), F.size("raw_ocr").alias("n_read"))
+
+
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as they are written on documents: codes, names in several languages, and what no table knows."""
     raw = F.expr("case n_nationkey % 7 when 0 then n_name when 1 then 'deu' when 2 then ' Germany' when 3 then upper(substring(n_name, 1, 2)) when 4 then 'QQZ' when 5 then '' else 'united kingdom ' end")
     return table(spark, sf_dir, "nation").select("n_nationkey", adapt.normalize_country(raw).alias("country"))
 
 
-FUNCTIONS = (licence_pages, form_pages, zone_pages, repeated_readings, similar_names, nation_codes)
+FUNCTIONS = (licence_pages, form_pages, zone_pages, repeated_readings, similar_names, form_results, nation_codes)
 
 SQL = {
     "licence_pages": """
@@ -122,5 +132,11 @@ SQL = {
         l as (select k, length(name) as n, case when k % 2 = 0 then length(name) + k % 12 else length(name) - case when k % 7 = 6 then 7 else k % 7 end end as m from c),
         r as (select k, 2.0 * least(n, m) / (n + m) * 100 as percent from l)
         select k as c_custkey, percent >= 85 as matches, round(percent::double, 2) as percent from r""",
+    "form_results": """
+        with c as (select c_custkey as k, case when c_custkey % 5 = 0 then 9 else c_custkey % 4 end as i, c_name from customer)
+        select k as doc_id, case when i in (0, 1, 2) then 'OCR COMPLETED' else 'CLEARER IMAGE REQUIRED' end as status,
+               case i when 0 then 80.62 when 1 then 80.0 when 2 then 76.67 when 3 then 33.33 else 0.0 end::double as ocr_confidence,
+               case i when 3 then 'OCR confidence is too low.' when 9 then 'No readable text was detected.' else 'Text was extracted using layout-agnostic OCR and dynamic field detection.' end as reason,
+               case i when 0 then 'Name=' || c_name when 1 then 'City=12345' when 2 then 'No=99' || (1000 + k) else '' end as fields, case i when 0 then 'Name:' when 1 then 'Zip;City' when 2 then 'No;30021' else '' end as unpaired, case when i in (1, 2) then 3 when i = 0 then 2 else 0 end::int as n_read from c""",
     "nation_codes": """select n_nationkey, case n_nationkey % 7 when 0 then upper(n_name) when 1 then 'DE' when 2 then 'DE' when 3 then upper(n_name[1:2]) when 4 then 'QQZ' when 6 then 'GB' end as country from nation""",
 }

@@ -160,3 +160,19 @@ def rotate_runs(runs: DataFrame, latest: DataFrame) -> DataFrame:
 def report(verdicts: DataFrame) -> DataFrame:
     """A line of text per verdict."""
     return verdicts.select(F.format_string("%s  %s  score %.1f  %s", "request_id", "document_type", "validation_score", "validation_status").alias("line"))
+
+
+def report_text(verdicts: DataFrame, title: str = "VALIDATION RESULT") -> DataFrame:
+    """request_id and report: the whole verdict as text, checks and mismatches line by line. Nulls are shown as None."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    bar = F.lit("=" * 65)
+    heads = {
+        "Request ID": F.col("request_id"), "Document Type": F.upper("document_type"), "Data Source": F.concat(shown(F.col("data_source")), F.lit(" ("), shown(F.col("source_status")), F.lit(")")), "Database Match": F.when(F.col("database_match"), "YES").otherwise("NO"),
+        "Document Status": F.col("document_status"), "Validation Score": F.concat(shown(F.col("validation_score")), F.lit("/100.0")), "Validation Status": F.col("validation_status"), "Recommendation": F.col("recommendation"),
+    }
+    lines = [F.concat(F.lit(f"{name:<17}: "), shown(c)) for name, c in heads.items()]
+    check = lambda c: F.concat(F.lit("  "), F.when(c["status"] == "PASS", "[PASS] ").otherwise("[FAIL] "), F.rpad(c["rule"], F.greatest(F.length(c["rule"]), F.lit(25)), F.lit(" ")), F.lit(" "), shown(c["message"]))
+    miss = lambda m: F.concat(F.lit("  - Field '"), shown(m["field"]), F.lit("': "), shown(m["message"]), F.lit(" (OCR: "), shown(m["ocr_value"]), F.lit(" | Ref: "), shown(m["reference_value"]), F.lit(")"))
+    part = lambda head, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(""), F.lit(head)), rows)).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(bar, F.lit(title.center(65).rstrip()), bar, *lines, bar), part("[ VALIDATION CHECKS ]", F.transform("checks", check)), part("[ MISMATCHES DETECTED ]", F.transform("mismatches", miss)), F.array(bar))
+    return verdicts.select("request_id", F.array_join(every, "\n").alias("report"))

@@ -195,3 +195,19 @@ def test_unreadable_requests_and_failing_rules(spark):
         assert [c["rule"] for c in r["checks"]] == ["VALIDATION_ENGINE"] and r["mismatches"] == [] and len(r["errors"]) == 1 and r["normalized_fields"] == {}
     assert validate(requests.limit(0), registry, "passport", AS_OF, extra=extra).count() == 0
     assert read_requests(requests.select("payload"), default_confidence=100.0).where("ocr_confidence = 100").count() == 5
+
+
+def test_report_and_single_row(spark):
+    scans = spark.createDataFrame([("r1", 90.0, {"passport_number": "P1234567", "name": "ANN", "nationality": "IND", "date_of_birth": "1980-02-03", "date_of_expiry": "2030-06-07", "gender": "F"})], "request_id string, ocr_confidence double, fields map<string,string>")
+    known = spark.createDataFrame([("P1234567", "REVOKED")], "passport_number string, status string")
+    text = io.report_text(validate(scans, known, "passport", AS_OF)).first()["report"].split("\n")
+    assert text[0] == text[2] == text[-1] == "=" * 65 and text[1].strip() == "VALIDATION RESULT"
+    assert "Request ID       : r1" in text and "Database Match   : YES" in text and "Validation Score : 52.0/100.0" in text and "Recommendation   : MANUAL_REVIEW" in text
+    assert "  [PASS] REQUIRED_FIELDS           Required field 'name' is present." in text
+    assert text[-2] == "  - Field 'status': Document is revoked (OCR: None | Ref: REVOKED)"
+    assert io.report_text(validate(scans.limit(0), known, "passport", AS_OF)).count() == 0
+    assert lookup.fetch_single(known) == {"passport_number": "P1234567", "status": "REVOKED"}
+    with pytest.raises(LookupError, match="profile not found"):
+        lookup.fetch_single(known.where("status = 'x'"), "profile")
+    with pytest.raises(ValueError):
+        lookup.fetch_single(known.unionAll(known))
