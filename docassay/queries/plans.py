@@ -71,7 +71,7 @@ def verdict_by_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def api_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a remote registry, asked by ranges of keys through a data source; every second answer comes at the second attempt."""
     k, customer = F.col("c_custkey"), table(spark, sf_dir, "customer")
-    folder = io.scratch_dir(spark)
+    folder = f"{io.scratch_dir(spark)}/answers"
     answers = customer.where("c_custkey % 5 <> 0").select(F.format_string("C%09d", k).alias("key"), F.when(k % 3 == 0, 200).when(k % 3 == 1, 404).alias("http_status"), F.to_json(F.struct("c_name", "c_nationkey")).alias("record"), (k % 2).alias("fails"))
     answers.write.json(folder)
     ends = customer.agg(F.min("c_custkey"), F.max("c_custkey")).first()

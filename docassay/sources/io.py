@@ -14,13 +14,18 @@ MAX_UPLOAD = 10 * 1024 * 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; without the setting only a local master gets one."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Without the setting only a local master gets one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/docassay-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/docassay-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return folder
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
