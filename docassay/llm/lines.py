@@ -16,8 +16,8 @@ Versions. Every update writes under its own number and counts from the moment it
 versions, the last thing written; an update that dies leaves nothing that is read, and can be run again.
 
 Skew. Pairs are counted per text, so copies of a text are one; shards with many pairs are dealt over salts with a
-copy of the filter each; keys of many texts and texts of many documents are salted in their joins. Of a text's
-keys one task holds the list.
+copy of the filter each; keys of many texts and texts of many documents are salted in their joins, documents by doc_id.
+Of a text's keys one task holds the list.
 
 Cases. A null or empty text is one empty line; the empty key is never frequent, for ``min_chars`` is 1 or more.
 Each row is a document: repeated rows count for each. A null doc_id is an id like others. Deleting ids that were never
@@ -297,7 +297,7 @@ class LineIndex:
         hot = materialise(hot_keys(rows.groupBy("t").agg(F.count("*").alias("n")), "t", 500).coalesce(1), "hot")
         spread = lambda df, salt: df.join(F.broadcast(hot), F.col("t") == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
         salts = F.coalesce("_salts", F.lit(1))
-        rows = spread(rows, F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+        rows = spread(rows, F.pmod(F.xxhash64("_row.doc_id"), salts).cast("int"))  # by content, so a task run again deals alike
         drops = spread(drops, F.explode(F.sequence(F.lit(0), salts - 1)))
         joined = rows.join(drops, ["t", "_salt"], "left").select("_row", F.col("_text"), F.col("_keys"))
 
