@@ -161,7 +161,7 @@ def label_keyword_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = scans(spark, sf_dir).select("request_id", F.col("fields")["passport_number"].alias("passport_number"), F.regexp_replace(F.col("fields")["name"], "B", "E").alias("ocr")).join(registry(spark, sf_dir), "passport_number")
+    joined = scans(spark, sf_dir).select("request_id", F.col("fields")["passport_number"].alias("passport_number"), F.regexp_replace(F.col("fields")["name"], "B", "Z").alias("ocr")).join(registry(spark, sf_dir), "passport_number")
     same, percent = similarity.names_match(F.col("ocr"), F.col("name"))
     return joined.select("request_id", same.alias("matches"), percent.alias("percent"))
 
@@ -384,6 +384,15 @@ SQL = {
         select doc_id, ord, number, 0.5::double as confidence from (select doc_id, ord, text || lead(text) over w || lead(text, 2) over w as number from t window w as (partition by doc_id order by ord)) where number is not null""",
     "candidate_vote": """with v as (select l_orderkey as doc_id, (l_partkey % 3)::varchar as number, max((l_partkey % 8) / 8.0) + 0.05 * least(count(*), 5) as final, min(l_linenumber) as first from lineitem group by 1, 2)
         select doc_id, arg_min(number, (-final, first, number)) as number, round(max(final)::double, 6) as final from v group by 1""",
+    # Ones are misread, so B is Z; what is left of a name's letters stands in the same order on both sides. QQQQ shares none.
+    "fuzzy_name": """
+        with s as (select o_orderkey as k, o_custkey as c from orders join customer on o_custkey = c_custkey where o_orderkey % 10 <> 0 and o_custkey % 5 <> 0),
+        r as (select *, 7 + length(c::varchar) as n, length(replace(c::varchar, '1', '')) + 7 as m from s),
+        p as (select k, case when k % 7 = 0 then 0.0 else 100.0 * m / n end as percent from r)
+        select k::varchar as request_id, percent >= 85 as matches, round(percent::double, 2) as percent from p""",
+    # Texts of three characters resemble none but themselves.
+    "fuzzy_dedup": f"""with {_TOKENS}, r as (select *, row_number() over (partition by doc_id, text order by confidence desc, ord) as place from t)
+        select doc_id, ord::int as ord, text, confidence::double as confidence from r where place = 1""",
     "label_keyword": "select conv_id, turn, case " + " ".join(f"when contains(lower(text), {quoted(k)}) then {quoted(k)}" for k in adapt.LABEL_KEYWORDS) + " end as keyword from conversations",
     "label_keyword_all": "select item_id, " + ", ".join(
         "case " + " ".join(f"when contains(lower(text), {quoted(k)}) then {quoted(shown)}" for k, shown in pairs) + f" end as {name}"
