@@ -7,10 +7,11 @@ nearby heights. The greedy operators work through one document at a time as they
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -246,15 +247,31 @@ KNOWN_LABELS = (
 FIELD_SCHEMA = "doc_id long, label string, value string, confidence double, source string"
 
 
+@lru_cache(maxsize=8)
+def _matchers(labels: tuple[str, ...]) -> list[tuple[str, int, Counter, SequenceMatcher]]:
+    """Per label: itself, its plain length and letters, and a matcher that has it as its second text."""
+    plain = [(label, re.sub("[^A-Z0-9]", "", label.upper())) for label in labels]
+    return [(label, len(p), Counter(p), SequenceMatcher(None, "", p)) for label, p in plain]
+
+
+@lru_cache(maxsize=50_000)
 def known_label(text: str, labels: tuple[str, ...] = KNOWN_LABELS, least: float = 0.65) -> str | None:
-    """The label that a text resembles most, the first of equals, if it resembles it enough."""
-    plain = lambda s: re.sub("[^A-Z0-9]", "", s.upper())
-    own = plain(text)
+    """The label that a text resembles most, the first of equals, if it resembles it enough.
+
+    Compared are only labels that could win: no ratio is above the one that lengths or common letters in any order allow.
+    """
+    own = re.sub("[^A-Z0-9]", "", text.upper())
     if not own:
         return None
-    ratios = [SequenceMatcher(None, own, plain(label)).ratio() for label in labels]
-    best = max(ratios)
-    return labels[ratios.index(best)] if best >= least else None
+    n, letters, best, found = len(own), Counter(own), -1.0, None
+    for label, m, its, matcher in _matchers(labels):
+        out_of_reach = lambda same: (bound := 2.0 * same / (n + m)) < least or bound <= best  # noqa: B023, E731
+        if out_of_reach(min(n, m)) or out_of_reach(sum(min(k, its[c]) for c, k in letters.items() if c in its)):
+            continue
+        matcher.set_seq1(own)
+        if (ratio := matcher.ratio()) > best:
+            best, found = ratio, label
+    return found if best >= least else None
 
 
 def _pair_boxes(tokens: DataFrame, inline: str, label_of, nearest, accepts, source: str) -> DataFrame:
