@@ -25,13 +25,23 @@ def ratio_bound(a: Column, b: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """Twice the matching characters over the sum of lengths; nulls count as empty."""
 
+    def one(p: str, q: str) -> float:
+        if not p and not q:
+            return 1.0
+        return 0.0 if set(p).isdisjoint(q) else SequenceMatcher(None, p, q).ratio()
+
     @F.pandas_udf("double")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype="float64")
+        return pd.Series([one(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
 
     return compare(a, b)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once and written into the plan once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def names_match(ocr: Column, reference: Column, threshold: float = 85.0) -> tuple[Column, Column]:
     """(matches, percent rounded to two places). The unrounded ratio is compared; an empty side never matches."""
     a, b = normalize_name(ocr), normalize_name(reference)
@@ -47,14 +57,25 @@ def zone_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(plain, F.lit("")), r"\s+", " "))
 
 
+def _compared(visual: Column, mrz: Column, close: float = 0.85, *, name: bool = False) -> Column:
+    """struct(status, similarity) of a field read twice. Only sides that differ reach Python."""
+    normal = zone_name if name else normalize_identifier
+    sides = F.struct(normal(visual).alias("a"), normal(mrz).alias("b"))
+    differ = _let(sides, lambda s: F.when((s["a"] != "") & (s["b"] != "") & (s["a"] != s["b"]), s))
+
+    def judge(s: Column) -> Column:
+        missing = (s["a"] == "") | (s["b"] == "")
+        value = F.when(missing, 0.0).when(s["a"] == s["b"], 1.0).otherwise(s["ratio"])
+        status = F.when(missing, "NOT_AVAILABLE").when(s["a"] == s["b"], "MATCH").when(value >= close, "CLOSE_MATCH").otherwise("MISMATCH")
+        return F.struct(status.alias("status"), F.round(value, 3).alias("similarity"))
+
+    return _let(F.struct(sides["a"].alias("a"), sides["b"].alias("b"), ratio(differ["a"], differ["b"]).alias("ratio")), judge)
+
+
 def compare_fields(visual: Column, mrz: Column, close: float = 0.85, *, name: bool = False) -> tuple[Column, Column]:
     """(status, similarity rounded to three places) of a field read twice; names are compared as names."""
-    normal = zone_name if name else normalize_identifier
-    a, b = normal(visual), normal(mrz)
-    missing = (a == "") | (b == "")
-    value = F.when(missing, 0.0).when(a == b, 1.0).otherwise(ratio(a, b))
-    status = F.when(missing, "NOT_AVAILABLE").when(a == b, "MATCH").when(value >= close, "CLOSE_MATCH").otherwise("MISMATCH")
-    return status, F.round(value, 3)
+    both = _compared(visual, mrz, close, name=name)
+    return both["status"], both["similarity"]
 
 
 # The fields that stand on a visa twice.
@@ -63,19 +84,19 @@ TWICE = ("passport_number", "surname", "given_name", "nationality", "birth_date"
 
 def compare_zones(fields: Column, mrz: Column) -> Column:
     """A struct per field of TWICE: status and similarity of two structs or maps of fields."""
-    out = []
-    for f in TWICE:
-        status, value = compare_fields(fields[f], mrz[f], name=f in ("surname", "given_name"))
-        out.append(F.struct(status.alias("status"), value.alias("similarity")).alias(f))
-    return F.struct(*out)
+    return F.struct(*[_compared(fields[f], mrz[f], name=f in ("surname", "given_name")).alias(f) for f in TWICE])
 
 
 def tally(checks: Column) -> Column:
     """available, matches, close_matches, mismatches and confidence (percent) of compare_zones()."""
-    each = F.filter(F.array(*[checks[f] for f in TWICE]), lambda x: x["status"] != "NOT_AVAILABLE")
-    count = lambda s: F.size(F.filter(each, lambda x: x["status"] == s))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["similarity"])
-    return F.struct(F.size(each).alias("available"), count("MATCH").alias("matches"), count("CLOSE_MATCH").alias("close_matches"), count("MISMATCH").alias("mismatches"), F.when(F.size(each) > 0, F.round(total / F.size(each) * 100, 2)).otherwise(0.0).alias("confidence"))
+
+    def counted(each: Column) -> Column:
+        count = lambda s: F.size(F.filter(each, lambda x: x["status"] == s))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["similarity"])
+        return F.struct(F.size(each).alias("available"), count("MATCH").alias("matches"), count("CLOSE_MATCH").alias("close_matches"), count("MISMATCH").alias("mismatches"), F.when(F.size(each) > 0, F.round(total / F.size(each) * 100, 2)).otherwise(0.0).alias("confidence"))
+
+    every = _let(checks, lambda c: F.array(*[c[f] for f in TWICE]))
+    return _let(F.filter(every, lambda x: x["status"] != "NOT_AVAILABLE"), counted)
 
 
 def verification_status(has_mrz: Column, available: Column, matches: Column, mismatches: Column, confidence: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay.functions import adapt, checksum, extract, mrz, normalize, similarity
 from docassay.operators import layout
-from docassay.queries.validation import letters, registry, scans, table
+from docassay.queries.validation import letters, registry, scans, spread, table
 
 
 def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +302,7 @@ def zone_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {f: F.when(k % (i + 2) != 0, F.concat(F.lit("ABC<"), letters(k))) for i, f in enumerate(similarity.TWICE)}
     zone = {f: F.when(k % (i + 3) == 0, "ZZZZZZZZZZZ").otherwise(F.concat(F.lit("ABC "), letters(k))) for i, f in enumerate(similarity.TWICE)}
     of = lambda d: F.struct(*[v.alias(f) for f, v in d.items()])
-    base = table(spark, sf_dir, "customer").select("c_custkey", similarity.tally(similarity.compare_zones(of(fields), of(zone))).alias("t"))
+    base = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", similarity.tally(similarity.compare_zones(of(fields), of(zone))).alias("t"))
     status = similarity.verification_status(k % 9 != 0, F.col("t.available"), F.col("t.matches"), F.col("t.mismatches"), F.col("t.confidence"))
     return base.select("c_custkey", "t.available", "t.matches", "t.mismatches", status.alias("status"))
 

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many parts as a shuffle has, where the scan has fewer: a narrow table of many rows is a small file, read by few tasks, and the work on each row is long."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def letters(key):
     return F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ")
 

@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+from docassay.functions import similarity
 from docassay.operators import layout
 
 
@@ -29,3 +30,33 @@ def test_known_label_compares_only_labels_that_can_win(monkeypatch):
     monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
     assert layout.known_label("Customer#000004711") is None and layout.known_label("REF 1004711") is None
     assert len(calls) <= 4  # 60 when every label is compared
+
+
+def _zones(spark):
+    sides = ["P12-3", "p123", "", None, "ABC<DEF", "ABC DEG", "XYZ"]
+    rows = [(i, {f: sides[(i + j) % 7] for j, f in enumerate(similarity.TWICE)}, {f: sides[(i // 7 + 2 * j) % 7] for j, f in enumerate(similarity.TWICE)}) for i in range(49)]
+    return spark.createDataFrame(rows, "id int, a map<string,string>, b map<string,string>")
+
+
+def test_zones_are_compared_by_a_plan_of_bounded_size(spark):
+    df = _zones(spark)
+    out = df.select("id", similarity.compare_zones(df.a, df.b).alias("c"), similarity.tally(similarity.compare_zones(df.a, df.b)).alias("t"), "a", "b")
+    got = out.collect()
+
+    def one(field, x, y):
+        clean = (lambda s: " ".join(re.sub("[^A-Z ]", "", s.upper().replace("<", " ")).split())) if field in ("surname", "given_name") else (lambda s: re.sub("[^A-Z0-9]", "", s.upper()))
+        x, y = clean(x or ""), clean(y or "")
+        if not x or not y:
+            return "NOT_AVAILABLE", 0.0
+        r = SequenceMatcher(None, x, y).ratio()
+        return "MATCH" if x == y else "CLOSE_MATCH" if r >= 0.85 else "MISMATCH", round(r, 3)
+
+    for row in got:
+        want = {f: one(f, row.a[f], row.b[f]) for f in similarity.TWICE}
+        assert {f: (row.c[f].status, row.c[f].similarity) for f in want} == want
+        seen = [w for w in want.values() if w[0] != "NOT_AVAILABLE"]
+        assert (row.t.available, row.t.matches, row.t.close_matches, row.t.mismatches) == (len(seen), *[sum(w[0] == s for w in seen) for s in ("MATCH", "CLOSE_MATCH", "MISMATCH")])
+        assert abs(row.t.confidence - (round(sum(w[1] for w in seen) / len(seen) * 100, 2) if seen else 0.0)) < 0.011
+    one_pair = len(df.select(similarity.compare_zones(df.a, df.b))._jdf.queryExecution().analyzed().toString())
+    whole = len(df.select(similarity.tally(similarity.compare_zones(df.a, df.b)))._jdf.queryExecution().analyzed().toString())
+    assert whole < 2 * one_pair
