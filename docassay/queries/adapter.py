@@ -9,7 +9,7 @@ from docassay.functions.adapt import adapt_record
 from docassay.functions.repair import repair_layout
 from docassay.functions.wrappers import flatten_result
 from docassay.operators import layout
-from docassay.queries.validation import table
+from docassay.queries.validation import spread, table
 
 #: Results of the six engines, of which some are damaged, in SQL that both engines read; k is a customer's number.
 RESULTS = {
@@ -33,8 +33,12 @@ def _case(values: dict[int, str], key: str = "k") -> str:
 _KIND, _RAW = _case({i: f"'{kind}'" for i, (kind, _) in RESULTS.items()}), _case({i: raw for i, (_, raw) in RESULTS.items()})
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).withColumn("k", F.col("c_custkey"))
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey")).select("c_custkey", F.expr(_KIND).alias("kind"), F.expr(_RAW).alias("raw"))
+    made = _customers(spark, sf_dir).select("c_custkey", F.expr(_KIND).alias("kind"), F.expr(_RAW).alias("raw"))
     return made.select("c_custkey", flatten_result(F.col("kind"), F.col("raw")).alias("result"))
 
 
@@ -70,7 +74,7 @@ PAGES = {
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    rows = _customers(spark, sf_dir)
     pairs = _case({i: f"map({', '.join(p)})" for i, (p, _) in PAGES.items()})
     texts = _case({i: f"array({', '.join(t)})" if t else "cast(array() as array<string>)" for i, (_, t) in PAGES.items()})
     return rows.select("c_custkey", F.expr(pairs).alias("fields"), F.expr(texts).alias("unpaired"))

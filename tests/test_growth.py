@@ -4,8 +4,11 @@ import random
 import re
 from difflib import SequenceMatcher
 
-from docassay.functions import similarity
+from pyspark.sql import functions as F
+
+from docassay.functions import adapt, similarity
 from docassay.operators import layout
+from docassay.queries import adapter
 
 
 def test_known_label_compares_only_labels_that_can_win(monkeypatch):
@@ -60,3 +63,24 @@ def test_zones_are_compared_by_a_plan_of_bounded_size(spark):
     one_pair = len(df.select(similarity.compare_zones(df.a, df.b))._jdf.queryExecution().analyzed().toString())
     whole = len(df.select(similarity.tally(similarity.compare_zones(df.a, df.b)))._jdf.queryExecution().analyzed().toString())
     assert whole < 2 * one_pair
+
+
+def test_pages_are_dealt_over_all_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sf = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions() == 1
+    assert adapter._pages(spark, sf).rdd.getNumPartitions() == n
+    assert adapter._results(spark, sf).rdd.getNumPartitions() == n
+
+
+def test_label_keyword_is_the_first_of_the_table(spark):
+    draw = random.Random(4)
+    keys = list(adapt.LABEL_KEYWORDS)
+    texts = [None, "", "  ", "KIM", "a\nb"] + [(draw.choice(["", "x ", "\n"]) + draw.choice(keys) + draw.choice(["", " " + draw.choice(keys), "#", ". "])).upper() for _ in range(300)]
+    texts += [k[:-1] for k in keys] + keys
+    want = [next(((k, f) for k, f in adapt.LABEL_KEYWORDS.items() if k in t.lower()), (None, None)) if t else (None, None) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = df.select("i", *[c.alias(n) for c, n in zip(adapt.label_keyword(df.t), ("k", "f"))]).orderBy("i").collect()
+    assert [(r.k, r.f) for r in got] == want
+    odd = {"a.c": "dot", "(": "open", "x": "x", "": "none"}
+    assert [r.k for r in spark.range(1).select(F.explode(F.array(F.lit("abc"), F.lit("a.c"), F.lit("z(")))).select(adapt.label_keyword(F.col("col"), odd)[0].alias("k")).collect()] == ["", "a.c", "("]
