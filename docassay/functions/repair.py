@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.functions.adapt import ALPHA3, NOISE, clean_value, is_name_token, label_keyword, looks_like_permit_number
+from docassay.functions.adapt import ALPHA3, NOISE, clean_value, is_name_token, label_keyword, let, looks_like_permit_number
 
 #: Fields that texts can fill.
 SLOTS = ("permit_number", "id_number", "surname", "given_name", "nationality", "issuing_country", "gender", "date_of_birth", "date_of_expiry", "permit_type", "address")
@@ -37,11 +37,6 @@ EXPIRY_KEYS = ("kehtiv", "expiry", "valid")
 STATE = "struct<%s, skip:int, surname_seen:boolean, given_seen:boolean, expiry_year:string, birth_year:string, numbers:array<string>, names:array<string>>" % ", ".join(f"{s}:string" for s in SLOTS)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _any(texts: tuple[str, ...], c: Column) -> Column:
     return c.rlike("|".join(texts))
 
@@ -55,7 +50,7 @@ def read_pairs(fields: Column) -> Column:
 
     def read(e: Column) -> Column:
         key, low, value = F.trim(e["key"]), F.lower(F.trim(e["key"])), clean_value(e["value"])
-        return _let(F.struct(key.alias("key"), low.alias("low"), value.alias("value"), label_keyword(key)[1].alias("label")), said)
+        return let(F.struct(key.alias("key"), low.alias("low"), value.alias("value"), label_keyword(key)[1].alias("label")), said)
 
     def said(f: Column) -> Column:
         key, low, value, label = f["key"], f["low"], f["value"], f["label"]
@@ -102,13 +97,13 @@ def read_texts(texts: Column) -> Column:
         def place(f: Column, i: Column) -> Column:
             then = after(i)
             end = F.array_min(F.filter(ends, lambda k: k >= then))
-            sex = _let(F.get(all_, end)["upper"], lambda u: F.when(u.isin(*SEXES), u))
+            sex = let(F.get(all_, end)["upper"], lambda u: F.when(u.isin(*SEXES), u))
             run = F.array_min(F.filter(F.sequence(i + 1, F.greatest(size, i + 1)), lambda k: ~F.coalesce(F.get(all_, k)["upper"].isin(*TYPE_WORDS), F.lit(False))))
             return F.struct(f["text"].alias("text"), f["upper"].alias("upper"), f["label"].alias("label"), f["name"].alias("name"), f["upper_name"].alias("upper_name"), i.alias("at"), then.alias("then"), F.when(f["label"] == "gender", sex).alias("sex"), F.when(f["upper"].isin(*TYPE_HEADS), run).alias("run"))
 
         return F.transform(all_, place)
 
-    return _let(judged, placed)
+    return let(judged, placed)
 
 
 def _event(state: Column, f: Column, texts: Column) -> Column:
@@ -147,7 +142,7 @@ def _event(state: Column, f: Column, texts: Column) -> Column:
         slot = F.when(k == "label", label).when(k == "capital", "surname").otherwise(k)
         return F.struct(k.alias("kind"), slot.alias("slot"), value.alias("value"), F.when(k == "both", _two_names(f, texts)).alias("two"))
 
-    return _let(kind, full)
+    return let(kind, full)
 
 
 def _two_names(f: Column, texts: Column) -> Column:
@@ -159,7 +154,7 @@ def _two_names(f: Column, texts: Column) -> Column:
         second = F.get(texts, at)
         return F.struct(F.when(one["name"], one["text"]).alias("surname"), F.when(F.coalesce(one["name"], F.lit(False)) & F.coalesce(second["name"], F.lit(False)), second["text"]).alias("given_name"), F.greatest(f["at"] + 1, F.coalesce(at, f["then"])).alias("skip"))
 
-    return _let(first, rest)
+    return let(first, rest)
 
 
 def _step(state: Column, f: Column, texts: Column) -> Column:
@@ -177,7 +172,7 @@ def _step(state: Column, f: Column, texts: Column) -> Column:
             F.when(kind == "names", F.array_append(state["names"], value)).otherwise(state["names"]).alias("names"),
         ).cast(STATE)
 
-    return _let(_event(state, f, texts), apply)
+    return let(_event(state, f, texts), apply)
 
 
 def _fold_texts(pairs: Column, texts: Column) -> Column:
@@ -222,7 +217,7 @@ def _dates(state: Column, pairs: Column, fields: Column) -> Column:
         held = F.when(year.isNotNull(), made).otherwise(state["date_of_expiry"])
         return F.struct(b["birth"].alias("date_of_birth"), F.coalesce(held, clean_value(F.get(late, F.lit(0))["value"])).alias("date_of_expiry"))
 
-    return _let(_let(known, born), expires)
+    return let(let(known, born), expires)
 
 
 def repair_layout(df: DataFrame, fields: str = "fields", unpaired: str = "unpaired", result: str = "repaired") -> DataFrame:

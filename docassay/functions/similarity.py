@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docassay.functions.adapt import let
 from docassay.functions.normalize import normalize_identifier, normalize_name
 
 
@@ -37,11 +38,6 @@ def ratio(a: Column, b: Column) -> Column:
     return compare(a, b)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once and written into the plan once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def names_match(ocr: Column, reference: Column, threshold: float = 85.0) -> tuple[Column, Column]:
     """(matches, percent rounded to two places). The unrounded ratio is compared; an empty side never matches."""
     a, b = normalize_name(ocr), normalize_name(reference)
@@ -61,7 +57,7 @@ def _compared(visual: Column, mrz: Column, close: float = 0.85, *, name: bool =
     """struct(status, similarity) of a field read twice. Only sides that differ reach Python."""
     normal = zone_name if name else normalize_identifier
     sides = F.struct(normal(visual).alias("a"), normal(mrz).alias("b"))
-    differ = _let(sides, lambda s: F.when((s["a"] != "") & (s["b"] != "") & (s["a"] != s["b"]), s))
+    differ = let(sides, lambda s: F.when((s["a"] != "") & (s["b"] != "") & (s["a"] != s["b"]), s))
 
     def judge(s: Column) -> Column:
         missing = (s["a"] == "") | (s["b"] == "")
@@ -69,7 +65,7 @@ def _compared(visual: Column, mrz: Column, close: float = 0.85, *, name: bool =
         status = F.when(missing, "NOT_AVAILABLE").when(s["a"] == s["b"], "MATCH").when(value >= close, "CLOSE_MATCH").otherwise("MISMATCH")
         return F.struct(status.alias("status"), F.round(value, 3).alias("similarity"))
 
-    return _let(F.struct(sides["a"].alias("a"), sides["b"].alias("b"), ratio(differ["a"], differ["b"]).alias("ratio")), judge)
+    return let(F.struct(sides["a"].alias("a"), sides["b"].alias("b"), ratio(differ["a"], differ["b"]).alias("ratio")), judge)
 
 
 def compare_fields(visual: Column, mrz: Column, close: float = 0.85, *, name: bool = False) -> tuple[Column, Column]:
@@ -95,8 +91,8 @@ def tally(checks: Column) -> Column:
         total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x["similarity"])
         return F.struct(F.size(each).alias("available"), count("MATCH").alias("matches"), count("CLOSE_MATCH").alias("close_matches"), count("MISMATCH").alias("mismatches"), F.when(F.size(each) > 0, F.round(total / F.size(each) * 100, 2)).otherwise(0.0).alias("confidence"))
 
-    every = _let(checks, lambda c: F.array(*[c[f] for f in TWICE]))
-    return _let(F.filter(every, lambda x: x["status"] != "NOT_AVAILABLE"), counted)
+    every = let(checks, lambda c: F.array(*[c[f] for f in TWICE]))
+    return let(F.filter(every, lambda x: x["status"] != "NOT_AVAILABLE"), counted)
 
 
 def verification_status(has_mrz: Column, available: Column, matches: Column, mismatches: Column, confidence: Column) -> Column:

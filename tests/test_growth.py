@@ -84,3 +84,12 @@ def test_label_keyword_is_the_first_of_the_table(spark):
     assert [(r.k, r.f) for r in got] == want
     odd = {"a.c": "dot", "(": "open", "x": "x", "": "none"}
     assert [r.k for r in spark.range(1).select(F.explode(F.array(F.lit("abc"), F.lit("a.c"), F.lit("z(")))).select(adapt.label_keyword(F.col("col"), odd)[0].alias("k")).collect()] == ["", "a.c", "("]
+
+
+def test_each_source_of_a_record_is_renamed_once(spark):
+    rows = [({"Full_Name": "A", "dob": " "}, {"surname": "B", "raw_line1": "P<"}, {"LAST_NAME": "C", "sex": "F", "x": "y"}, {"nom": "D", "name": "E", "gender": "M", "dob": "1.2.90"}), ({}, {}, {}, {}), ({"name": "SEX"}, {}, {}, {"name": "Z"})]
+    df = spark.createDataFrame(rows, "e map<string,string>, m map<string,string>, r map<string,string>, f map<string,string>")
+    out = df.select(adapt.adapt(df.f, df.e, df.m, df.r).alias("a"))
+    assert [r.a for r in out.collect()] == [{"name": "A", "mrz_line1": "P<", "surname": "B", "gender": "F", "date_of_birth": "1.2.90"}, {}, {"name": "Z"}]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 4
