@@ -1,15 +1,18 @@
 """Byte-level BPE by Spark's higher-order functions, over distinct words and a literal rank map.
 
-A word is the array of its bytes' ids between two sentinels, beside the array of ranks of its neighbours. One
-step of the fold takes the least rank, leftmost first, puts the merged id in place and looks up the two ranks
-that change. The rank map is literal arrays: a pair (a, b) stands at ``offset[a] + b`` and the entry names
-its owner a, so one addition finds any pair (rows of a sparse matrix laid over one another). The arrays are
-written once, as a table of one row, and plans take that row as a scalar subquery: tasks get the same constants,
-packed, and no plan prints or copies them.
+A word is an array of numbers between two sentinels, one for each of its bytes' ids: the rank of the pair it begins
+in the high bits, then its place, then the id. So the least number is the least rank, leftmost first; one step
+of the fold takes it, puts the merged id in place and looks up the two ranks that change. The rank map is
+literal arrays: a pair (a, b) stands at ``offset[a] + b`` and the entry names its owner a, so one addition finds any
+pair (rows of a sparse matrix laid over one another). The arrays are written once, as a table of one row, and plans
+take that row as a scalar subquery: tasks get the same constants, packed, and no plan prints or copies them.
+
+Texts are cut into words by groups of some megabytes: the distinct pieces between single spaces are cut once per
+group and texts are put together from them as numbers of words, by Arrow's dictionaries and takes.
 
 The words of the corpus are counted; the frequent ones, at most ``frequent_limit``, are folded once and
 their ids handed to every task. The other words are folded where they stand, each once per task as far as the
-task's memory of words reaches, else once per text. So nothing that grows with the corpus is broadcast, no text is shuffled and no word goes without its fold.
+task's memory of words reaches, else once per group of texts. So nothing that grows with the corpus is broadcast, no text is shuffled and no word goes without its fold.
 Only words that are tokens themselves skip it, as they do in the library whose results these are.
 
 Decoding concatenates the byte pieces of the ids.
@@ -23,11 +26,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +38,11 @@ from docassay.llm.common import give_back, materialise, record_batch, short_batc
 
 #: Ranks are below; it marks a pair that doesn't merge.
 NONE = 1 << 20
-#: Numbers from here on stand for words whose ids are still to come.
-RARE = 1 << 31
+#: Bytes of text whose words are cut together, about.
+GROUP = 4_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-MARKED_ARROW = pa.schema([("doc_id", pa.int64()), ("marked", pa.binary()), ("rare", pa.list_(pa.string()))])
+MARKED_ARROW = pa.schema([("doc_id", pa.int64()), ("since", pa.int64()), ("marked", pa.binary()), ("rare", pa.list_(pa.string()))])
 COUNT_ARROW = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
@@ -91,96 +94,133 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """One row, ``map``: the arrays of the rank map. Its size is the vocabulary's, a few megabytes."""
     offset, entries = overlay(merge_pairs(ranks))
     arrays = {
-        "offsets": np.append(offset, np.full(max(0, max(ranks.values(), default=0) + 2 - len(offset)), 2 * len(entries))),
-        "owners": np.where(entries < 0, -1, entries // NONE),
-        "merges": np.where(entries < 0, NONE, entries % NONE),
-        "byte_ids": np.array([ranks[bytes([b])] for b in range(256)]),
+        "offsets": np.append(offset, np.full(max(0, max(ranks.values(), default=0) + 2 - len(offset)), 2 * len(entries))).astype(np.int32),
+        "entries": np.where(entries < 0, 1 << 61, entries),
+        "byte_ids": np.array([ranks[bytes([b])] for b in range(256)], np.int64),
     }
-    columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int32))) for v in arrays.values()]
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in arrays.values()]
     row = pa.table({"map": pa.StructArray.from_arrays(columns, names=list(arrays))})
     return materialise(spark.createDataFrame(row).coalesce(1), "ranks")
 
 
 def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with the value computed once: the end of a fold over nothing, which copies no array as a transform would."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
 
+def fold_word(word: Column, end: int, offsets: Column, entries: Column, byte_ids: Column) -> Column:
+    """The ids of a word, by the arrays of rank_table(); ``end`` is the sentinel's id, without row or column.
 
-def fold_word(word: Column, end: int, offsets: Column, owners: Column, merges: Column, byte_ids: Column) -> Column:
-    """The ids of a word, by the arrays of rank_table(); ``end`` is the sentinel's id, without row or column."""
+    A number has ``bits`` for the id, so many and one more for the rank at the top, and the others for the place.
+    """
+    bits = end.bit_length()
+    top = 62 - bits
+    long = lambda x: F.lit(x).cast("long")
+    none, id_mask, place_mask = 1 << bits, (1 << bits) - 1, (1 << top) - (1 << bits)
 
     def rank(a: Column, b: Column) -> Column:
-        at = F.get(offsets, a) + b
-        return F.when(F.get(owners, at) == a, F.get(merges, at)).otherwise(NONE)
+        # Another owner leaves bits of NONE or more, an entry that doesn't exist is null: both are no merge.
+        entry = F.get(entries, F.get(offsets, a.cast("int")) + b.cast("int"))
+        return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(a, NONE.bit_length() - 1)), long(none)), top)
 
     def merge(state: Column, least: Column) -> Column:
-        ids, marks = state["ids"], state["ranks"]
-        size = F.size(ids)
+        merged = F.shiftright(least, top)
 
         def put(p: Column) -> Column:
-            around = F.array(F.struct(F.get(ids, p - 2).alias("a"), least.alias("b")), F.struct(least.alias("a"), F.get(ids, p + 1).alias("b")))
-            changed = F.transform(around, lambda x: rank(x["a"], x["b"]))
-            return F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(least), F.slice(ids, p + 2, size)).alias("ids"),
-                F.concat(F.slice(marks, 1, p - 2), changed, F.slice(marks, p + 2, size)).alias("ranks"),
+            left, right = F.get(state, p - 2), F.get(state, p + 1)
+            changed = F.array(
+                rank(left.bitwiseAND(long(id_mask)), merged).bitwiseOR(left.bitwiseAND(long(place_mask + id_mask))),
+                rank(merged, right.bitwiseAND(long(id_mask))).bitwiseOR(least.bitwiseAND(long(place_mask))).bitwiseOR(merged),
             )
+            return F.concat(F.slice(state, 1, p - 2), changed, F.slice(state, p + 2, F.size(state)))
 
-        return _let(F.array_position(marks, least).cast("int"), put)
+        return _let(F.array_position(state, least).cast("int"), put)
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["ranks"]), lambda least: F.when(least < NONE, merge(state, least)).otherwise(state))
+        return _let(F.array_min(state), lambda least: F.when(least < long(none << top), merge(state, least)).otherwise(state))
 
-    sentinel = F.array(F.lit(end))
+    sentinel = F.array(long(end))
     each = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(byte_ids, F.ascii(c)))
-    start = _let(F.concat(sentinel, each, sentinel), lambda ids: F.struct(ids.alias("ids"), F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: rank(a, F.get(ids, i + 1))).alias("ranks")))
+    number = lambda ids: lambda a, i: rank(a, F.coalesce(F.get(ids, i + 1), long(end))).bitwiseOR(F.shiftleft(i.cast("long"), bits)).bitwiseOR(a)
+    start = _let(F.concat(sentinel, each, sentinel), lambda ids: F.transform(ids, number(ids)))
     done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step)
-    return _let(done["ids"], lambda ids: F.slice(ids, 2, F.size(ids) - 2))
+    return _let(done, lambda state: F.transform(F.slice(state, 2, F.size(state) - 2), lambda x: x.bitwiseAND(long(id_mask)).cast("int")))
 
 
 def fold_words(df: DataFrame, column: str, table: DataFrame, end: int) -> DataFrame:
-    """``df`` with the array of words in ``column`` as an array of their ids."""
+    """``df`` with the array of words in ``column`` as an array of their ids; null stays null."""
     # The map is named once, so the optimizer puts the subquery where it is used and no row carries it.
     held = df.withColumn("_ranks", table.select("map").scalar())
 
     def fold(ranks: Column) -> Column:
-        return _let(ranks["offsets"], lambda o: _let(ranks["owners"], lambda w: _let(ranks["merges"], lambda m: _let(ranks["byte_ids"], lambda b: F.transform(column, lambda x: fold_word(x, end, o, w, m, b))))))
+        return _let(ranks["offsets"], lambda o: _let(ranks["entries"], lambda e: _let(ranks["byte_ids"], lambda b: F.transform(column, lambda x: fold_word(x, end, o, e, b)))))
 
     return held.select(*[c for c in df.columns if c != column], _let(F.col("_ranks"), fold).alias(column))
 
 
-class _Words:
-    """The words of texts, by chunk of text between single spaces; frequent words have their ids at hand."""
-
-    def __init__(self, pattern: str, frequent: dict[str, bytes], limit: int = 80_000):
-        import regex
-
-        self.find, self.frequent, self.limit, self.chunks = regex.compile(pattern).findall, frequent, limit, {}
-
-    def _learn(self, chunk: str) -> bytes | tuple | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return self.known(self.find(" " + chunk))
-
-    def known(self, words: list[str]) -> bytes | tuple:
-        """The ids of a run of words, or the words if one is not frequent."""
-        ids = [self.frequent.get(w) for w in words]
-        return tuple(words) if None in ids else b"".join(ids)
-
-    def runs(self, text: str) -> list[bytes | tuple]:
-        """The text as ids and, where there are rarer words, tuples of words."""
-        first, *rest = text.split(" ")
-        chunks = self.chunks
-        if len(chunks) > self.limit:
-            chunks.clear()
-        out = []
-        for c in rest:
-            try:
-                out.append(chunks[c])
-            except KeyError:
-                out.append(chunks.setdefault(c, self._learn(c)))
-        if not rest or not first or first[-1].isspace() or None in out:
-            return [self.known(self.find(text))] if text else []
-        return [self.known(self.find(first)), *out]
+def groups(batches: Iterable[pa.RecordBatch], column: str, size: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of ``column``."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 20):
+            held.append(part := batch.slice(at, 20))
+            n += part.column(column).nbytes
+            if n >= size:
+                group, held, n = pa.concat_batches(held), [], 0
+                yield group
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at every space: where each text's pieces begin, every piece as a number, and the distinct pieces."""
+    cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    flat = cut.flatten().dictionary_encode()
+    return cut.offsets.to_numpy() - cut.offsets[0].as_py(), flat.indices.to_numpy(), flat.dictionary.to_pylist()
+
+
+def _stand(pieces: list[str]) -> np.ndarray:
+    """Which pieces can be cut by themselves behind a space: those that neither begin nor end with white space."""
+    return np.array([p != "" and p.strip() == p for p in pieces], bool)
+
+
+def _led_words(pieces: list[str], find: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray]:
+    """The words of pieces that stand by themselves behind a space each, cut as one text, and how many each has."""
+    words = pa.array(find(" " + " ".join(pieces)) if pieces else [], pa.string())
+    starts = np.flatnonzero(pc.starts_with(words, " ").to_numpy(zero_copy_only=False))
+    if len(starts) != len(pieces):
+        raise ValueError("the pattern doesn't keep space-led pieces apart")
+    return words, np.diff(starts, append=len(words))
+
+
+def cut_texts(texts: pa.Array, find: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts as numbers, where each text's words end, and the distinct words.
+
+    A text whose single spaces all stand between other characters is its first piece and the space-led ones,
+    each cut by itself; any other is cut whole.
+    """
+    begins, codes, distinct = _pieces(texts)
+    n, heads, row = len(texts), begins[:-1], np.repeat(np.arange(len(texts)), np.diff(begins))
+    good = _stand(distinct)[codes]
+    good[heads] = [distinct[c] != "" and not distinct[c][-1].isspace() for c in codes[heads].tolist()]
+    chain = np.bincount(row[~good], minlength=n) == 0
+    led = chain[row]
+    led[heads] = False
+    pieces = np.unique(codes[led])
+    words, sizes = _led_words([distinct[c] for c in pieces.tolist()], find)
+    own = [find(distinct[c] if whole else text or "") for c, whole, text in zip(codes[heads].tolist(), chain.tolist(), pc.if_else(chain, None, texts).to_pylist())]
+    coded = pa.concat_arrays([words, pa.array([w for x in own for w in x], pa.string())]).dictionary_encode()
+    sizes = np.concatenate([sizes, np.array([len(x) for x in own], np.int64)])
+    # The units of a text: its head's number lies behind those of the pieces.
+    number = np.zeros(len(distinct), np.int64)
+    number[pieces] = np.arange(len(pieces))
+    units = number[codes]
+    units[heads] = len(pieces) + np.arange(n)
+    led[heads] = True
+    units, row = units[led], row[led]
+    cut = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int64()), coded.indices)
+    ends = np.cumsum(np.bincount(row, weights=sizes[units], minlength=n)).astype(np.int64)
+    return cut.take(pa.array(units)).flatten().to_numpy(), ends, coded.dictionary
 
 
 def count_words(documents: DataFrame, pattern: str) -> DataFrame:
@@ -189,29 +229,16 @@ def count_words(documents: DataFrame, pattern: str) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, chunks, odd = regex.compile(pattern).findall, Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            for c, n in chunks.items():
-                for w in find(" " + c):
-                    odd[w] += n
-            batch = record_batch(list(odd.items()), COUNT_ARROW)
-            chunks.clear()
-            odd.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                # Where a chunk can't be cut off by itself the count may name words a little off; it only ranks them.
-                first, *rest = text.split(" ")
-                chunks.update(rest)
-                if first:
-                    odd.update(find(first))
-            if len(chunks) > 400_000:
-                yield out()
-        yield out()
+        find = regex.compile(pattern).findall
+        for group in groups(batches, "text", 4 * GROUP):
+            # A first piece counts as if a space led it, and where one can't be cut off by itself the count may name words a little off; it only ranks them.
+            _, codes, distinct = _pieces(group.column("text"))
+            n, good = np.bincount(codes, minlength=len(distinct)), _stand(distinct)
+            words, sizes = _led_words([p for p, g in zip(distinct, good.tolist()) if g], find)
+            odd = [find(" " + p) if p else [] for p, g in zip(distinct, good.tolist()) if not g]
+            counts = pa.table([pa.concat_arrays([words, pa.array([w for x in odd for w in x], pa.string())]), np.append(np.repeat(n[good], sizes), np.repeat(n[~good], [len(x) for x in odd]))], ["word", "n"])
+            sums = counts.group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+            yield from sums.cast(COUNT_ARROW).combine_chunks().to_batches()
         give_back()
 
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -224,16 +251,19 @@ def _is_text(token: bytes) -> bool:
         return False
 
 
-def unpack(data: bytes) -> dict[str, bytes]:
-    """The dictionary that pack() was given; later rows win."""
+def unpack(data: bytes) -> tuple[pa.Array, pa.LargeListArray]:
+    """The words and their ids that pack() was given, as they lie there."""
     held = pa.ipc.open_stream(data).read_all().combine_chunks()
-    flat = held.column(1).combine_chunks()
-    raw, ends = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * (flat.offsets.to_numpy() - flat.offsets[0].as_py())).tolist()
-    return {w: raw[a:b] for w, a, b in zip(held.column(0).to_pylist(), ends, ends[1:])}
+    return held.column(0).combine_chunks(), long_lists(held.column(1).combine_chunks())
+
+
+def long_lists(lists: pa.ListArray) -> pa.LargeListArray:
+    """Lists whose takes may hold more than 2^31 values."""
+    return pa.LargeListArray.from_arrays(lists.offsets.cast(pa.int64()), lists.values.cast(pa.int32()))
 
 
 def pack(table: pa.Table) -> bytes:
-    """An Arrow table of words and their ids as bytes: the driver needs no dictionary, and tasks hold one only while they run."""
+    """An Arrow table of words and their ids as bytes: neither driver nor tasks need a dictionary of Python's."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -255,7 +285,8 @@ def frequent_words(documents: DataFrame, ranks: dict[bytes, int], pattern: str,
     own = [(t.decode(), [i]) for t, i in ranks.items() if _is_text(t)]
     words, ids = zip(*own) if own else ((), ())
     known = pa.table([pa.array(c, t) for c, t in zip((words, ids), folded.schema.types)], schema=folded.schema)
-    return pack(pa.concat_tables([folded, known]))
+    folded = folded.filter(pc.invert(pc.is_in(folded.column("word"), known.column("word").combine_chunks())))
+    return pack(pa.concat_tables([known, folded]))
 
 
 def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, frequent_limit: int = 300_000, recent_limit: int = 100_000) -> DataFrame:
@@ -266,64 +297,65 @@ def encode_documents(documents: DataFrame, rank_path: str, pattern: str, *, freq
     table, end = rank_table(documents.sparkSession, ranks), max(ranks.values(), default=0) + 1
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = sc.broadcast(frequent_words(docs, ranks, pattern, frequent_limit, table, end))
-    tokens = sc.broadcast({i: token for token, i in ranks.items()})
+    names = {i: token for token, i in ranks.items()}
+    tokens = sc.broadcast([names.get(i, b"") for i in range(end)])
 
-    # The two functions below stand in one task, one behind the other, and see the same words in the same order. The
-    # first numbers the task's rarer words as it meets them and writes numbers for ids; the second keeps their ids by
-    # number. Words beyond the first ``recent_limit`` are numbered anew in each text.
+    # The two functions below stand in one task, one behind the other, and see the same rows in the same order. The
+    # first writes texts as numbers of words: a frequent word's is its place, rarer words are numbered behind them as
+    # the task meets them and sent in rows of their own before the texts that have them. The second keeps their ids. Both
+    # remember the first ``recent_limit``; those from there on that a group before ``since`` had are numbered anew.
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sent = _Words(pattern, unpack(frequent.value)), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rare, ids = batch.slice(at, 500), [], []
-                for t in part.column(1).to_pylist():
-                    new, late, out = [], {}, []
-                    for run in words.runs(t) if t else ():
-                        if run.__class__ is bytes:
-                            out.append(run)
-                            continue
-                        for w in run:
-                            known = words.frequent.get(w) or sent.get(w) or late.get(w)
-                            if known is None:
-                                new.append(w)
-                                if len(sent) < recent_limit:
-                                    known = sent[w] = (RARE + len(sent)).to_bytes(4, "little")
-                                else:
-                                    known = late[w] = (RARE + recent_limit + len(late)).to_bytes(4, "little")
-                            out.append(known)
-                    rare.append(new)
-                    ids.append(b"".join(out))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], schema=MARKED_ARROW)
-        del words, sent
+        import regex
+
+        find, (known, _) = regex.compile(pattern).findall, unpack(frequent.value)
+        sent, met = {}, 0
+        for group in groups(batches, "text"):
+            since = met
+            codes, ends, words = cut_texts(group.column("text"), find)
+            numbers = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+            rare, new = np.flatnonzero(numbers < 0), []
+            for place, word in zip(rare.tolist(), words.take(pa.array(rare)).to_pylist()):
+                if (number := sent.get(word)) is None:
+                    number = met
+                    if met < recent_limit:
+                        sent[word] = met
+                    met += 1
+                    new.append(word)
+                numbers[place] = len(known) + number
+            for at in range(0, len(new), 100_000):
+                parts = [new[i : i + 1000] for i in range(at, min(at + 100_000, len(new)), 1000)]
+                yield record_batch([(None, since, None, part) for part in parts], MARKED_ARROW)
+            raw, ends = numbers.astype("<u4")[codes].tobytes(), [0, *(4 * ends).tolist()]
+            rows = [(doc_id, since, raw[a:b], None) for doc_id, a, b in zip(group.column("doc_id").to_pylist(), ends, ends[1:])]
+            yield record_batch(rows, MARKED_ARROW)
+        del sent
         give_back()
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes, kept = tokens.value.__getitem__, []
+        _, known = unpack(frequent.value)
+        token_bytes = pa.array(tokens.value, pa.large_binary())
+        kept, forgotten = known.slice(0, 0), 0
         for batch in batches:
-            folded = batch.column(2)
-            flat = folded.flatten()
-            raw = flat.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = (4 * (flat.offsets.to_numpy() - flat.offsets[0].as_py())).tolist() if len(flat) else [0]
-            of = (folded.offsets.to_numpy() - folded.offsets[0].as_py()).tolist() if len(folded) else [0]
-            rows = []
-            for k, (doc_id, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                own = [raw[ends[i] : ends[i + 1]] for i in range(of[k], of[k + 1])]
-                room = recent_limit - len(kept)
-                kept += own[:room]
-                late = own[room:]
-                marks = np.frombuffer(data, "<u4")
-                places = np.flatnonzero(marks >= RARE)
-                if len(places):
-                    out, last = [], 0
-                    for p, number in zip((4 * places).tolist(), (marks[places] - RARE).tolist()):
-                        out += (data[last:p], kept[number] if number < recent_limit else late[number - recent_limit])
-                        last = p + 4
-                    data = b"".join([*out, data[last:]])
-                decoded = b"".join(map(token_bytes, np.frombuffer(data, "<u4").tolist()))
-                rows.append((doc_id, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield record_batch(rows, ARROW)
-        kept.clear()
+            kept = pa.concat_arrays([kept, long_lists(batch.column("rare").flatten())])
+            pool, texts = pa.concat_arrays([known, kept]), batch.filter(pc.is_valid(batch.column("marked")))
+            for part in groups([texts], "marked", GROUP // 2):
+                marked = part.column("marked").to_pylist()
+                numbers = np.frombuffer(b"".join(marked), "<u4").astype(np.int64)
+                numbers[numbers >= len(known) + recent_limit] -= forgotten
+                lists = pool.take(pa.array(numbers))
+                ids = lists.flatten()
+                names = token_bytes.take(ids)
+                ends = lists.offsets.to_numpy()[np.cumsum([0, *(len(m) // 4 for m in marked)])]
+                raw, places = ids.to_numpy().astype("<u4").tobytes(), ends.tolist()
+                decoded, cuts = memoryview(names.buffers()[2] or b""), np.frombuffer(names.buffers()[1], np.int64)[ends].tolist()
+                yield record_batch([
+                    (doc_id, b - a, hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), hashlib.sha256(decoded[c:d]).hexdigest())
+                    for doc_id, a, b, c, d in zip(part.column("doc_id").to_pylist(), places, places[1:], cuts, cuts[1:])
+                ], ARROW)
+            if batch.num_rows and (before := batch.column("since")[-1].as_py() - recent_limit) > forgotten:
+                kept, forgotten = pa.concat_arrays([kept.slice(0, recent_limit), kept.slice(recent_limit + before - forgotten)]), before
+        del kept
         give_back()
 
-    marked = docs.mapInArrow(mark, "doc_id long, marked binary, rare array<string>")
+    marked = docs.mapInArrow(mark, "doc_id long, since long, marked binary, rare array<string>")
     return fold_words(marked, "rare", table, end).mapInArrow(finish, SCHEMA)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,28 @@ def test_bpe(spark, frequent, recent):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_folds_a_word_once_for_a_group_of_texts(spark, monkeypatch):
+    """Beyond the remembered words, too: they were folded anew for each text."""
+    seen, fold = [], bpe.fold_words
+    monkeypatch.setattr(bpe, "fold_words", lambda df, column, *a: seen.append(df.select(F.explode(column).alias("w"))) or fold(df, column, *a))
+    text = " ".join(f"word{chr(97 + i)}xq" for i in range(20))
+    got = bpe.encode_documents(docs(spark, [text] * 6).coalesce(1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, frequent_limit=0, recent_limit=3)
+    assert {r["decoded_sha256"] for r in got.collect()} == {hashlib.sha256(text.encode()).hexdigest()}
+    words = [r["w"] for r in seen[-1].collect()]
+    assert len(words) == len(set(words)) >= 20
+
+
+def test_bpe_cuts_texts_as_the_pattern_does():
+    import regex
+
+    find, rng = regex.compile(public_tokenizers.PATTERN).findall, np.random.default_rng(5)
+    texts = [*ODD, *("".join(rng.choice(list("ab é1.'s\n\t\u00a0\x1c "), n)) for n in rng.integers(0, 30, 2000)), *(" ".join(rng.choice(["it's", "ab", "1a.", "'s", "a\nb", "ß"], n)) for n in rng.integers(1, 9, 300))]
+    codes, ends, words = bpe.cut_texts(pa.array(texts, pa.string()), find)
+    cut = [words[c].as_py() for c in codes.tolist()]
+    for t, a, b in zip(texts, [0, *ends.tolist()], ends.tolist()):
+        assert cut[a:b] == find(t or ""), t
+
+
 def test_bpe_empty(spark):
     assert bpe.encode_documents(docs(spark, []), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
